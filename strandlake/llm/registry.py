@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_diff, matroska, mixing, packing, quality, secretscan, toxicity
+from . import ann, html_diff, matroska, mixing, packing, quality, secretscan, toxicity
 from .common import table
 
 
@@ -40,6 +40,10 @@ def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_diff.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_multiprobe_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.measure(table(spark, sf_dir, "documents"))
 
