@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -64,6 +65,18 @@ def parts_for(rows: int, per_part: int, least: int = 1) -> int:
     return max(least, -(-max(rows, 0) // per_part))
 
 
+def chunked(sizes: list[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about `most` bytes each; a single larger row stands alone."""
+    start, total = 0, 0
+    for k, n in enumerate(sizes):
+        if total and total + n > most:
+            yield start, k
+            start, total = k, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 # --- hashing of words and word windows, vectorised over a whole batch of texts -------------------------------------
 
 _SPACE = np.zeros(256, bool)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Roller, settle, ship, word_spans
+from .common import Roller, chunked, settle, ship, word_spans
 
 #: The labelled rows used for learning, at most (in expectation): a documented bound, sampled by a hash of the id.
 TRAIN_ROWS = 20_000
@@ -34,19 +34,6 @@ for _c in range(256):
     _ch = chr(_c)
     _CLASS[_c] = (_c >= 128 or _ch.isalpha(), "A" <= _ch <= "Z", _ch in "#$%&*+/<=>@[\\]^_`{|}~", _ch in ".,;:", _ch in "!?", _ch.isdigit() and _c < 128, _c >= 0xC0, _c == 10)
 _ROLL = Roller(7)
-_CHUNK = 1 << 20
-
-
-def chunked(sizes: list[int], most: int = _CHUNK) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about `most` bytes each; a single larger row stands alone."""
-    start, total = 0, 0
-    for k, n in enumerate(sizes):
-        if total and total + n > most:
-            yield start, k
-            start, total = k, 0
-        total += n
-    if start < len(sizes):
-        yield start, len(sizes)
 
 
 def _grouped_max(keys: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:

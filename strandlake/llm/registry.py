@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, html_diff, matroska, mixing, packing, quality, secretscan, toxicity
+from . import ann, html_diff, matroska, mixing, neardup, packing, quality, secretscan, toxicity
 from .common import table
 
 
@@ -48,6 +48,10 @@ def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.measure(table(spark, sf_dir, "documents"))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
