@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -46,6 +47,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a wide intermediate as Parquet to the shared folder and read it back; it is deleted when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/strandlake-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable on executors wherever the driver found it."""
     sc = spark.sparkContext

@@ -246,8 +246,18 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows, with all their columns, of the documents kept: one of each component. Texts are not shuffled unless most are dropped."""
-    result = deduplicate(docs, percent)
-    dropped = settle(result.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_dropped")).distinct())
-    gone = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
-    return docs.join(gone, docs["doc_id"] == F.col("_dropped"), "left_anti")
+    """One document of each component, with all its columns; of rows that repeat an id one. Rows without an id stay.
+
+    Texts are not shuffled, but for those of repeated ids.
+    """
+    result = settle(deduplicate(docs, percent).where(F.col("doc_id").isNotNull()))
+
+    def without(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        ids = ids.select(F.col("doc_id").alias("_id"))
+        return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, rows["doc_id"] == F.col("_id"), how)
+
+    kept = without(docs, settle(result.where(~F.col("kept")).select("doc_id").distinct()), "left_anti")
+    again = settle(result.where("kept").groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id"))
+    if again.isEmpty():
+        return kept
+    return without(kept, again, "left_anti").unionByName(without(kept, again, "left_semi").dropDuplicates(["doc_id"]))

@@ -224,11 +224,12 @@ def train_rows(labels: DataFrame, target: str, folds: int, held: int, most: int)
     return rows.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(keep * 1_000_000))
 
 
-def train(table: DataFrame, labels: DataFrame, target: str = "quality", folds: int = 3, held: int = 1, most: int = TRAIN_ROWS) -> AdditiveModel:
-    rows = table.join(F.broadcast(train_rows(labels, target, folds, held, most)), F.col("doc_id") == F.col("_id")).select("doc_id", "f", "y").orderBy("doc_id").collect()
-    if not rows:
+def train(table: DataFrame, rows: DataFrame) -> AdditiveModel:
+    """Fit on the feature table's rows of the ids in `rows` (_id, y)."""
+    found = table.join(F.broadcast(rows), F.col("doc_id") == F.col("_id")).select("doc_id", "f", "y").orderBy("doc_id").collect()
+    if not found:
         return AdditiveModel([], 0.0, [], [], [], [])
-    return fit(np.array([r["f"] for r in rows]), np.array([r["y"] for r in rows]))
+    return fit(np.array([r["f"] for r in found]), np.array([r["y"] for r in found]))
 
 
 def score(table: DataFrame, model: AdditiveModel, folds: int = 3, held: int = 1, cut: float = 0.5) -> DataFrame:
@@ -248,12 +249,13 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     0.5. Of an id labelled twice, the larger label counts. Other columns are not read.
     """
     found = settle(feature_table(docs))
-    return score(found, train(found, labels))
+    return score(found, train(found, train_rows(labels, "quality", 3, 1, TRAIN_ROWS)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
     """The rows whose text scores at least `cut`, with all their columns. Scored in place: texts are not shuffled."""
-    model = train(feature_table(docs), labels)
+    rows = settle(train_rows(labels, "quality", 3, 1, TRAIN_ROWS))
+    model = train(feature_table(docs.join(F.broadcast(rows.select("_id")), docs["doc_id"] == F.col("_id"), "left_semi")), rows)
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
