@@ -12,10 +12,12 @@ table bounded by the number of classes squared, and is broadcast.
 
 from __future__ import annotations
 
+import base64
 import itertools
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,19 @@ CAPACITY, GRAIN, END_ID = 2048, 8, 1
 
 # --- tokens --------------------------------------------------------------------------------------------------------
 
-_TOKENIZERS: dict[str, Encoder] = {}
+_TOKENIZERS: dict[tuple, Encoder] = {}
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """Where a vocabulary is: for tokenizers, and, if there is one, the same vocabulary as ranks with its pattern for tiktoken.
+
+    Ranks only make new words cheaper to encode; the ids are the same.
+    """
+
+    path: str
+    ranks: str | None = None
+    pattern: str | None = None
 
 
 class Encoder:
@@ -42,18 +56,35 @@ class Encoder:
     SAFE, RISKY = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s|^\s|\s$")
     MOST = 600_000
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, vocabulary: Vocabulary) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(vocabulary.path)
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
+        self.ranked = None
+        if vocabulary.ranks:
+            import tiktoken
+
+            with open(vocabulary.ranks, "rb") as file:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+            self.ranked = tiktoken.Encoding("ranks", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in _TOKENIZERS:
-            _TOKENIZERS[path] = cls(path)
-        return _TOKENIZERS[path]
+    def of(cls, vocabulary: Vocabulary) -> Encoder:
+        key = (vocabulary.path, vocabulary.ranks, vocabulary.pattern)
+        if key not in _TOKENIZERS:
+            _TOKENIZERS[key] = cls(vocabulary)
+        return _TOKENIZERS[key]
+
+    def words(self, texts: list[str]) -> list[bytes]:
+        """Ids of short pieces."""
+        if self.ranked is None:
+            return self.plain(texts)
+        ids = list(map(self.ranked, texts))
+        raw = np.fromiter(itertools.chain.from_iterable(ids), "<u4").tobytes()
+        ends = [0, *itertools.accumulate(4 * len(x) for x in ids)]
+        return [raw[a:b] for a, b in itertools.pairwise(ends)]
 
     def plain(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -66,7 +97,7 @@ class Encoder:
         new = list({w for words in cut for w in itertools.islice(words, 1, None) if w not in cache})
         for k in range(0, len(new), 20_000):
             some = new[k : k + 20_000]
-            cache.update(zip(some, self.plain([" " + w for w in some]), strict=True))
+            cache.update(zip(some, self.words([" " + w for w in some]), strict=True))
         first = self.plain([words[0] for words in cut])
         return [b"".join([head, *map(cache.__getitem__, itertools.islice(words, 1, None))]) for head, words in zip(first, cut, strict=True)]
 
@@ -77,13 +108,13 @@ PIECES = T.StructType([
 ])
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: Vocabulary, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """A row a piece: doc_id, start, length, ids_crc32, doc_tokens and, if asked for, the ids themselves."""
     ship(docs.sparkSession)
     schema = T.StructType([*PIECES.fields, T.StructField("ids", T.BinaryType())]) if keep_ids else PIECES
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder.of(tokenizer), np.asarray([end_id], "<u4").tobytes()
+        encoder, end = Encoder.of(vocabulary), np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             # a few MB of text at a time, whatever the size of a batch
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
@@ -221,13 +252,13 @@ def assign(found: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> Da
     return placed.select(*found.columns, "sequence_id", "offset")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, grain: int = GRAIN, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: Vocabulary, capacity: int = CAPACITY, grain: int = GRAIN, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """Every piece of every document with its sequence and its place there.
 
     Null and empty texts are the end id alone. Rows that repeat an id are packed one by one. Texts longer than a sequence
     are cut; no length is dropped. Empty table: empty result. Other columns of the input are not read.
     """
-    return assign(settle(pieces(docs, tokenizer, capacity, end_id, keep_ids)), capacity, grain)
+    return assign(settle(pieces(docs, vocabulary, capacity, end_id, keep_ids)), capacity, grain)
 
 
 def sequences(packed: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) -> DataFrame:

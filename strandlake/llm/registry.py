@@ -10,10 +10,10 @@ from . import ann, html_diff, matroska, mixing, neardup, packing, quality, secre
 from .common import table
 
 
-def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+def vocabulary(name: str = "byte_bpe_50k") -> packing.Vocabulary:
     import public_tokenizers
 
-    return public_tokenizers.path(name)
+    return packing.Vocabulary(public_tokenizers.path(f"{name}.json"), public_tokenizers.path(f"{name}.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
