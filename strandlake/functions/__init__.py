@@ -1 +1,119 @@
+"""Scalars of scripts: numbers as text, text as numbers, paths, packaged references."""
 
+from __future__ import annotations
+
+import math
+import os
+import posixpath
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..sources.fastq import DataError
+
+
+def double_text(x: float) -> str:
+    """Fixed notation from 0.1 up to ten million, scientific elsewhere; always with a point."""
+    if math.isnan(x) or math.isinf(x):
+        return "NaN" if math.isnan(x) else ("Infinity" if x > 0 else "-Infinity")
+    if x == 0:
+        return "-0.0" if math.copysign(1, x) < 0 else "0.0"
+    if 0.1 <= abs(x) < 1e7:
+        text = repr(float(x))
+        if "e" not in text:
+            return text
+    mantissa, _, exponent = f"{float(x)!r}".partition("e")
+    digits = mantissa.replace("-", "").replace(".", "").lstrip("0").rstrip("0") or "0"
+    power = math.floor(math.log10(abs(x))) if not exponent else int(exponent) + (len(mantissa.replace("-", "").split(".")[0]) - 1)
+    if abs(x) >= 10.0 ** (power + 1):
+        power += 1
+    return f"{'-' if x < 0 else ''}{digits[0]}.{digits[1:] or '0'}e{power}"
+
+
+def to_string(x: int | float) -> str:
+    return str(x) if isinstance(x, int) else double_text(x)
+
+
+def _read(text: str, default, kind: Callable, name: str):
+    text = text.strip()
+    if not text:
+        if default is None:
+            raise DataError(f"empty text is not {name}")
+        return default
+    try:
+        return kind(text)
+    except ValueError as error:
+        raise DataError(f"{text!r} is not {name}") from error
+
+
+def read_int(text: str, on_empty_return: int | None = None) -> int:
+    return _read(text, on_empty_return, int, "an integer")
+
+
+def read_double(text: str, on_empty_return: float | None = None) -> float:
+    return _read(text, on_empty_return, float, "a number")
+
+
+def read_int_column(text: str | Column, on_empty_return: int | None = None) -> Column:
+    """The same on a column: a bad text fails the job."""
+    trimmed = F.trim(text)
+    value = trimmed.try_cast("long")
+    empty = F.raise_error("empty text is not an integer") if on_empty_return is None else F.lit(on_empty_return).cast("long")
+    return F.when(trimmed == "", empty).when(value.isNull(), F.raise_error(F.concat(trimmed, F.lit(" is not an integer")))).otherwise(value)
+
+
+def join_path(left: str, right: str) -> str:
+    """An absolute right side wins."""
+    return posixpath.join(left, right)
+
+
+def job_index() -> tuple[bool, int]:
+    """(valid, index) of an array job, 0 without one."""
+    for name in ("LSB_JOBINDEX", "SGE_TASK_ID"):
+        value = os.environ.get(name, "")
+        if value.isdigit() and int(value) > 0:
+            return True, int(value)
+    return False, 0
+
+
+class References:
+    """Packaged references by name: those added by modules first, then installed folders, the user's before the global one."""
+
+    def __init__(self, folders: tuple[str, ...] = (), aliases: dict[str, str] | None = None) -> None:
+        self.folders, self.aliases, self.added = folders, aliases or {}, {}
+
+    def add(self, name: str, **files: str) -> None:
+        self.added[name] = files
+
+    def find(self, name: str) -> dict[str, str]:
+        name = self.aliases.get(name, name)
+        if name in self.added:
+            return self.added[name]
+        for folder in self.folders:
+            base = os.path.join(folder, name)
+            if os.path.isdir(base):
+                return {f.rpartition(".")[0] or f: os.path.join(base, f) for f in sorted(os.listdir(base))}
+        raise DataError(f"reference {name!r} is not installed")
+
+
+class Functions:
+    """Functions that modules add: callables from DataFrames to DataFrames, by name."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, Callable[..., DataFrame]] = {}
+
+    def register(self, name: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+        def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+            self.known[name] = f
+            return f
+
+        return add
+
+    def call(self, name: str, *args, **options) -> DataFrame:
+        if name not in self.known:
+            import difflib
+
+            near = difflib.get_close_matches(name, self.known, 1)
+            raise ValueError(f"no function {name!r}" + (f"; did you mean {near[0]!r}?" if near else ""))
+        return self.known[name](*args, **options)

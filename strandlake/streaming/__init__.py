@@ -1 +1 @@
-
+"""Reserved for streams. The operators of this library are batch operators; nothing of them is stateful over time."""
