@@ -73,7 +73,7 @@ def lace(frames: list[bytes], lacing: int) -> bytes:
     if lacing == XIPH:
         head += b"".join(b"\xff" * (n // 255) + bytes([n % 255]) for n in sizes[:-1])
     elif lacing == EBML_LACING:
-        head += vint(sizes[0])
+        head += vint(sizes[0]) if len(sizes) > 1 else b""
         for a, b in zip(sizes, sizes[1:-1], strict=False):
             width = next(w for w in range(1, 9) if abs(b - a) < (1 << 7 * w - 1) - 1)
             head += vint(b - a + (1 << 7 * width - 1) - 1, width)
