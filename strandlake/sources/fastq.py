@@ -6,9 +6,10 @@ import os
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ordered import neighbour, running
 from .text import failing, numbered_lines, write_single
 
 #: Quality offsets by name.
@@ -108,19 +109,19 @@ def uninterleave(reads: DataFrame) -> DataFrame:
     A pair takes the first two of a run of compatible neighbours, then the next two: within a run of edges, pairing is by
     parity, so no sequential state is needed.
     """
-    order = Window.partitionBy("sample", "file_id").orderBy("rec_no")
-    edges = reads.withColumn("_edge", compatible(F.col("header"), F.lead("header").over(order)))
-    edges = edges.withColumn("_start", F.col("_edge") & ~F.coalesce(F.lag("_edge").over(order), F.lit(False)))
-    runs = edges.withColumn("_run", F.sum(F.col("_start").cast("int")).over(order)).withColumn("_at", F.row_number().over(order))
-    in_run = Window.partitionBy("sample", "file_id", "_run")
-    runs = runs.withColumn("_first", F.min(F.when(F.col("_start"), F.col("_at"))).over(in_run))
-    opens = F.col("_edge") & F.coalesce((F.col("_at") - F.col("_first")) % 2 == 0, F.lit(False))
-    marked = runs.withColumn("_opens", opens).withColumn("_closes", F.coalesce(F.lag("_opens").over(order), F.lit(False)))
-    pair_no = F.sum(F.col("_opens").cast("long")).over(order) - 1
-    single_no = F.sum((~F.col("_opens") & ~F.col("_closes")).cast("long")).over(order) - 1
-    marked = marked.withColumns({"_pair": pair_no, "_single": single_no})
+    key = ["sample", "file_id"]
+    edges = neighbour(reads, key, "rec_no", F.col("header"), "_next", ahead=True)
+    edges = edges.withColumn("_edge", compatible(F.col("header"), F.col("_next")))
+    edges = neighbour(edges, key, "rec_no", F.col("_edge"), "_linked")
+    edges = running(edges, key, "rec_no", F.lit(1), "_at")  # places without gaps
+    starts = F.when(F.col("_edge") & ~F.coalesce("_linked", F.lit(False)), F.col("_at"))
+    runs = running(edges, key, "rec_no", starts, "_first", "max")
+    runs = runs.withColumn("_opens", F.col("_edge") & F.coalesce((F.col("_at") - F.col("_first")) % 2 == 0, F.lit(False)))
+    marked = neighbour(runs, key, "rec_no", F.col("_opens"), "_closes").withColumn("_closes", F.coalesce("_closes", F.lit(False)))
+    marked = running(marked, key, "rec_no", F.col("_opens").cast("long"), "_pair")
+    marked = running(marked, key, "rec_no", (~F.col("_opens") & ~F.col("_closes")).cast("long"), "_single")
     mate = F.when(F.col("_opens"), 1).when(F.col("_closes"), 2).otherwise(0)
-    return marked.select("sample", "file_id", mate.cast("tinyint").alias("mate"), F.when(mate == 0, F.col("_single")).otherwise(F.col("_pair")).alias("rec_no"), "header", "seq", "qual")
+    return marked.select(*key, mate.cast("tinyint").alias("mate"), (F.when(mate == 0, F.col("_single")).otherwise(F.col("_pair")) - 1).alias("rec_no"), "header", "seq", "qual")
 
 
 # --- directories and manifests -------------------------------------------------------------------------------------

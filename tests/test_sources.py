@@ -156,3 +156,32 @@ def test_numbered_lines_over_many_splits(spark, tmp_path):
         assert text.numbered_lines(spark, path).where(F.col("value").cast("long") != F.col("line_no")).count() == 0
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_uninterleave_is_the_sequential_pairing(spark):
+    """Against one look ahead at a time, over slices much smaller than the file."""
+    import random
+
+    from strandlake.sources import ordered
+
+    r = random.Random(7)
+    headers = [f"@{r.choice('abc')}" for _ in range(400)]
+    rows = spark.createDataFrame([("s", 0, 2 * k, h, "A", [1]) for k, h in enumerate(headers)], "sample string, file_id int, rec_no long, header string, seq string, qual array<int>")
+    want, k = [], 0
+    pairs = singles = 0
+    while k < len(headers):
+        if k + 1 < len(headers) and headers[k] == headers[k + 1]:
+            want += [(1, pairs, headers[k]), (2, pairs, headers[k])]
+            pairs, k = pairs + 1, k + 2
+        else:
+            want.append((0, singles, headers[k]))
+            singles, k = singles + 1, k + 1
+    old = ordered.SLICE
+    for f in (ordered.neighbour, ordered.running):
+        f.__defaults__ = (*f.__defaults__[:-1], 7)
+    try:
+        got = [(x["mate"], x["rec_no"], x["header"]) for x in fastq.uninterleave(rows).collect()]
+    finally:
+        for f in (ordered.neighbour, ordered.running):
+            f.__defaults__ = (*f.__defaults__[:-1], old)
+    assert sorted(got) == sorted(want)
