@@ -207,3 +207,14 @@ def position_stats(reads: DataFrame, by: Sequence[str] = ("sample",)) -> DataFra
     at = lambda p: F.min(F.when(F.col("cum") >= F.ceil(F.col("n") * p), F.col("q"))).cast("int")
     mean = F.floor(F.sum(F.col("q").cast("long") * F.col("c")) / F.sum("c")).cast("int")
     return cum.groupBy(*by, "pos").agg(mean.alias("mean"), at(0.5).alias("median"), at(0.25).alias("q25"), at(0.75).alias("q75"))
+
+
+def stats_table(stats: DataFrame, encoding: str = "sanger", by: Sequence[str] = ("sample", "file_id", "mate")) -> DataFrame:
+    """The file statistics as (feature, value) rows `i:key`, files numbered in order. One row a file goes in."""
+    rows = stats.withColumn("i", F.row_number().over(Window.orderBy(*by)) - 1)
+    name = F.concat_ws(":", *[F.col(c).cast("string") for c in by])
+    values = {
+        "encoding": F.lit(encoding), "file": name, "gcContent": F.col("gc"), "maxSeqLen": F.col("max_len"), "minSeqLen": F.col("min_len"), "nonATCGFraction": F.col("non_acgt"), "numBasepairs": F.col("n_bases"), "numSeqs": F.col("n_seqs"),
+    }
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), v.cast("string").alias("v")) for k, v in values.items()]))
+    return rows.select("i", each.alias("x")).select(F.concat_ws(":", F.col("i").cast("string"), "x.k").alias("feature"), F.col("x.v").alias("value"))

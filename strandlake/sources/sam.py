@@ -24,7 +24,7 @@ def aligned(flag: str | Column = "flag") -> Column:
     return ~bit(UNMAPPED, flag)
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
+def parse_lines(lines: DataFrame, keep: list[str] = ()) -> DataFrame:
     """(line_no, value) -> line_no and the fields. Optional tags stay one block.
 
     A line of eleven columns, without tags, has no quality field: its last column is the block. Fewer columns fail the job.
@@ -42,7 +42,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         elif name == "extra":
             value = F.when(n == 11, F.get(parts, F.lit(10))).otherwise(value)
         out.append((value.cast("long") if name in _LONGS else value).alias(name))
-    return lines.select("line_no", *out)
+    return lines.select(*keep, "line_no", *out)
 
 
 def group_ids(rows: DataFrame, paired: bool = True, partition: tuple[str, ...] = ("sample",), headers: str | None = None) -> DataFrame:

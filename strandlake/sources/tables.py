@@ -138,3 +138,20 @@ def countfile(spark: SparkSession, path: str) -> DataFrame:
     rows = lines.where(F.col("line_no") > top["line_no"])
     table = rows.select("line_no", F.get(parts, F.lit(0)).alias("feature"), *[F.get(parts, F.lit(k + 1)).cast("double").alias(n) for k, n in enumerate(names)])
     return table.orderBy("feature", "line_no").drop("line_no")
+
+
+def auto_comments(kinds: list[str], script: str = "", plan: DataFrame | None = None) -> list[str]:
+    """Comment lines: the date of the run, the script's text, a hash of the computation (equal plans have equal hashes)."""
+    import datetime
+
+    out: list[str] = []
+    for kind in kinds:
+        if kind == "date":
+            out.append(f"Generated on: {datetime.datetime.now(datetime.timezone.utc):%a %d-%m-%Y R%H:%M}")
+        elif kind == "script":
+            out += ["Output generated by:", *(f"    {line}" for line in script.splitlines())]
+        elif kind == "hash":
+            out.append(f"Output hash: {plan.semanticHash() & 0xFFFFFFFF:08x}")
+        else:
+            raise ValueError(f"unknown comment {kind!r}: date, script or hash")
+    return out

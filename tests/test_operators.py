@@ -218,3 +218,41 @@ def test_merge(spark):
     assert sorted(map(tuple, merge.paste([a, b]).collect())) == [("A", 7.0, 1.0, 2.0), ("B", 12.0, 0.0, 0.0), ("E", 0.0, 7.0, 8.0)]
     counts = spark.createDataFrame([("x", "f", 1.0), ("y", "g", 2.0)], "sample string, feature string, value double")
     assert sorted(map(tuple, merge.collect(counts, ["y", "x"]).collect())) == [("f", 0.0, 1.0), ("g", 2.0, 0.0)]
+
+
+FAKE = """import sys
+lines = sys.stdin.read().split("\\n")
+print("@SQ\\tSN:A\\tLN:9")
+for k in range(0, len(lines) - 1, 4):
+    print("\\t".join([lines[k][1:], "0", "A", "1", "60", f"{len(lines[k + 1])}M", "*", "0", "0", lines[k + 1], lines[k + 3], "NM:i:0"]))
+"""
+
+
+def test_aligner_processes(spark, tmp_path):
+    """A stand-in for an aligner; real ones are not installed here."""
+    import sys
+
+    from strandlake.operators import external
+
+    (tmp_path / "fake.py").write_text(FAKE.replace("\\\\", "\\"))
+    rs = reads(spark, (1, 0, "AAAA"), (2, 0, "CC"), (0, 1, "GGG"))
+    got = external.map_reads(rs, "", command=[sys.executable, str(tmp_path / "fake.py")]).collect()
+    assert sorted((x["qname"], x["cigar"], x["sample"]) for x in got) == [("0", "2M", "s"), ("0", "4M", "s"), ("1", "3M", "s")]
+    assert len({x["group_id"] for x in got}) == 2
+    with pytest.raises(Exception, match="is not installed"):
+        external.map_reads(rs, "ref").collect()
+    assert external.mapper_command("bwa", "r", True)[-3:] == ["-p", "r", "-"] and "-a" in external.mapper_command("bwa", "r", True)
+    with pytest.raises(ValueError):
+        external.mapper_command("bowtie", "r")
+
+
+def test_stats_table_and_comments(spark):
+    from strandlake.sources import tables
+
+    rows = {x["feature"]: x["value"] for x in r.stats_table(r.file_stats(reads(spark, (0, 0, "ACGN")))).collect()}
+    assert rows["0:numSeqs"] == "1" and rows["0:minSeqLen"] == "4" and rows["0:nonATCGFraction"] == "0.25" and len(rows) == 8
+    df = spark.range(3)
+    one, two = tables.auto_comments(["hash"], plan=df), tables.auto_comments(["hash"], plan=spark.range(3))
+    assert one == two and tables.auto_comments(["script"], "a\nb")[1:] == ["    a", "    b"]
+    with pytest.raises(ValueError):
+        tables.auto_comments(["time"])
