@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, html_diff, matroska, mixing, neardup, packing, quality, secretscan, substrings, toxicity
+from . import ann, html_diff, matroska, mixing, neardup, oracles, packing, quality, secretscan, substrings, toxicity
 from .common import table
 
 
@@ -61,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.ORACLE_SQL}
+    return {"op1_mix_sources": mixing.ORACLE_SQL, "op5_substring_dedup": oracles.REPEATED_PASSAGES, "op10_minhash_near_dedup": oracles.NEAR_DUPLICATES}
