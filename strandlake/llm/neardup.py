@@ -2,16 +2,18 @@
 
 A document is the set of its distinct four-word shingles. One hash deals the shingles into bins and the least of each bin is the
 signature; an empty bin takes the value of the first full bin in its own random order of bins. Bands of the signature are
-buckets. A bucket gives a star, not all pairs: every member's edge to the smallest member. Edges are confirmed on full sets, and
-confirmed edges are joined to components.
+buckets. A bucket gives a star, not all pairs: every member's edge to the smallest member, kept if the signatures agree.
+Edges make families, within which links are confirmed on full sets; confirmed links make components.
 
 A star can miss a link between two members of a bucket that are each unlike its centre. So buckets that still hold several
-components are gone through again: members outside a bucket's largest component are compared, by signature, with all its members
-in blocks, and the pairs likely to be linked are confirmed. Pairs within a component are never looked at.
+families are gone through again: members outside a bucket's largest family are compared with all its members, in blocks, and
+families of likely pairs are joined, until no bucket has such a pair. Within a family, sets are compared in blocks as products
+of incidence matrices, which give all exact overlaps without a row a pair; a block returns a spanning forest of its links.
 
 At scale: equal sets are one class from the start, by partial aggregation, so that thousands of copies are one member of their
-buckets. Texts move only for documents of candidate edges. Everything that can be skewed (classes, buckets, stars) is either a
-partial aggregate or a join with one row on the other side, which adaptive execution can split.
+buckets. Only sets of families move, once for each block they are compared in. Everything that can be skewed (classes, buckets,
+stars) is either a partial aggregate or a join with one row on the other side, which adaptive execution can split; a large family
+is many blocks of bounded size. The work within one family of different texts grows with its square, in matrix products.
 """
 
 from __future__ import annotations
@@ -29,11 +31,11 @@ SHINGLE, BINS, ROWS = 4, 128, 4
 BANDS = BINS // ROWS
 #: Links hold 100 * |common| >= PERCENT * |union|.
 PERCENT = 80
-#: Signature bins that agree, at least, for a pair to be confirmed on full sets: four standard deviations below 0.8.
+#: Signature bins that agree, at least, for two texts to be of one family: four standard deviations below 0.8.
 LIKELY = 84
-#: Up to so many documents of candidate edges their ids are broadcast (8 bytes each).
-BROADCAST_IDS = 2_000_000
-LEFT, RIGHT = 500, 2000
+#: Up to so many documents of families their ids are broadcast (24 bytes each).
+BROADCAST_IDS = 1_000_000
+LEFT, RIGHT, BLOCK = 500, 2000, 512
 _ROLL, _LOWER = Roller(3), np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SALTS = mix64(np.arange(1, BINS + 1, dtype=np.uint64))
@@ -108,31 +110,96 @@ def sketch(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, bands array<long>, sig binary")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, set) of the documents in `ids`, the whole set as an array of hashes."""
-    n = ids.count()
-    wanted = F.broadcast(ids) if n <= BROADCAST_IDS else ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(wanted, "id", "left_semi")
+def likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(a, b) -> those whose signatures agree."""
+    x, y = sigs.select(F.col("id").alias("a"), F.col("sig").alias("x")), sigs.select(F.col("id").alias("b"), F.col("sig").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(1)]
+            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, BINS) for k in (2, 3))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array((left == right).sum(1) >= LIKELY))
+
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _links_within(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest (member, least member) of the links between the sets of two sides, or of one if all are 0."""
+    n, size = len(sets), np.array([len(x) for x in sets])
+    member, value = np.repeat(np.arange(n), size), np.concatenate(sets)
+    order = np.argsort(value, kind="stable")
+    value, member = value[order], member[order]
+    new = np.ones(len(value), bool)
+    new[1:] = value[1:] != value[:-1]
+    word = np.cumsum(new) - 1
+    shared = np.bincount(word)[word] > 1
+    word, member = word[shared], member[shared]
+    two = bool(side.any())
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (np.arange(n), np.arange(n))
+    row, column = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    row[left], column[right] = np.arange(len(left)), np.arange(len(right))
+    on_left = side[member] == 0
+    on_right = ~on_left if two else on_left
+    common = np.zeros((len(left), len(right)), np.float32)
+    word = np.unique(word, return_inverse=True)[1]
+    for a in range(0, int(word[-1]) + 1 if len(word) else 0, 2048):  # a slice of shingles at a time
+        k = slice(*np.searchsorted(word, [a, a + 2048]))
+        x, y = np.zeros((len(left), 2048), np.float32), np.zeros((len(right), 2048), np.float32)
+        x[row[member[k][on_left[k]]], word[k][on_left[k]] - a] = 1
+        y[column[member[k][on_right[k]]], word[k][on_right[k]] - a] = 1
+        common += x @ y.T
+    both = common.astype(np.int64)
+    linked = 100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)
+    label = np.arange(n)
+    while True:
+        least = label.copy()
+        if linked.size:
+            least[left] = np.minimum(least[left], np.where(linked, label[right][None, :], n).min(1))
+            least[right] = np.minimum(least[right], np.where(linked, label[left][:, None], n).min(0))
+        if (least == label).all():
+            return [(k, int(v)) for k, v in enumerate(label) if v != k]
+        label = least
+
+
+def links_in_families(docs: DataFrame, families: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """families (id, family) -> (a, b): confirmed links that span every component of a family."""
+    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = settle(families.join(sizes, "family").select(F.col("id").alias("_id"), "family", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("k")))
+    n = rows.count()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    chosen = texts.join(F.broadcast(rows) if n <= BROADCAST_IDS else rows, F.col("id") == F.col("_id"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(0)]
             for a, b in chunked([len(t) for t in texts]):
                 of, hashes = shingle_sets(texts[a:b])
                 ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=b - a))])
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes.view(np.int64)))], names=["id", "set"])
+                raw = hashes.tobytes()
+                sets = pa.array([raw[8 * x : 8 * y] for x, y in zip(ends, ends[1:], strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns[1:]), sets], names=["id", "family", "blocks", "k", "set"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, set array<long>").dropDuplicates(["id"])
+    sets = chosen.select("text", "id", "family", "blocks", "k").mapInArrow(read, "id long, family long, blocks int, k int, set binary")
+    paired = sets.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = paired.select("id", "family", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "set")
 
-
-def confirm(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b) -> those whose full sets are linked."""
-    ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = settle(sets_of(docs, ids))
-    left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    both = pairs.join(right, "b").join(left, "a")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+    def run(table: pa.Table) -> pa.Table:
+        family, i, j, k, ids = (np.asarray(table[c]) for c in ("family", "i", "j", "k", "id"))
+        values = table["set"].to_pylist()
+        order = np.lexsort((ids, j, i, family))
+        change = np.flatnonzero((np.diff(family[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)) + 1
+        a, b = [], []
+        for own in np.split(order, change):
+            own = own[np.concatenate([[True], np.diff(ids[own]) != 0])]  # an id that repeats counts once
+            if len(own) > 1:
+                side = (k[own] == j[own]).astype(int) if i[own[0]] != j[own[0]] else np.zeros(len(own), int)
+                for x, y in _links_within([np.frombuffer(values[t], np.uint64) for t in own], side, percent):
+                    a.append(int(ids[own[y]]))
+                    b.append(int(ids[own[x]]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    groups = max(1, n // 500)
+    return paired.withColumn("g", F.pmod(F.xxhash64("family", "i", "j"), F.lit(groups))).groupBy("g").applyInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -153,15 +220,16 @@ def components(edges: DataFrame) -> DataFrame:
         edges = settle(small.select("u", F.col("m").alias("v")).union(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct())
 
 
-def _likely_pairs(members: DataFrame, most: int) -> DataFrame:
-    """members (key, id, component, sig) -> (a, b, cut): pairs of one bucket, in different components, whose signatures agree.
+def _likely_pairs(members: DataFrame, sigs: DataFrame, most: int) -> DataFrame:
+    """members (key, id, component) -> (a, b): pairs of one bucket, in different components, whose signatures agree.
 
-    A member gives its `most` likeliest partners of each block; `cut` says that it had more.
+    A member gives its `most` likeliest partners of each block; those it leaves out are found again, once components are
+    joined, if they still matter.
     """
     sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     ranked = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("k"))
     split = settle(ranked.where(F.col("k") > 1).select(F.col("key").alias("of"), F.col("top.component").alias("major"), (F.col("n") - F.col("top.c")).alias("minor"), "n"))
-    inside = members.join(split, F.col("key") == F.col("of"))
+    inside = members.join(split, F.col("key") == F.col("of")).join(sigs, "id")
     n_left, n_right = F.ceil(F.col("minor") / LEFT).cast("int"), F.ceil(F.col("n") / RIGHT).cast("int")
     salt = lambda n: F.pmod(F.xxhash64("id", "key"), n).cast("int")
     left = inside.where(F.col("component") != F.col("major")).select("key", "id", "component", "sig", F.lit(0).alias("side"), salt(n_left).alias("i"), F.explode(F.sequence(F.lit(0), n_right - 1)).alias("j"))
@@ -175,7 +243,7 @@ def _likely_pairs(members: DataFrame, most: int) -> DataFrame:
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u2").reshape(-1, BINS)
         order = np.lexsort((ids, side, j, i, key))
         change = np.flatnonzero((np.diff(key[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)) + 1
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, np.ndarray]] = []
         for run_ in np.split(order, change):
             lefts, rights = run_[side[run_] == 0], run_[side[run_] == 1]
             for k in lefts.tolist():
@@ -184,55 +252,42 @@ def _likely_pairs(members: DataFrame, most: int) -> DataFrame:
                 good = others[agree >= LIKELY]
                 if len(good):
                     best = good[np.argsort(-agree[agree >= LIKELY], kind="stable")[:most]]
-                    out.append((np.full(len(best), ids[k]), ids[best], np.full(len(best), len(good) > most)))
-        a, b, cut = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64()), "cut": pa.array(cut, pa.bool_())})
+                    out.append((np.full(len(best), ids[k]), ids[best]))
+        a, b = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
-    found = rows.withColumn("g", F.pmod(F.xxhash64("key", "i", "j"), F.lit(n_groups))).groupBy("g").applyInArrow(run, "a long, b long, cut boolean")
-    return found.groupBy("a", "b").agg(F.max("cut").alias("cut"))
+    found = rows.withColumn("g", F.pmod(F.xxhash64("key", "i", "j"), F.lit(n_groups))).groupBy("g").applyInArrow(run, "a long, b long")
+    return found.distinct()
 
 
 def link(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sketches, classes, links): documents with the digest of their set, classes (s1, s2, n, id, component), confirmed edges of class ids."""
+    """(sketches, classes, links): documents with the digest of their set, classes (s1, s2, n, component), links that span components of class ids."""
     found = settle(sketch(docs))
     full = found.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = settle(full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    sigs = classes.select("id", "sig")
     members = classes.select(F.explode("bands").alias("key"), "id")
-    centres = members.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("key", "centre")
+    centres = members.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
     shared = settle(members.join(centres, "key"))
-    stars = settle(shared.where(F.col("id") != F.col("centre")).groupBy("centre", "id").agg(F.count(F.lit(1)).alias("c")))
-    # of a member's centres first the one it shares most buckets with, then all that are still apart from it
-    nearest = stars.groupBy("id").agg(F.max(F.struct("c", -F.col("centre"))).alias("x")).select((-F.col("x.col2")).alias("a"), F.col("id").alias("b"))
-    links = settle(confirm(docs, nearest, percent))
-    tested = settle(nearest)
-    parts = settle(components(links))
-    wanted = stars.select(F.col("centre").alias("a"), F.col("id").alias("b"))
-    most, cut = 16, False
-    sigs = classes.select("id", "sig")
-    for turn in range(64):
-        pairs = _apart(wanted, parts).join(tested, ["a", "b"], "left_anti").distinct()
-        pairs = settle(pairs)
-        if not pairs.isEmpty():
-            links = settle(links.union(confirm(docs, pairs, percent)))
-            tested = settle(tested.union(pairs))
-            parts = settle(components(links))
-        elif turn and not cut:
+    stars = shared.where(F.col("id") != F.col("centre")).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    edges = settle(likely(stars, sigs))
+    parts = settle(components(edges))
+    others = shared.where(F.col("c") > 2).select("key", "id")  # a bucket of two is its star
+    while True:
+        inside = others.join(parts, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        more = settle(_likely_pairs(inside, sigs, 4))
+        if more.isEmpty():
             break
-        inside = shared.join(parts, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component")).join(sigs, "id")
-        likely = settle(_likely_pairs(inside, most))
-        cut, most = bool(likely.agg(F.max("cut")).first()[0]), most * 4
-        wanted = likely.select("a", "b")
-    component = classes.select("s1", "s2", "n", "id").join(parts, F.col("id") == F.col("node"), "left").select("s1", "s2", "n", "id", F.coalesce("component", "id").alias("component"))
+        edges = settle(edges.union(more))
+        parts = settle(components(edges))
+    roots = parts.select("component").distinct()
+    families = settle(parts.select(F.col("node").alias("id"), F.col("component").alias("family")).union(roots.select("component", "component")))
+    links = settle(links_in_families(docs, families, percent))
+    parts = settle(components(links))
+    component = classes.select("s1", "s2", "n", "id").join(parts, F.col("id") == F.col("node"), "left").select("s1", "s2", "n", F.coalesce("component", "id").alias("component"))
     return found, component, links
 
 
-def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    x, y = parts.select(F.col("node").alias("a"), F.col("component").alias("ca")), parts.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    both = pairs.select("a", "b").join(x, "a", "left").join(y, "b", "left")
-    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document.
 
