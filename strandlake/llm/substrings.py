@@ -2,13 +2,14 @@
 
 Every task sketches the windows of its documents; the sketches of a shard are merged by saturating addition, so that a cell says
 whether it was met twice. A count-min estimate is never below the count, so a window met in two documents has all its cells met
-twice and none is lost. The second pass sends only windows estimated repeated, with 128-bit hashes, to exact grouping: the
+twice and none is lost. The second pass sends only windows estimated repeated, with 96-bit hashes, to exact grouping: the
 smallest document of each window, joined back to the documents that hold it.
 
 At scale: sketches travel as sorted cells with gaps of about a byte, not as rows; the merged sketch is broadcast and has a fixed
-bound (`MOST_BITS`, 128 MB). It is sized to the corpus up to that bound; beyond it the filter lets more windows through and
-exact grouping does more, with the same result. A window that very many documents share is one row a task in the grouping, and
-its join back is with one row, which adaptive execution can split. Only texts that lose words are shuffled.
+bound (`MOST_BITS`, 96 MB). It is sized to the corpus up to that bound; beyond it the filter lets more windows through and
+exact grouping does more, with the same result. Windows are shuffled once, as 96 bits and a document. Those that very many
+tasks have met are grouped apart: partial aggregates, one row a window and task, joined back, which adaptive execution can
+split. Only texts that lose words are shuffled.
 """
 
 from __future__ import annotations
@@ -18,17 +19,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Roller, chunked, settle, ship, word_spans
 
 WINDOW = 50
 #: Bits of the merged sketch: so many for a byte of text, and at most.
-BITS_PER_BYTE, MOST_BITS, LEAST_BITS, DEPTH = 1.2, 1 << 30, 1 << 16, 2
+BITS_PER_BYTE, MOST_BITS, LEAST_BITS, DEPTH = 1.0, 3 << 28, 1 << 16, 2
 #: Windows that a task sketches before it sends them on, and bytes of text for a shard.
-FLUSH, SHARD_BYTES = 3_000_000, 16 << 20
+FLUSH, SHARD_BYTES = 1_500_000, 16 << 20
+#: A cell that so many partial sketches have met is common; common cells are marked in so many bits.
+COMMON, COMMON_BITS = 100, 1 << 22
 BROADCAST_IDS = 2_000_000
 _ROLL, _ROLL2 = Roller(23), Roller(29)
 
@@ -49,6 +53,12 @@ def windows(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.
     return of, start - first[of], h1, h2, n
 
 
+def _texts(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, UTF-8 texts) of a column, about a MB at a time: a batch is never held twice."""
+    for a, b in chunked(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        yield a, [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in column[a:b]]
+
+
 def distinct(of: np.ndarray, at: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, ...]:
     """The first of equal windows of a document."""
     order = np.lexsort((at, h1, of))
@@ -64,11 +74,11 @@ def distinct(of: np.ndarray, at: np.ndarray, h1: np.ndarray, h2: np.ndarray) ->
 def cells(h1: np.ndarray, h2: np.ndarray, row: int, width: int) -> np.ndarray:
     """The cell of every window in one row of the sketch: 32 bits of a hash, scaled."""
     bits = (h1 if row == 0 else h2) >> np.uint64(32)
-    return bits * np.uint64(width) >> np.uint64(32)
+    return (bits * np.uint64(width) >> np.uint64(32)).astype(np.uint32)
 
 
 def packed(sorted_cells: np.ndarray) -> bytes:
-    gaps = np.diff(sorted_cells, prepend=np.uint64(0)).astype("<u4")
+    gaps = np.diff(sorted_cells, prepend=np.uint32(0)).astype("<u4")
     return zstandard.ZstdCompressor(level=1).compress(gaps.view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
@@ -83,16 +93,16 @@ def partial_sketch(found: list[tuple[np.ndarray, np.ndarray]], width: int, shard
     size = -(-width // shards)
     for row in range(DEPTH):
         met, times = np.unique(cells(h1, h2, row, width), return_counts=True)
-        edges = np.searchsorted(met, np.arange(shards + 1, dtype=np.uint64) * np.uint64(size))
+        edges = np.searchsorted(met, np.arange(shards + 1) * size)
         for k in range(shards):
             a, b = edges[k], edges[k + 1]
             if a < b:
-                own = met[a:b] - np.uint64(k * size)
+                own = met[a:b] - np.uint32(k * size)
                 yield row * shards + k, packed(own), packed(own[times[a:b] > 1])
 
 
-def merged_sketch(texts: DataFrame, width: int, shards: int, window: int) -> list[np.ndarray]:
-    """Bits of every row of the sketch: the cell was met at least twice."""
+def merged_sketch(texts: DataFrame, width: int, shards: int, window: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Bits of every row of the sketch: the cell was met at least twice; and bits of common cells of its first row."""
     size = -(-width // shards)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,9 +112,8 @@ def merged_sketch(texts: DataFrame, width: int, shards: int, window: int) -> lis
 
         found, held = [], 0
         for batch in batches:
-            values = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(1)]
-            for a, b in chunked([len(t) for t in values]):
-                of, at, h1, h2, _ = windows(values[a:b], window)
+            for _, texts_ in _texts(batch.column(1)):
+                of, at, h1, h2, _ = windows(texts_, window)
                 _, _, h1, h2 = distinct(of, at, h1, h2)
                 found.append((h1, h2))
                 held += len(h1)
@@ -115,27 +124,31 @@ def merged_sketch(texts: DataFrame, width: int, shards: int, window: int) -> lis
             yield send(found)
 
     def merge(table: pa.Table) -> pa.Table:
-        seen, twice = np.zeros(size, bool), np.zeros(size, bool)
+        met, twice = np.zeros(size, np.uint8), np.zeros(size, bool)
         for once, more in zip(table["once"], table["twice"], strict=True):
-            met = unpacked(once.as_py())
-            twice[met[seen[met]]] = True
-            seen[met] = True
+            own = unpacked(once.as_py())
+            met[own] += met[own] < 255
             twice[unpacked(more.as_py())] = True
-        return pa.table({"shard": pa.array([table["shard"][0].as_py()], pa.int32()), "bits": pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())})
+        twice |= met > 1
+        shard = table["shard"][0].as_py()
+        common = np.unique((np.flatnonzero(met >= COMMON) + shard * size) % COMMON_BITS) if shard < shards else []
+        return pa.table({"shard": pa.array([shard], pa.int32()), "bits": pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary()), "common": pa.array([common], pa.list_(pa.int32()))})
 
     parts = texts.mapInArrow(sketch, "shard int, once binary, twice binary")
     bits = [np.zeros(size * shards // 8 + 8, np.uint8) for _ in range(DEPTH)]
-    for r in parts.groupBy("shard").applyInArrow(merge, "shard int, bits binary").toLocalIterator():
+    common = np.zeros(COMMON_BITS, bool)
+    for r in parts.groupBy("shard").applyInArrow(merge, "shard int, bits binary, common array<int>").toLocalIterator():
         row, k = divmod(r["shard"], shards)
         bits[row][k * size // 8 : k * size // 8 + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
-    return bits
+        common[r["common"]] = True
+    return bits, common
 
 
 def estimated_repeated(bits: list[np.ndarray], width: int, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
     out = np.ones(len(h1), bool)
     for row, some in enumerate(bits):
         c = cells(h1, h2, row, width)
-        out &= (some[c >> np.uint64(3)] >> (c & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        out &= (some[c >> np.uint32(3)] >> (c & np.uint32(7)).astype(np.uint8) & 1).astype(bool)
     return out
 
 
@@ -143,39 +156,46 @@ def estimated_repeated(bits: list[np.ndarray], width: int, h1: np.ndarray, h2: n
 
 
 def repeated_windows(texts: DataFrame, window: int = WINDOW, most_bits: int = MOST_BITS) -> DataFrame:
-    """texts (id, text) -> (id, at): the first word of every distinct window of a document that also starts in one of smaller id."""
+    """texts (id, text) -> (id, h1): the hash of every distinct window of a document that also starts in one of smaller id."""
     spark = texts.sparkSession
     ship(spark)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = int(min(max(size * BITS_PER_BYTE, LEAST_BITS), most_bits)) // DEPTH
     shards = max(1, size // SHARD_BYTES)
     width = -(-width // (shards * 8)) * shards * 8  # shards of whole bytes
-    sketch = spark.sparkContext.broadcast(merged_sketch(texts, width, shards, window))
+    merged, common = merged_sketch(texts, width, shards, window)
+    sketch = spark.sparkContext.broadcast((merged, common))
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sketch.value
+        bits, often = sketch.value
         for batch in batches:
             ids = np.asarray(batch.column(0))
-            values = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(1)]
-            for a, b in chunked([len(t) for t in values]):
-                of, at, h1, h2 = distinct(*windows(values[a:b], window)[:4])
+            for start, texts_ in _texts(batch.column(1)):
+                of, _, h1, h2 = distinct(*windows(texts_, window)[:4])
                 keep = estimated_repeated(bits, width, h1, h2)
-                of, at, h1, h2 = of[keep], at[keep], h1[keep], h2[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids[a:b][of]), pa.array(at.astype(np.int32))], names=["h1", "h2", "id", "at"])
-
-    rows = texts.mapInArrow(second, "h1 long, h2 long, id long, at int")
-    first = rows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where(F.col("first") < F.col("last")).drop("last")
-    return rows.join(first, ["h1", "h2"]).where(F.col("first") < F.col("id")).select("id", "at")
-
-
-def _cover(raw: bytes, at: np.ndarray | None, window: int) -> tuple[list[bytes], np.ndarray]:
-    """Words, and which of them are covered; `at` stands for all equal windows of the text."""
+                of, h1, h2 = of[keep], h1[keep], h2[keep]
+                is_common = often[cells(h1, h2, 0, width) % COMMON_BITS]
+                short = (h2 & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(short), pa.array(ids[start + of]), pa.array(is_common)], names=["h1", "h2", "id", "common"])
+
+    rows = texts.mapInArrow(second, "h1 long, h2 int, id long, common boolean")
+    earliest = F.min("id").over(Window.partitionBy("h1", "h2"))
+    found = rows.where(~F.col("common")).select("h1", "h2", "id").withColumn("first", earliest).where(F.col("first") < F.col("id")).select("id", "h1")
+    if common.any():
+        rows = rows.where("common").select("h1", "h2", "id")
+        first = rows.groupBy("h1", "h2").agg(F.min("id").alias("first"))
+        found = found.unionByName(rows.join(first, ["h1", "h2"]).where(F.col("first") < F.col("id")).select("id", "h1"))
+    return found
+
+
+def _cover(raw: bytes, lost: np.ndarray | None, window: int) -> tuple[list[bytes], np.ndarray]:
+    """Words, and which of them the lost windows cover, given by their hashes."""
     words = raw.split()  # of bytes: exactly the six ASCII white-space characters
     gone = np.zeros(len(words), bool)
-    if at is not None and len(at):
+    if lost is not None and len(lost):
         _, place, h1, _, _ = windows([raw], window)
         hit = np.zeros(len(words) + 1, np.int32)
-        starts = place[np.isin(h1, h1[at])]
+        starts = place[np.isin(h1.view(np.int64), lost)]
         np.add.at(hit, starts, 1)
         np.add.at(hit, starts + window, -1)
         gone = np.cumsum(hit[:-1]) > 0
@@ -190,7 +210,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, most_bits: int = MOST_
     """
     ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    gone = repeated_windows(texts.where(F.col("id").isNotNull()), window, most_bits).groupBy("id").agg(F.collect_set("at").alias("at"))
+    gone = repeated_windows(texts.where(F.col("id").isNotNull()), window, most_bits).groupBy("id").agg(F.collect_list("h1").alias("lost"))
     gone = settle(gone.withColumnRenamed("id", "_of"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
 
@@ -198,8 +218,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, most_bits: int = MOST_
         for batch in batches:
             lost = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
             n, removed, digest, kept = [], [], [], []
-            for value, at in zip(batch.column(1), lost, strict=True):
-                words, out = _cover((value.as_py() or "").encode("utf-8", "surrogatepass"), None if at is None else np.array(at, np.int64), window)
+            for value, own in zip(batch.column(1), lost, strict=True):
+                words, out = _cover((value.as_py() or "").encode("utf-8", "surrogatepass"), None if own is None else np.array(own, np.int64), window)
                 left = b" ".join([w for w, x in zip(words, out.tolist(), strict=True) if not x] if out.any() else words)
                 n.append(len(words))
                 removed.append(int(out.sum()))
@@ -211,8 +231,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, most_bits: int = MOST_
 
     n_changed = gone.count()
     if n_changed > BROADCAST_IDS:
-        return texts.join(gone, F.col("id") == F.col("_of"), "left").select("id", "text", "at").mapInArrow(run, schema)
+        return texts.join(gone, F.col("id") == F.col("_of"), "left").select("id", "text", "lost").mapInArrow(run, schema)
     ids = F.broadcast(gone.select("_of"))
     same = texts.join(ids, F.col("id") == F.col("_of"), "left_anti").select("id", "text").mapInArrow(run, schema)
-    changed = texts.join(ids, F.col("id") == F.col("_of"), "left_semi").join(gone.hint("shuffle_hash"), F.col("id") == F.col("_of")).select("id", "text", "at").mapInArrow(run, schema)
+    changed = texts.join(ids, F.col("id") == F.col("_of"), "left_semi").join(gone.hint("shuffle_hash"), F.col("id") == F.col("_of")).select("id", "text", "lost").mapInArrow(run, schema)
     return same.unionByName(changed)
