@@ -10,8 +10,9 @@ of the slots of a neighbour whose cosine is `near`, estimated from a bounded sam
 neighbour are normal around near times the query's. Everything else uses all rows.
 
 At scale: a bucket's vectors and its queries are cut into blocks, so that a bucket with a third of all vectors is many tasks and a
-task is one matrix product of bounded size. The sample's 20th best score bounds a query's result from below, so blocks return
-only what can still be in it. The driver sees counts by bucket: at most tables times slots to the power k.
+task is one matrix product of bounded size. A query visits its likeliest buckets first; the 20th best score found there bounds
+its result from below, so that the blocks of all other buckets return only what can still be in it. (A first bound is the 20th
+best of the sample.) The driver sees counts by bucket: at most tables times slots to the power k.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .common import settle, ship
 SAMPLE, TABLES, FUNCTIONS, SLOT, SUCCESS, BLOCK = 2000, 2, 4, 1.5, 0.85, 2000
 #: A query visits buckets that hold so many times the wanted rows at least, in each table; smaller tables are visited whole.
 LEAST = 10
+#: Share of the success that the first visits make up.
+FIRST = 0.3
 
 
 @dataclass
@@ -145,16 +148,11 @@ def _search(rows: DataFrame, dim: int, every: int, top: int, success: float) ->
                     visits = 1 + ((total < success * total[:, -1:]) | (rows_seen < LEAST * top)).sum(1)
                     who = np.repeat(np.arange(len(q)), np.minimum(visits, len(buckets[t])))
                     where = np.concatenate([order[i, : visits[i]] for i in range(len(q))])  # a slice ends at the last bucket
-                    yield pa.RecordBatch.from_arrays([pa.array([names[t][b] for b in where], pa.string()), pa.array(ids[who]), part.column(1).take(pa.array(who)), pa.array(least[who])], names=["bucket", "id", "v", "least"])
+                    early = np.concatenate([total[i, : visits[i]] - chance[i, order[i, : visits[i]]] < FIRST * total[i, -1] for i in range(len(q))])
+                    yield pa.RecordBatch.from_arrays([pa.array([names[t][b] for b in where], pa.string()), pa.array(ids[who]), part.column(1).take(pa.array(who)), pa.array(least[who]), pa.array(early)], names=["bucket", "id", "v", "least", "early"])
 
-    queries = rows.where(F.col("id") % every == 0).select("id", "v").mapInArrow(probe, "bucket string, id long, v array<double>, least double")
+    queries = rows.where(F.col("id") % every == 0).select("id", "v").mapInArrow(probe, "bucket string, id long, v array<double>, least double, early boolean")
     queries = settle(queries)
-    asked = {r["bucket"]: r["count"] for r in queries.groupBy("bucket").count().collect()}
-    blocks = spark.createDataFrame([(b, -(-n // BLOCK), -(-asked[b] // BLOCK)) for b, n in sizes.items() if b in asked], "b string, n_rows int, n_asked int")
-    block = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
-    left = indexed.join(F.broadcast(blocks), F.col("bucket") == F.col("b")).withColumns({"i": block("n_rows", 1), "j": F.explode(F.sequence(F.lit(0), F.col("n_asked") - 1))}).select("bucket", "i", "j", "id", "v")
-    right = queries.join(F.broadcast(blocks), F.col("bucket") == F.col("b")).withColumns({"j": block("n_asked", 2), "i": F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1))}).select("bucket", "i", "j", "id", "v", "least")
-
     def rank(mine: pa.Table, asking: pa.Table) -> pa.Table:
         ids, who, where, exact = np.asarray(mine["id"]), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         query_ids = np.asarray(asking["id"])
@@ -174,11 +172,29 @@ def _search(rows: DataFrame, dim: int, every: int, top: int, success: float) ->
             who, where, exact = who[place < top], where[place < top], exact[place < top]
         return pa.table({"query_id": pa.array(query_ids[who] if len(who) else who, pa.int64()), "vec_id": pa.array(ids[where] if len(where) else where, pa.int64()), "score": pa.array(exact, pa.float64())})
 
-    on = ["bucket", "i", "j"]
-    found = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(rank, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    def visit(probes: DataFrame) -> DataFrame:
+        """(query_id, vec_id, score) of what the probes find, the best `top` of each query."""
+        asked = {r["bucket"]: r["count"] for r in probes.groupBy("bucket").count().collect()}
+        blocks = spark.createDataFrame([(b, -(-n // BLOCK), -(-asked[b] // BLOCK)) for b, n in sizes.items() if b in asked], "b string, n_rows int, n_asked int")
+        block = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+        left = indexed.join(F.broadcast(blocks), F.col("bucket") == F.col("b")).withColumns({"i": block("n_rows", 1), "j": F.explode(F.sequence(F.lit(0), F.col("n_asked") - 1))})
+        right = probes.join(F.broadcast(blocks), F.col("bucket") == F.col("b")).withColumns({"j": block("n_asked", 2), "i": F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1))})
+        on = ["bucket", "i", "j"]
+        found = left.select(*on, "id", "v").groupBy(*on).cogroup(right.select(*on, "id", "v", "least").groupBy(*on)).applyInArrow(rank, "query_id long, vec_id long, score double")
+        return best(found)
+
+    def best(found: DataFrame) -> DataFrame:
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+    first = settle(visit(queries.where("early")))
+    bound = first.where(F.col("rank") == top).select(F.col("query_id").alias("of"), F.col("score").alias("bound"))
+    later = queries.where(~F.col("early")).join(bound, F.col("id") == F.col("of"), "left")
+    tight = F.greatest("least", F.col("bound") - F.lit(1e-9) * (1 + F.abs("bound")))
+    found = visit(settle(later.select("bucket", "id", "v", tight.alias("least"))))
+    every_found = best(first.select("query_id", "vec_id", "score").unionByName(found.select("query_id", "vec_id", "score")))
+    return every_found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def exact_search(table: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, top: int = 20) -> dict[int, list[int]]:
