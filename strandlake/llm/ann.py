@@ -1,18 +1,21 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
 Vectors are projected on Gaussian directions and cut into slots; k slots are a bucket, and there are several tables. A query does
-not only visit its own bucket: occupied buckets are visited in the order of their estimated success, the chance that a
-neighbour at the distance of the wanted rank falls there, until the chances add up to `success`. What the tables find is merged
-and ranked by exact inner products in double precision.
+not only visit its own bucket: occupied buckets are visited first in the order of their estimated success, the chance that a
+neighbour at the distance of the wanted rank falls there. The 20th best score found so bounds the query's result from below, and
+all buckets of one table are visited that the bound does not rule out. So the result is exact, whatever the estimate is worth for
+a query. What the tables find is merged and ranked by exact inner products in double precision.
 
 Inner products become distances by one more component that gives all vectors the largest norm. The chance of a bucket is that
 of the slots of a neighbour whose cosine is `near`, estimated from a bounded sample (a tenth of all rows, `SAMPLE` at most); projections of such a
-neighbour are normal around near times the query's. Everything else uses all rows.
+neighbour are normal around near times the query's. It orders the first visits only. A bucket is ruled out by its slots: how far the
+query's projections are from them bounds the inner product with all that the bucket can hold.
 
 At scale: a bucket's vectors and its queries are cut into blocks, so that a bucket with a third of all vectors is many tasks and a
-task is one matrix product of bounded size. A query visits its likeliest buckets first; the 20th best score found there bounds
-its result from below, so that the blocks of all other buckets return only what can still be in it. (A first bound is the 20th
-best of the sample.) The driver sees counts by bucket: at most tables times slots to the power k.
+task is one matrix product of bounded size; after the first visits, small buckets that lie together are visited as one. A block
+returns only what is above the query's bound. (A first bound is the 20th best of the sample.) A query with near neighbours leaves
+most buckets out; one whose neighbours are hardly nearer than other vectors visits nearly all rows. The driver sees counts by
+bucket: at most tables times slots to the power k.
 """
 
 from __future__ import annotations
@@ -26,10 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import settle, ship
 
-SAMPLE, TABLES, FUNCTIONS, SLOT, SUCCESS, BLOCK = 2000, 2, 4, 1.5, 0.85, 2000
-#: A query visits buckets that hold so many times the wanted rows at least, in each table; smaller tables are visited whole.
+SAMPLE, TABLES, FUNCTIONS, SLOT, BLOCK = 2000, 2, 4, 1.5, 2000
+#: The first visits are to buckets that hold so many times the wanted rows at least, in each table; smaller tables are visited whole.
 LEAST = 10
-#: Share of the success that the first visits make up.
+#: Share of the chances that the first visits make up, at least.
 FIRST = 0.3
 
 
@@ -62,6 +65,17 @@ class Hashing:
             out *= np.maximum(_phi(low + self.slot / spread) - _phi(low), 1e-300)
         return out
 
+    def reach(self, aimed: np.ndarray, table: int, buckets: np.ndarray) -> np.ndarray:
+        """query, bucket -> a bound from above on the cosine with any lifted vector of the bucket."""
+        at = aimed @ self.directions[table].T + self.shifts[table]
+        away = np.zeros((len(aimed), len(buckets)))
+        for f in range(buckets.shape[1]):
+            low = buckets[None, :, f] * self.slot
+            away += np.maximum(0, np.maximum(low - at[:, None, f], at[:, None, f] - low - self.slot) - 1e-9) ** 2
+        # projections stretch a distance by the root of this at most
+        stretch = np.linalg.eigvalsh(self.directions[table] @ self.directions[table].T)[-1]
+        return 1 - away / (2 * stretch)
+
 
 def _phi(x: np.ndarray) -> np.ndarray:
     """The normal distribution function, to 1e-7 (Abramowitz and Stegun 26.2.17)."""
@@ -93,8 +107,8 @@ def fit(rows: DataFrame, dim: int, top: int, seed: int = 5, sample: int = SAMPLE
     return made, ids, x
 
 
-def search(table: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, top: int = 20, success: float = SUCCESS) -> DataFrame:
-    """query_id, rank, vec_id, score: for every row whose id is divisible by `every`, the `top` rows found with the largest inner product.
+def search(table: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, top: int = 20) -> DataFrame:
+    """query_id, rank, vec_id, score: for every row whose id is divisible by `every`, the `top` rows with the largest inner product.
 
     Vectors that are null, zero, or hold nulls or non-finite components take no part, nor do rows without an id. Of rows that
     repeat an id one counts; a query is not its own candidate. Vectors of another length than the most frequent one are
@@ -104,7 +118,7 @@ def search(table: DataFrame, key: str = "vec_id", vector: str = "embedding", eve
     rows = settle(usable(table, key, vector))
     out = None
     for r in rows.groupBy(F.size("v").alias("dim")).count().orderBy("dim").collect():
-        found = _search(rows.where(F.size("v") == r["dim"]), r["dim"], every, top, success)
+        found = _search(rows.where(F.size("v") == r["dim"]), r["dim"], every, top)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
@@ -114,7 +128,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, dim)
 
 
-def _search(rows: DataFrame, dim: int, every: int, top: int, success: float) -> DataFrame:
+def _search(rows: DataFrame, dim: int, every: int, top: int) -> DataFrame:
     spark = rows.sparkSession
     made, sample_ids, sample = fit(rows, dim, top)
 
@@ -127,11 +141,16 @@ def _search(rows: DataFrame, dim: int, every: int, top: int, success: float) ->
 
     indexed = settle(rows.select("id", "v").mapInArrow(index, "bucket string, id long, v array<double>"))
     sizes = {r["bucket"]: r["count"] for r in indexed.groupBy("bucket").count().collect()}
-    names = [sorted(b for b in sizes if b.startswith(f"{t}:")) for t in range(TABLES)]
+    names = [sorted((b for b in sizes if b.startswith(f"{t}:")), key=lambda b: [int(s) for s in b.split(":")[1].split(",")]) for t in range(TABLES)]
     held = [np.array([sizes[b] for b in some], np.int64) for some in names]
     buckets = [np.array([[int(s) for s in b.split(":")[1].split(",")] for b in some], np.int64).reshape(-1, FUNCTIONS) for some in names]
 
-    def probe(batches):
+    # buckets of the first table, those that lie together as one unit of a block or more
+    unit_of = np.concatenate([[0], np.cumsum(held[0])[:-1] // BLOCK]).astype(np.int64) if len(held[0]) else np.zeros(0, np.int64)
+    units = np.unique(unit_of)
+
+    def asked(batches):
+        """(ids, column of vectors, vectors, a bound from below on the score of the wanted rank) of up to 512 queries."""
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
@@ -139,20 +158,33 @@ def _search(rows: DataFrame, dim: int, every: int, top: int, success: float) ->
                 scores = q @ sample.T
                 scores[ids[:, None] == sample_ids[None, :]] = -np.inf
                 least = np.partition(scores, -top, axis=1)[:, -top] if scores.shape[1] >= top else np.full(len(q), -np.inf)
-                least = least - 1e-9 * (1 + np.abs(least))
-                for t in range(TABLES):
-                    chance = made.chances(made.aim(q), t, buckets[t])
-                    order = np.argsort(-chance, axis=1, kind="stable")
-                    total = np.cumsum(np.take_along_axis(chance, order, 1), axis=1)
-                    rows_seen = np.cumsum(held[t][order], axis=1)
-                    visits = 1 + ((total < success * total[:, -1:]) | (rows_seen < LEAST * top)).sum(1)
-                    who = np.repeat(np.arange(len(q)), np.minimum(visits, len(buckets[t])))
-                    where = np.concatenate([order[i, : visits[i]] for i in range(len(q))])  # a slice ends at the last bucket
-                    early = np.concatenate([total[i, : visits[i]] - chance[i, order[i, : visits[i]]] < FIRST * total[i, -1] for i in range(len(q))])
-                    yield pa.RecordBatch.from_arrays([pa.array([names[t][b] for b in where], pa.string()), pa.array(ids[who]), part.column(1).take(pa.array(who)), pa.array(least[who]), pa.array(early)], names=["bucket", "id", "v", "least", "early"])
-
-    queries = rows.where(F.col("id") % every == 0).select("id", "v").mapInArrow(probe, "bucket string, id long, v array<double>, least double, early boolean")
-    queries = settle(queries)
+                least = np.maximum(least, part.column(2).to_numpy(zero_copy_only=False))
+                yield ids, part.column(1), q, np.where(np.isfinite(least), least - 1e-9 * (1 + np.abs(least)), -np.inf)
+
+    def probes(places, ids, column, least, who, where):
+        return pa.RecordBatch.from_arrays([pa.array([places[b] for b in where], pa.string()), pa.array(ids[who]), column.take(pa.array(who)), pa.array(least[who])], names=["bucket", "id", "v", "least"])
+
+    def probe_first(batches):
+        for ids, column, q, least in asked(batches):
+            for t in range(TABLES):
+                chance = made.chances(made.aim(q), t, buckets[t])
+                order = np.argsort(-chance, axis=1, kind="stable")
+                sorted_chance, rows_held = np.take_along_axis(chance, order, 1), held[t][order]
+                total, rows_seen = np.cumsum(sorted_chance, axis=1), np.cumsum(rows_held, axis=1)
+                who, place = np.nonzero((total - sorted_chance < FIRST * total[:, -1:]) | (rows_seen - rows_held < LEAST * top))
+                yield probes(names[t], ids, column, least, who, order[who, place])
+
+    def probe_rest(batches):
+        for ids, column, q, least in asked(batches):
+            reach = made.reach(made.aim(q), 0, buckets[0])
+            reach = np.stack([reach[:, unit_of == u].max(1) for u in units], axis=1)
+            length = np.sqrt((q * q).sum(1)) * made.norm
+            who, where = np.nonzero(reach * length[:, None] >= least[:, None])
+            yield probes([str(u) for u in units], ids, column, least, who, where)
+
+    kinds = "bucket string, id long, v array<double>, least double"
+    queries = settle(rows.where(F.col("id") % every == 0).select("id", "v"))
+
     def rank(mine: pa.Table, asking: pa.Table) -> pa.Table:
         ids, who, where, exact = np.asarray(mine["id"]), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         query_ids = np.asarray(asking["id"])
@@ -172,10 +204,10 @@ def _search(rows: DataFrame, dim: int, every: int, top: int, success: float) ->
             who, where, exact = who[place < top], where[place < top], exact[place < top]
         return pa.table({"query_id": pa.array(query_ids[who] if len(who) else who, pa.int64()), "vec_id": pa.array(ids[where] if len(where) else where, pa.int64()), "score": pa.array(exact, pa.float64())})
 
-    def visit(probes: DataFrame) -> DataFrame:
+    def visit(probes: DataFrame, indexed: DataFrame, sizes: dict[str, int]) -> DataFrame:
         """(query_id, vec_id, score) of what the probes find, the best `top` of each query."""
-        asked = {r["bucket"]: r["count"] for r in probes.groupBy("bucket").count().collect()}
-        blocks = spark.createDataFrame([(b, -(-n // BLOCK), -(-asked[b] // BLOCK)) for b, n in sizes.items() if b in asked], "b string, n_rows int, n_asked int")
+        n_asked = {r["bucket"]: r["count"] for r in probes.groupBy("bucket").count().collect()}
+        blocks = spark.createDataFrame([(b, -(-n // BLOCK), -(-n_asked[b] // BLOCK)) for b, n in sizes.items() if b in n_asked], "b string, n_rows int, n_asked int")
         block = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
         left = indexed.join(F.broadcast(blocks), F.col("bucket") == F.col("b")).withColumns({"i": block("n_rows", 1), "j": F.explode(F.sequence(F.lit(0), F.col("n_asked") - 1))})
         right = probes.join(F.broadcast(blocks), F.col("bucket") == F.col("b")).withColumns({"j": block("n_asked", 2), "i": F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1))})
@@ -188,11 +220,14 @@ def _search(rows: DataFrame, dim: int, every: int, top: int, success: float) ->
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
-    first = settle(visit(queries.where("early")))
+    first = settle(queries.select("id", "v", F.lit(float("-inf")).alias("bound")).mapInArrow(probe_first, kinds))
+    first = settle(visit(first, indexed, sizes))
     bound = first.where(F.col("rank") == top).select(F.col("query_id").alias("of"), F.col("score").alias("bound"))
-    later = queries.where(~F.col("early")).join(bound, F.col("id") == F.col("of"), "left")
-    tight = F.greatest("least", F.col("bound") - F.lit(1e-9) * (1 + F.abs("bound")))
-    found = visit(settle(later.select("bucket", "id", "v", tight.alias("least"))))
+    bounded = queries.join(bound, F.col("id") == F.col("of"), "left").select("id", "v", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
+    unit_rows = {str(u): int(held[0][unit_of == u].sum()) for u in units}
+    unit_names = spark.createDataFrame([(b, str(u)) for b, u in zip(names[0], unit_of.tolist(), strict=True)], "of string, unit string")
+    in_units = indexed.join(F.broadcast(unit_names), F.col("bucket") == F.col("of")).select(F.col("unit").alias("bucket"), "id", "v")
+    found = visit(settle(bounded.mapInArrow(probe_rest, kinds)), in_units, unit_rows)
     every_found = best(first.select("query_id", "vec_id", "score").unionByName(found.select("query_id", "vec_id", "score")))
     return every_found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

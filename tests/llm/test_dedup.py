@@ -5,6 +5,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,3 +245,25 @@ def test_small_tables(spark):
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(vectors).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 10), (0, 2, 20), (20, 1, 10), (20, 2, 0)]
     assert ann.search(vectors.limit(0)).count() == 0
+
+
+def test_search_among_hot_groups(spark, tmp_path):
+    """Recall of every kind of query: of copies, of members of tight clusters, and of vectors that are spread out."""
+    rng = np.random.default_rng(11)
+    n, dim, every, top = 50_000, 64, 100, 20
+    unit = lambda v: v / np.sqrt((v * v).sum(1))[:, None]
+    kind = rng.choice(3, n, p=[0.33, 0.27, 0.4])
+    x = unit(rng.normal(size=(n, dim)))
+    centres = unit(rng.normal(size=(30, dim)))
+    x[kind == 1] = unit(centres[rng.integers(0, 30, (kind == 1).sum())] + rng.normal(size=((kind == 1).sum(), dim)) * 0.01)
+    x[kind == 0] = unit(x[kind == 0][:1] + rng.normal(size=((kind == 0).sum(), dim)) * 1e-3)
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x), pa.list_(pa.float64()))}), tmp_path / "v.parquet")
+    got = {}
+    for r in ann.search(spark.read.parquet(str(tmp_path / "v.parquet")), every=every, top=top).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = {0: [], 1: [], 2: []}
+    for q in range(0, n, every):
+        scores = x @ x[q]
+        scores[q] = -2
+        hits[kind[q]].append(len(got[q] & set(np.argpartition(-scores, top)[:top].tolist())) / top)
+    assert {k: np.mean(v) for k, v in hits.items()} == {0: 1, 1: 1, 2: 1}
