@@ -27,7 +27,7 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 #: Where credentials stand beyond the fixed patterns: other names, authorisation headers, and URLs with a user.
 _CONTEXT = re.compile(
     r"""(?:(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth|credential|signature)s?["']?\x20*(?:[:=]|=>|\x20is\x20)\x20*["']?"""
-    r"""|\bbearer\x20+|\bbasic\x20+|://[^\s:/@]{1,64}:)([^\s"'<>,;@]{8,256})""",
+    r"""|\bbearer\x20+|\bbasic\x20+|://[^\s:/@]+:)([^\s"'<>,;@]{8,})""",
     re.I | re.A,
 )
 
@@ -45,48 +45,60 @@ _LONGEST = max(map(len, _WORDS))
 _ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _NEXT = {frozenset((a, b)) for row in _ROWS for a, b in zip(row, row[1:], strict=False)} | {frozenset((a, b)) for up, low in zip(_ROWS[1:], _ROWS[2:], strict=False) for a, b in zip(up, low, strict=False)}
 _DATE = re.compile(r"(?:19|20)\d\d(?:([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])([-/._])(?:0[1-9]|1[0-2])\2(?:19|20)\d\d")
+#: Walks and sequences, up and down.
+_NEAR = (lambda a, b: frozenset((a, b)) in _NEXT, lambda a, b: ord(b) - ord(a) == 1, lambda a, b: ord(a) - ord(b) == 1)
 _LEET = str.maketrans("@40315$7", "aaoeisst")
 #: log10 of guesses from which a value is a secret.
 DEAR = 12.0
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses of the cheapest segmentation."""
+def guess_cost(value: str, enough: float = math.inf) -> float:
+    """log10 of the guesses of the cheapest segmentation; or a bound from below on it, once that reaches `enough`.
+
+    The work grows with the length: where repeats, walks and sequences end is found once for all their places.
+    """
     low, n = value.lower(), len(value)
     plain = low.translate(_LEET)
     classes = sum(size for has, size in ((r"[a-z]", 26), (r"[A-Z]", 26), (r"\d", 10), (r"[^a-zA-Z\d]", 33)) if re.search(has, value))
     per_char = math.log10(max(classes, 10))
     best = [0.0] + [math.inf] * n
-    ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+    ends: dict[int, list[tuple[int, float]]] = {}
     for m in _DATE.finditer(value):
-        ends[m.start()].append((m.end(), 2.1 if m.end() - m.start() == 4 else 4.6))
+        ends.setdefault(m.start(), []).append((m.end(), 2.1 if m.end() - m.start() == 4 else 4.6))
+    period_ends, chain_ends, furthest = [0] * 5, [0] * len(_NEAR), 0
     for i in range(n):
+        if i % 16 == 15 and furthest - i <= 64:  # every segmentation goes on from one of these places
+            if (bound := min(best[i : furthest + 1])) >= enough:
+                return bound
         if best[i] == math.inf:
             continue
         best[i + 1] = min(best[i + 1], best[i] + per_char)
+        furthest = max(furthest, i + 1)
+        jumps = list(ends.get(i, ()))
         for j in range(i + 3, min(n, i + _LONGEST) + 1):
             if rank := _RANK.get(plain[i:j]):
                 cost = math.log10(rank) + 0.3 * (value[i:j] != low[i:j]) + 0.3 * (plain[i:j] != low[i:j])
-                best[j] = min(best[j], best[i] + max(cost, 0.3))
-        j = i + 1  # one character again and again
-        while j < n and low[j] == low[i]:
-            j += 1
-        if j - i >= 3:
-            best[j] = min(best[j], best[i] + per_char + math.log10(j - i))
-        for unit in (2, 3, 4):  # a unit again and again
-            j = i + unit
-            while j + unit <= n and low[j : j + unit] == low[i : i + unit]:
-                j += unit
-            if j - i >= 3 * unit:
-                best[j] = min(best[j], best[i] + unit * per_char + math.log10((j - i) // unit))
-        for near in (lambda a, b: frozenset((a, b)) in _NEXT, lambda a, b: ord(b) - ord(a) == 1, lambda a, b: ord(a) - ord(b) == 1):  # walks and sequences
-            j = i + 1
-            while j < n and near(low[j - 1], low[j]):
-                j += 1
+                jumps.append((j, max(cost, 0.3)))
+        for unit in (1, 2, 3, 4):  # a unit again and again
+            j = max(period_ends[unit], i)
+            if j == i:
+                while j + unit < n and low[j] == low[j + unit]:
+                    j += 1
+                period_ends[unit] = j
+            times = 1 + (j - i) // unit
+            if times >= 3:
+                jumps.append((i + times * unit, unit * per_char + math.log10(times)))
+        for k, near in enumerate(_NEAR):
+            j = max(chain_ends[k], i + 1)
+            if j == i + 1:
+                while j < n and near(low[j - 1], low[j]):
+                    j += 1
+                chain_ends[k] = j
             if j - i >= 3:
-                best[j] = min(best[j], best[i] + math.log10(47) + 0.35 * (j - i))
-        for j, cost in ends[i]:
+                jumps.append((j, math.log10(47) + 0.35 * (j - i)))
+        for j, cost in jumps:
             best[j] = min(best[j], best[i] + cost)
+            furthest = max(furthest, j)
     return best[n]
 
 
@@ -106,7 +118,7 @@ def find_spans(text: str) -> list[tuple[int, str, int]]:
                 continue
             value = m[1].rstrip(".)]}!?")
             # a credential mixes kinds of characters; words of prose and addresses do not reach the cost
-            if len(value) >= 8 and re.search(r"\d", value) and re.search(r"[A-Za-z]", value) and guess_cost(value) >= DEAR:
+            if len(value) >= 8 and re.search(r"\d", value) and re.search(r"[A-Za-z]", value) and guess_cost(value, DEAR) >= DEAR:
                 found.append((m.start(1), 3, m.start(1) + len(value)))
     found.sort()
     return [(a, KINDS[k], b) for a, k, b in found]

@@ -39,6 +39,16 @@ def test_guess_cost_orders_values():
     assert secretscan.find_spans("postgres://bob:hJ8s0Kq2zPw9x@db/x")[0][1] == "guess"
 
 
+def test_long_values_are_covered_whole():
+    r = random.Random(4)
+    long = "".join(r.choice("abcdefghjkmnpqrstuvwxyzABCDEFGHJK23456789-_") for _ in range(700)) + "x9"
+    for text in (f"Bearer {long} end", f"private_key: {long}\n", f"postgres://{'u' * 90}:{long}@db/x"):
+        at = text.index(long)
+        assert secretscan.find_spans(text) == [(at, "guess", at + len(long))]
+        assert long[-3:] not in secretscan.redact(text, secretscan.find_spans(text))
+    assert secretscan.guess_cost("a" * 200_000) < secretscan.DEAR and secretscan.guess_cost("ab" * 50_000) < secretscan.DEAR
+
+
 def test_scan_and_redact(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
