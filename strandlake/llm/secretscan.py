@@ -114,9 +114,10 @@ def find_spans(text: str) -> list[tuple[int, str, int]]:
     if credential or "earer" in text or "asic" in text or " is " in text:
         taken = [(a, b) for a, _, b in found]
         for m in _CONTEXT.finditer(text):
-            if any(a < m.end(1) and m.start(1) < b for a, b in taken):
-                continue
             value = m[1].rstrip(".)]}!?")
+            # a fixed pattern may end within a value; its span stays, and the value's stands beside it
+            if any(a <= m.start(1) and m.start(1) + len(value) <= b for a, b in taken):
+                continue
             # a credential mixes kinds of characters; words of prose and addresses do not reach the cost
             if len(value) >= 8 and re.search(r"\d", value) and re.search(r"[A-Za-z]", value) and guess_cost(value, DEAR) >= DEAR:
                 found.append((m.start(1), 3, m.start(1) + len(value)))

@@ -49,6 +49,14 @@ def test_long_values_are_covered_whole():
     assert secretscan.guess_cost("a" * 200_000) < secretscan.DEAR and secretscan.guess_cost("ab" * 50_000) < secretscan.DEAR
 
 
+def test_values_that_go_on_behind_a_fixed_pattern():
+    text = 'x password = "hunter2024!Zq#9vLm" y'
+    assert secretscan.find_spans(text) == [(2, "assign", 24), (14, "guess", 32)]
+    assert secretscan.redact(text, secretscan.find_spans(text)) == 'x [SECRET]" y'
+    inside = "x token=hJ8s0Kq2zPw9xx. y"
+    assert [k for _, k, _ in secretscan.find_spans(inside)] == ["assign"]
+
+
 def test_scan_and_redact(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
