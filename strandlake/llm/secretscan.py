@@ -38,9 +38,24 @@ _WORDS = (
     "example sample dummy placeholder default guest root server system database backup public private temp token access value your "
     "that with this from have they will would there their what about which when make like time just know take people into year good some could "
     "them other than then now look only come over think also back after work first well even want because these give most name none null true false "
-    "required optional string number here insert redacted"
+    "required optional string number here insert redacted "
+    # words and parts of words that stand behind the names of credentials in prose and code; short ones would be met in random values
+    "self config settings setting environ getenv request response header headers param params args option options input output client service "
+    "session cookie bearer basic auth authentication authorization authorized credential credentials signature signed verify verified verification "
+    "encrypted encryption hash hashed management manager process object class method function return result error invalid valid missing incorrect "
+    "correct expired never always should must cannot before after every through between without within during another something anything "
+    "everything nothing someone people important necessary available possible impossible different difficult responsible "
+    "understand understood information government development organization community international national university education "
+    "department company business customer product project program problem question answer message email address phone account "
+    "protect protected security secure safe stored store storage sent send share shared hidden kept known unknown easy hard strong weak long short "
+    "simple complex length character characters letter letters digit digits symbol symbols minimum maximum least most written document file files folder path "
+    "link https http index page docs documentation tutorial website online "
+    "ation ition ments ment ness able ible ance ence ings ally tive ious ical ities less ship ward tional ative "
+    "inter under over trans super counter micro multi semi anti auto hyper extra ultra consider stand represent respons "
+    "establish experience knowledge accomplish communicat administrat recogni specific particular general special individual professional "
+    "technolog psycholog philosoph biolog environment circumstance neighbor disappoint embarrass straight forward fortunate"
 ).split()
-_RANK = {w: k + 1 for k, w in enumerate(_WORDS)}
+_RANK = {w: k + 1 for k, w in reversed(list(enumerate(_WORDS)))}
 _LONGEST = max(map(len, _WORDS))
 _ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _NEXT = {frozenset((a, b)) for row in _ROWS for a, b in zip(row, row[1:], strict=False)} | {frozenset((a, b)) for up, low in zip(_ROWS[1:], _ROWS[2:], strict=False) for a, b in zip(up, low, strict=False)}
@@ -50,6 +65,9 @@ _NEAR = (lambda a, b: frozenset((a, b)) in _NEXT, lambda a, b: ord(b) - ord(a) =
 _LEET = str.maketrans("@40315$7", "aaoeisst")
 #: log10 of guesses from which a value is a secret.
 DEAR = 12.0
+#: The same for values of letters, or letters and symbols: words of prose and names in code cost more than DEAR by brute force.
+DEAR_WORDS = 18.0
+_QUICK = re.compile(r"[:=]|bearer|basic|\x20is\x20", re.I | re.A)
 
 
 def guess_cost(value: str, enough: float = math.inf) -> float:
@@ -111,15 +129,17 @@ def find_spans(text: str) -> list[tuple[int, str, int]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    if credential or "earer" in text or "asic" in text or " is " in text:
+    if credential or _QUICK.search(text):
         taken = [(a, b) for a, _, b in found]
         for m in _CONTEXT.finditer(text):
             value = m[1].rstrip(".)]}!?")
             # a fixed pattern may end within a value; its span stays, and the value's stands beside it
             if any(a <= m.start(1) and m.start(1) + len(value) <= b for a, b in taken):
                 continue
-            # a credential mixes kinds of characters; words of prose and addresses do not reach the cost
-            if len(value) >= 8 and re.search(r"\d", value) and re.search(r"[A-Za-z]", value) and guess_cost(value, DEAR) >= DEAR:
+            dear = DEAR if re.search(r"\d", value) else DEAR_WORDS
+            # a capital at the start of a word is no second alphabet
+            priced = value.lower() if dear == DEAR_WORDS and value[1:].islower() else value
+            if len(value) >= 8 and guess_cost(priced, dear) >= dear:
                 found.append((m.start(1), 3, m.start(1) + len(value)))
     found.sort()
     return [(a, KINDS[k], b) for a, k, b in found]

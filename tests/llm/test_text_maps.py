@@ -57,6 +57,17 @@ def test_values_that_go_on_behind_a_fixed_pattern():
     assert [k for _, k, _ in secretscan.find_spans(inside)] == ["assign"]
 
 
+@pytest.mark.parametrize("value", ["kXwQzRtYvBnMpLsD", "73920618450271", "kX!wQz#RtYvB&nM", "83-51_70+92.64*18"])
+def test_cost_alone_decides_on_kinds_of_characters(value):
+    for before in ("pwd: ", "postgres://u:", "and BEARER ", "and Basic ", "the PASSWORD IS "):
+        assert secretscan.find_spans(before + value) == [(len(before), "guess", len(before + value))]
+
+
+def test_words_are_not_secrets():
+    for text in ("the password is responsible", "passphrase: Unfortunately", "the token is never understood", "credentials: authentication", "pwd: changemechangeme", "auth = request.headers", "pwd: 12345678901234"):
+        assert secretscan.find_spans(text) == []
+
+
 def test_scan_and_redact(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
