@@ -52,6 +52,9 @@ _CLOSES = {t: g for g in (frozenset({"p"}), frozenset({"li"}), frozenset({"dt",
 _CLOSES_P = _BLOCKS - {"br", "button", "option", "optgroup", "select", "legend", "caption", "body", "html", "title", "td", "th", "tr", "tbody", "thead", "tfoot", "dd", "dt", "li"}
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
+#: A reference to no character; Python does not convert so many digits.
+_LONG_REFERENCE = re.compile(r"&#[0-9]{4000,};?")
+
 
 CONTENT, OPEN, OTHER = "c", "o", "b"
 _SHOWN, _ASIDE, _UNSEEN = 0, 1, 2
@@ -125,15 +128,17 @@ class _Page(HTMLParser):
         if self.state[0] != _UNSEEN:
             self.parts.append(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        if self.rawdata.startswith("<![CDATA[", i):
+            return super().parse_marked_section(i, report)
+        return self.parse_bogus_comment(i)  # up to the next >, as browsers read it; the parser raises, or looks for a later ]>
+
 
 def page_lines(html: str) -> list[tuple[str, str]]:
     """(text, mark) of every line, in page order. The article with the most text is the page's; a main element stands in for one."""
     page = _Page()
-    try:
-        page.feed(html)
-        page.close()
-    except (AssertionError, ValueError):  # a declaration the parser gives up on: what was read so far counts
-        pass
+    page.feed(_LONG_REFERENCE.sub("\ufffd", html))
+    page.close()
     page.end_line()
     sizes: dict[int, int] = {}
     for text, article, _ in page.lines:

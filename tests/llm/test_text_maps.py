@@ -224,6 +224,21 @@ def test_pages(spark):
     assert html_diff.extract(pages.limit(0)).count() == 0
 
 
+def test_text_behind_unknown_declarations():
+    lines = lambda h: [t for t, _ in html_diff.page_lines(h)]
+    assert lines("<p>one <![x] two</p><p>three</p>") == ["one", "three"]  # the comment goes on to the next >
+    assert lines("<p>array<![0]> two</p><p>three</p>") == ["array two", "three"]
+    assert lines("<p>a</p><![endif]><p>b</p><![CDATA[c]]><p>d</p>") == ["a", "b", "d"]
+    assert lines("<p>a<![if x>b</p><![endif]--><p>c</p>x]>") == ["ab", "c", "x]>"]
+    assert lines(f"<p>a&#{'9' * 5000};b</p><p title='&#{'9' * 5000}'>c</p>") == ["a\ufffdb", "c"]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["<", "!", "[", "]", ">", "<![", "<!", "<!--", "-->", "</", "<?", "&#", "&#x110000;", "&#99999999999999999999;", "CDATA[", "if", "x", "0", "<p>", "<a b='", "<script>", "\0", " "]), max_size=12))
+def test_no_page_is_given_up(parts):
+    assert html_diff.page_lines("".join(parts) + "'\"-->]]></script></style></title></textarea><p>last</p>")[-1][0].endswith("last")
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=14), st.lists(st.integers(0, 4), max_size=14))
 def test_common_lines_are_longest(a, b):
