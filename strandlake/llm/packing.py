@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import itertools
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle, ship
+from .common import map_batches, settle, slices, utf8
 
 CAPACITY, GRAIN, END_ID = 2048, 8, 1
 
@@ -38,7 +39,7 @@ _TOKENIZERS: dict[tuple, Encoder] = {}
 class Vocabulary:
     """Where a vocabulary is: for tokenizers, and, if there is one, the same vocabulary as ranks with its pattern for tiktoken.
 
-    Ranks only make new words cheaper to encode; the ids are the same.
+    Ranks only make new words cheaper to encode; the ids are the same. Ranks of another vocabulary are refused.
     """
 
     path: str
@@ -46,28 +47,62 @@ class Vocabulary:
     pattern: str | None = None
 
 
+#: How the byte-level pre-tokeniser cuts texts, fixed by the format.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letters that byte-level vocabularies write for bytes: printable ones for themselves, the others from U+0100 on."""
+    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
+def cuts_at_spaces(made: dict) -> bool:
+    """Whether a tokenizer file is a byte-level BPE whose tokens never join what stands on both sides of a space between visible characters."""
+    model, cut = made["model"], made.get("pre_tokenizer") or {}
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    level = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+    return model.get("type") == "BPE" and plain and level and not made.get("normalizer") and all(t["special"] for t in made["added_tokens"])
+
+
+def same_vocabulary(made: dict, ranks: dict[bytes, int]) -> bool:
+    """Whether ranks are the ids of the tokenizer's tokens, and its merges are in their order."""
+    letters, special = _byte_letters(), {t["content"] for t in made["added_tokens"]}
+    vocab = {t: i for t, i in made["model"]["vocab"].items() if t not in special}
+    merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in made["model"]["merges"]]
+    return {bytes(letters[c] for c in t): i for t, i in vocab.items()} == ranks and merged == sorted(merged)
+
+
 class Encoder:
     """Token ids of whole texts, as little-endian 32-bit bytes.
 
-    The vocabulary's pre-tokeniser never joins what stands on both sides of a space between two visible characters, so
-    texts are cut there, and what follows a space is looked up in a cache before it is encoded.
+    Where the vocabulary's rules let texts be cut at spaces between visible characters, what follows such a space is looked up among
+    words met before, and only others are encoded; elsewhere the tokenizer gets whole texts. Ranks are refused unless they are the same vocabulary.
     """
 
     SAFE, RISKY = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s|^\s|\s$")
-    MOST = 600_000
+    #: Words kept of each of two generations, and their length at most: some 50 MB.
+    KEPT, LONG = 100_000, 64
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary.path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
+        with open(vocabulary.path, encoding="utf-8") as file:
+            made = json.load(file)
+        self.by_word = cuts_at_spaces(made)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.ranked = None
         if vocabulary.ranks:
             import tiktoken
 
             with open(vocabulary.ranks, "rb") as file:
                 ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+            if not (self.by_word and vocabulary.pattern == BYTE_LEVEL and same_vocabulary(made, ranks)):
+                raise ValueError(f"{vocabulary.ranks} is not the vocabulary of {vocabulary.path}")
             self.ranked = tiktoken.Encoding("ranks", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     @classmethod
@@ -90,16 +125,26 @@ class Encoder:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > self.MOST:
-            self.cache.clear()
-        cache = self.cache
+        if not self.by_word:
+            return self.plain(texts)
         cut = [self.SAFE.split(t) if self.RISKY.search(t) else t.split(" ") for t in texts]
-        new = list({w for words in cut for w in itertools.islice(words, 1, None) if w not in cache})
+        young, old, new = self.young, self.old, []
+        for w in {w for words in cut for w in itertools.islice(words, 1, None)} - young.keys():
+            if (known := old.get(w)) is None:
+                new.append(w)
+            else:
+                young[w] = known
         for k in range(0, len(new), 20_000):
             some = new[k : k + 20_000]
-            cache.update(zip(some, self.words([" " + w for w in some]), strict=True))
+            young.update(zip(some, self.words([" " + w for w in some]), strict=True))
         first = self.plain([words[0] for words in cut])
-        return [b"".join([head, *map(cache.__getitem__, itertools.islice(words, 1, None))]) for head, words in zip(first, cut, strict=True)]
+        out = [b"".join([head, *map(young.__getitem__, itertools.islice(words, 1, None))]) for head, words in zip(first, cut, strict=True)]
+        for w in new:
+            if len(w) > self.LONG:
+                del young[w]
+        if len(young) > self.KEPT:
+            self.young, self.old = {}, young
+        return out
 
 
 PIECES = T.StructType([
@@ -110,29 +155,24 @@ PIECES = T.StructType([
 
 def pieces(docs: DataFrame, vocabulary: Vocabulary, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """A row a piece: doc_id, start, length, ids_crc32, doc_tokens and, if asked for, the ids themselves."""
-    ship(docs.sparkSession)
     schema = T.StructType([*PIECES.fields, T.StructField("ids", T.BinaryType())]) if keep_ids else PIECES
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = Encoder.of(vocabulary), np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
-            # a few MB of text at a time, whatever the size of a batch
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            sizes = np.cumsum([len(t) if (t := x.as_py()) else 0 for x in texts]) // (4 << 20)
-            for _, group in itertools.groupby(range(len(ids)), key=sizes.__getitem__):
-                rows = list(group)
+            for a, b in slices(batch.column(1), 1 << 20, 4000):
                 out: list[tuple] = []
-                for i, raw in zip(rows, encoder.encode([texts[i].as_py() or "" for i in rows]), strict=True):
+                for i, raw in zip(batch.column(0)[a:b].to_pylist(), encoder.encode([t.decode("utf-8", "replace") for t in utf8(batch.column(1)[a:b])]), strict=True):
                     raw += end
                     total = len(raw) // 4
                     for s in range(0, total, capacity):
                         part = raw[4 * s : 4 * min(total, s + capacity)]
-                        out.append((ids[i], s, len(part) // 4, zlib.crc32(part), total, *([part] if keep_ids else [])))
-                columns = list(zip(*out, strict=True))
+                        out.append((i, s, len(part) // 4, zlib.crc32(part), total, *([part] if keep_ids else [])))
+                columns = zip(*out, strict=True)
                 kinds = [pa.int64()] * 5 + [pa.binary()] * keep_ids
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.name for f in schema.fields])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), cut, schema)
 
 
 # --- the cutting-stock problem -------------------------------------------------------------------------------------
@@ -255,8 +295,9 @@ def assign(found: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> Da
 def pack(docs: DataFrame, vocabulary: Vocabulary, capacity: int = CAPACITY, grain: int = GRAIN, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """Every piece of every document with its sequence and its place there.
 
-    Null and empty texts are the end id alone. Rows that repeat an id are packed one by one. Texts longer than a sequence
-    are cut; no length is dropped. Empty table: empty result. Other columns of the input are not read.
+    Null and empty texts are the end id alone. Rows that repeat an id are packed one by one; equal rows take each other's places.
+    Texts longer than a sequence are cut; no length is dropped. Empty table: empty result. Other columns of the input, whatever
+    their names, are not read. A long text takes a worker some 30 bytes of memory a byte.
     """
     return assign(settle(pieces(docs, vocabulary, capacity, end_id, keep_ids)), capacity, grain)
 

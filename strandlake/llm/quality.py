@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Roller, chunked, settle, ship, word_spans
+from .common import Roller, map_batches, settle, slices, utf8, word_spans
 
 #: The labelled rows used for learning, at most (in expectation): a documented bound, sampled by a hash of the id.
 TRAIN_ROWS = 20_000
@@ -33,6 +33,7 @@ _CLASS = np.zeros((256, 8), np.float32)  # letters, capitals, symbols, stops, sh
 for _c in range(256):
     _ch = chr(_c)
     _CLASS[_c] = (_c >= 128 or _ch.isalpha(), "A" <= _ch <= "Z", _ch in "#$%&*+/<=>@[\\]^_`{|}~", _ch in ".,;:", _ch in "!?", _ch.isdigit() and _c < 128, _c >= 0xC0, _c == 10)
+_LETTER = _CLASS[:, 0] > 0
 _ROLL = Roller(7)
 
 
@@ -42,6 +43,15 @@ def _grouped_max(keys: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _byte_counts(raw: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """How often each byte stands in each document, a block of bytes at a time."""
+    out = np.zeros((len(begin) - 1, 256), np.int64)
+    for k, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
+        for at in range(a, b, 1 << 16):
+            out[k] += np.bincount(raw[at : min(b, at + (1 << 16))], minlength=256)
+    return out
+
+
 def features(texts: list[bytes]) -> np.ndarray:
     """A row of FEATURES for every UTF-8 text; empty texts are all zeros."""
     n = len(texts)
@@ -49,8 +59,7 @@ def features(texts: list[bytes]) -> np.ndarray:
     sizes = np.array([len(t) for t in texts])
     begin = np.concatenate([[0], np.cumsum(sizes + 1)])
     size = np.maximum(sizes, 1)
-    doc_of_byte = np.repeat(np.arange(n), sizes + 1)
-    counts = np.bincount(doc_of_byte * 256 + raw, minlength=n * 256).reshape(n, 256) @ _CLASS
+    counts = _byte_counts(raw, begin) @ _CLASS
     s, e = word_spans(raw)
     doc = np.searchsorted(begin, s, "right") - 1
     words = np.bincount(doc, minlength=n)
@@ -58,7 +67,7 @@ def features(texts: list[bytes]) -> np.ndarray:
     h = _ROLL.words(raw, s, e)
     length = e - s
     per = lambda x: np.bincount(doc, weights=x, minlength=n)
-    bare = np.add.reduceat(_CLASS[:, 0][raw], s) == 0 if len(s) else np.zeros(0, bool)  # to the next word; white space has no letters
+    bare = ~np.logical_or.reduceat(_LETTER[raw], s) if len(s) else np.zeros(0, bool)  # to the next word; white space has no letters
     same_doc = np.zeros(len(s), bool)
     same_doc[1:] = doc[1:] == doc[:-1]
     repeat = np.zeros(len(s))
@@ -103,16 +112,14 @@ def features(texts: list[bytes]) -> np.ndarray:
 
 def feature_table(docs: DataFrame) -> DataFrame:
     """doc_id and `f`, the features of the whole text (null: empty) as an array of doubles."""
-    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(1)]
-            for a, b in chunked([len(t) for t in texts]):
-                x = features(texts[a:b])
+            for a, b in slices(batch.column(1)):
+                x = features(utf8(batch.column(1)[a:b]))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], names=["doc_id", "f"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, f array<double>")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, f array<double>")
 
 
 # --- the model -----------------------------------------------------------------------------------------------------
@@ -238,32 +245,34 @@ def score(table: DataFrame, model: AdditiveModel, folds: int = 3, held: int = 1,
             x = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
 
-    scored = table.select("doc_id", "f").mapInArrow(run, "doc_id long, score double")
+    scored = map_batches(table.select("doc_id", "f"), run, "doc_id long, score double")
     return scored.select("doc_id", (fold("doc_id", folds) == held).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document.
 
-    Null and empty texts are scored as texts without words. Repeated rows get equal scores. Without labels every score is
-    0.5. Of an id labelled twice, the larger label counts. Other columns are not read.
+    Null and empty texts are scored as texts without words. Repeated rows get equal scores, and so do texts with equal features.
+    Without labels every score is 0.5. Of an id labelled twice, the larger label counts. Empty table: empty result. Other columns,
+    whatever their names, are not read. A long text takes a worker about 30 bytes of memory a byte.
     """
     found = settle(feature_table(docs))
     return score(found, train(found, train_rows(labels, "quality", 3, 1, TRAIN_ROWS)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
-    """The rows whose text scores at least `cut`, with all their columns. Scored in place: texts are not shuffled."""
+    """The rows whose text scores at least `cut`, with all their columns. Scored in place: texts are not shuffled.
+
+    Null and empty texts, repeated rows, empty tables: as `classify` has it; a row stays or goes by its text alone.
+    """
     rows = settle(train_rows(labels, "quality", 3, 1, TRAIN_ROWS))
     model = train(feature_table(docs.join(F.broadcast(rows.select("_id")), docs["doc_id"] == F.col("_id"), "left_semi")), rows)
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(at)]
-            for a, b in chunked([len(t) for t in texts]):
-                yield batch.slice(a, b - a).filter(pa.array(model.score(features(texts[a:b])) >= cut))
+            for a, b in slices(batch.column(at)):
+                yield batch.slice(a, b - a).filter(pa.array(model.score(features(utf8(batch.column(at)[a:b]))) >= cut))
 
-    ship(docs.sparkSession)
     at, names = docs.columns.index("text"), docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    return plain.mapInArrow(mask, plain.schema).toDF(*names)
+    return map_batches(plain, mask, plain.schema).toDF(*names)

@@ -4,7 +4,7 @@ The cost of a value is the least, over all segmentations into spans, of the prod
 rank, dates, repeats, keyboard walks and sequences by their few parameters, anything else by brute force over the
 characters in use. A value in a credential context that is dear to guess is a secret; "changeme" and "2024-01-01" are not.
 
-Everything is a map over rows: no shuffle, and memory is that of one batch of texts.
+Everything is a map over rows: no shuffle, and memory is that of a slice of texts.
 """
 
 from __future__ import annotations
@@ -12,13 +12,15 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import map_batches, slices
 
 KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -130,11 +132,13 @@ def find_spans(text: str) -> list[tuple[int, str, int]]:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     if credential or _QUICK.search(text):
-        taken = [(a, b) for a, _, b in found]
+        found.sort()
+        starts, reach = [a for a, _, _ in found], list(accumulate((b for _, _, b in found), max))
         for m in _CONTEXT.finditer(text):
             value = m[1].rstrip(".)]}!?")
             # a fixed pattern may end within a value; its span stays, and the value's stands beside it
-            if any(a <= m.start(1) and m.start(1) + len(value) <= b for a, b in taken):
+            before = bisect_right(starts, m.start(1))
+            if before and m.start(1) + len(value) <= reach[before - 1]:
                 continue
             dear = DEAR if re.search(r"\d", value) else DEAR_WORDS
             # a capital at the start of a word is no second alphabet
@@ -160,36 +164,37 @@ _COLUMNS = ("n_assign long, n_access long, n_hex long, n_guess long, base_sha256
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, counts by kind, digest of the fixed patterns' spans and all spans, of every document.
 
-    Null and empty texts have no spans (the digest is that of an empty string). Repeated rows are scanned one by one.
+    Null and empty texts have no spans (the digest is that of an empty string). Repeated rows are scanned one by one. Spans that
+    start together are told in the order of KINDS. Empty table: empty result. Other columns, whatever their names, are not read.
+    A text's memory is a few times its size, however long it and its values are.
     """
-    ship(docs.sparkSession)
     names = ["doc_id", "n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for value in batch.column(1):
-                spans = find_spans(value.as_py() or "")
-                told = [(k, f"{k}:{a}:{b}") for a, k, b in spans]
-                base = ",".join(x for k, x in told if k != "guess")
-                rows.append((*(sum(k == kind for k, _ in told) for kind in KINDS), hashlib.sha256(base.encode()).hexdigest(), ",".join(x for _, x in told)))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, _COLUMNS[1], strict=True))], names=names)
+            for a, b in slices(batch.column(1)):
+                rows = []
+                for value in batch.column(1)[a:b]:
+                    spans = find_spans(value.as_py() or "")
+                    told = [(k, f"{k}:{x}:{y}") for x, k, y in spans]
+                    base = ",".join(x for k, x in told if k != "guess")
+                    rows.append((*(sum(k == kind for k, _ in told) for kind in KINDS), hashlib.sha256(base.encode()).hexdigest(), ",".join(x for _, x in told)))
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *(pa.array(c, k) for c, k in zip(columns, _COLUMNS[1], strict=True))], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, {_COLUMNS[0]}")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, f"doc_id long, {_COLUMNS[0]}")
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The input's rows and columns, every secret of the text column replaced by a mark. Null stays null."""
-    ship(docs.sparkSession)
-    at = docs.columns.index(text)
+    """The input's rows and columns, every secret of the text column replaced by a mark. Null stays null; repeated rows stay."""
+    at, names = docs.columns.index(text), [f"c{i}" for i in range(len(docs.columns))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            clean = [None if (t := x.as_py()) is None else redact(t, find_spans(t)) for x in batch.column(at)]
-            columns = [pa.array(clean, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
+            for a, b in slices(batch.column(at)):
+                part = batch.slice(a, b - a)
+                clean = pa.array([None if (t := x.as_py()) is None else redact(t, find_spans(t)) for x in part.column(at)], pa.string())
+                yield pa.RecordBatch.from_arrays([clean if i == at else c for i, c in enumerate(part.columns)], names=names)
 
-    schema = docs.schema
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    return plain.mapInArrow(run, plain.schema).toDF(*[f.name for f in schema.fields])
+    plain = docs.toDF(*names)
+    return map_batches(plain, run, plain.schema).toDF(*docs.columns)

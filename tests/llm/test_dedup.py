@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlake.llm import ann, neardup, substrings
-from strandlake.llm.common import table
+from strandlake.llm.common import Roller, table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -104,13 +104,59 @@ def test_likely_pairs_of_a_bucket_with_several_components(spark):
     sig = rng.integers(0, 65536, (40, neardup.BINS)).astype("<u2")
     sig[21:30] = sig[20]
     members = spark.createDataFrame([(5, i, 0 if i < 20 else i) for i in range(40)], "key long, id long, component long")
-    sigs = spark.createDataFrame([(i, sig[i].tobytes()) for i in range(40)], "id long, sig binary")
+    sigs = spark.createDataFrame([(i, 100, sig[i].tobytes()) for i in range(40)], "id long, n long, sig binary")
     got = {(x["a"], x["b"]) for x in neardup._likely_pairs(members, sigs, 100).collect()}
     assert got == {(a, b) for a in range(20, 30) for b in range(a + 1, 30)}
     few = {(x["a"], x["b"]) for x in neardup._likely_pairs(members, sigs, 2).collect()}
     assert few <= got and {x for p in few for x in p} == set(range(20, 30))
 
 
+@pytest.mark.parametrize("common, only", [(4, (1, 0)), (8, (1, 1)), (12, (3, 0)), (16, (2, 2)), (32, (8, 0)), (51, (6, 6)), (52, (13, 0)), (96, (12, 12))])
+def test_no_pair_at_the_threshold_is_lost(common, only):
+    """20,000 pairs of 4 of 5 shared shingles and larger ones: all share a bucket and pass the signature test."""
+    rng, m, x, y = np.random.default_rng(common), 20_000, *only
+    h = rng.integers(0, 2**64, (m, common + x + y), np.uint64, endpoint=False)
+    first, second = np.sort(h[:, : common + x], axis=1), np.sort(np.concatenate([h[:, :common], h[:, common + x :]], axis=1), axis=1)
+    same = neardup.signatures(np.repeat(np.arange(m), common + x), first.ravel(), m) == neardup.signatures(np.repeat(np.arange(m), common + y), second.ravel(), m)
+    assert neardup.agreeing(same.sum(1), np.full(m, common + x), np.full(m, common + y)).all()
+    assert same.reshape(m, neardup.BANDS, neardup.ROWS).all(2).any(1).all()
+
+
+def test_families_of_several_components(spark, monkeypatch):
+    """Families in many small blocks, with links that only the second comparison finds, equal brute force."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    r = random.Random(9)
+    texts = {}
+    for family in range(3):
+        base = [f"f{family}w{k}" for k in range(60)]
+        for copy in range(25):
+            words = list(base)
+            at = r.randrange(50)
+            words[at : at + r.choice([1, 2, 9])] = [f"x{r.random()}"]
+            texts[family * 100 + copy] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    families = spark.createDataFrame([(i, i // 100 * 100, 60) for i in texts], "id long, family long, n long")
+    parts = {x["node"]: x["component"] for x in neardup.link_families(docs, families).collect()}
+    expected = {i: c for i, (_, c) in brute_components(texts).items()}
+    assert {i: parts.get(i, i) for i in texts} == expected and len(set(expected.values())) > 3
+
+
+def test_hashes_do_not_depend_on_place_or_blocks():
+    roll = Roller(2)
+    rng = np.random.default_rng(3)
+    raw = rng.integers(97, 100, 5 * Roller.STEP, np.uint8, endpoint=True)
+    part = raw[:1000]
+    raw[3 * Roller.STEP - 500 : 3 * Roller.STEP + 500] = part
+    starts = np.array([0, 3 * Roller.STEP - 500, 3 * Roller.STEP - 499])
+    ends = np.array([1000, 3 * Roller.STEP + 500, 3 * Roller.STEP + 501])
+    a, b, c = roll.words(raw, starts, ends)
+    assert a == b != c and a == roll.words(part, np.array([0]), np.array([1000]))[0]
+    values = rng.integers(0, 2**64, 3 * Roller.STEP, np.uint64, endpoint=False)
+    values[-10:] = values[:10]
+    x, y = roll.spans(values, np.array([0, len(values) - 10]), np.array([10, len(values)]))
+    assert x == y
+
+
 @pytest.mark.parametrize("two_sides", [False, True])
 def test_links_of_a_block(two_sides):
     r = random.Random(6)
