@@ -5,32 +5,35 @@ host, by their longest common subsequence: what the two share is the site's, not
 
 Differencing alone can't give the article: pages of one host carry different menus, and articles share sentences. So structure
 marks lines first. Paragraphs, headings, lists, quotations and tables of an article are content, which differencing does not
-delete; what stands in menus, notices, adverts, forms, comments and the like, or outside a page's article, is not; all other
-lines are open, and differencing decides.
+delete; what stands in menus, notices, adverts, forms, comments and the like, or outside a page's article, is not, shared or not; all
+other lines are open, and differencing decides.
 
 At scale: one map parses the pages to narrow rows (host, path, line hashes); neighbours come from a range sort of those, with
-the ends of each range passed on, so that one host may have any share of the pages. Whole pages are shuffled only if the list
-of pages that lose open lines is too long to broadcast.
+the ends of each range passed on, so that one host may have any share of the pages. Alignment is by bits, in memory linear in the
+lines of two pages, whatever they repeat. Whole pages are shuffled only if the lists of deleted lines are too long to broadcast.
 """
 
 from __future__ import annotations
 
+import os.path
 import re
-from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, ship
+from .common import map_batches, settle, slices
 
-#: Up to so many changed pages the list of their deleted lines is broadcast.
-BROADCAST_PAGES = 20_000
+#: Up to so many bytes the lists of deleted lines are broadcast.
+BROADCAST_BYTES = 4 << 20
 PAGES_PER_RANGE = 200_000
+#: Up to so many bits an alignment is kept whole; longer ones are halved.
+ALIGN_BITS = 1 << 25
 
 # elements by role, fixed
 _HIDDEN = frozenset("head script style noscript template svg math iframe object canvas audio video select option textarea button datalist".split())
@@ -150,33 +153,60 @@ def page_lines(html: str) -> list[tuple[str, str]]:
     return [(t, OTHER if a != chosen else CONTENT if prose else OPEN) for t, a, prose in page.lines]
 
 
-def common_lines(mine: list[int], other: list[int]) -> list[int]:
-    """Places in `mine` of a longest common subsequence with `other`: equal ends are cut off, the rest by Hunt and Szymanski."""
+def _rows(mine: Sequence[int], other: Sequence[int]) -> Iterator[int]:
+    """After each line of `mine`, a number whose bit j is 0 where a longest common subsequence with other[: j + 1] is one longer than with other[:j].
+
+    All of a row is one addition: work is lines times lines by 64, and equal lines cost nothing more.
+    """
+    where: dict[int, int] = {}
+    for j, line in enumerate(other):
+        where[line] = where.get(line, 0) | 1 << j
+    full = (1 << len(other)) - 1
+    row = full
+    for line in mine:
+        both = row & where.get(line, 0)
+        row = (row + both | row - both) & full
+        yield row
+
+
+def _lengths(mine: Sequence[int], other: Sequence[int]) -> np.ndarray:
+    """The length of a longest common subsequence of all of `mine` with each beginning of `other`."""
+    row = (1 << len(other)) - 1
+    for row in _rows(mine, other):  # noqa: B007
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(other) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(other)]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
+def common_lines(mine: Sequence[int], other: Sequence[int]) -> list[int]:
+    """Places in `mine` of a longest common subsequence with `other`. Equal ends are cut off; long pages are halved where the halves' lengths add up to most."""
     n, m, k = len(mine), len(other), 0
     while k < min(n, m) and mine[k] == other[k]:
         k += 1
     z = 0
     while z < min(n, m) - k and mine[n - 1 - z] == other[m - 1 - z]:
         z += 1
-    where: dict[int, list[int]] = {}
-    for j in range(m - z - 1, k - 1, -1):
-        where.setdefault(other[j], []).append(j)
-    ends: list[int] = []
-    links: list[tuple] = []
-    for i in range(k, n - z):
-        for j in where.get(mine[i], ()):
-            p = bisect_left(ends, j)
-            link = (i, links[p - 1] if p else None)
-            if p == len(ends):
-                ends.append(j)
-                links.append(link)
+    a, b = mine[k : n - z], other[k : m - z]
+    if not a or not b:
+        middle = []
+    elif len(a) * len(b) > ALIGN_BITS and len(a) > 1:
+        half = len(a) // 2
+        left, right = a[:half], a[half:]
+        at = int(np.argmax(_lengths(left, b) + _lengths(right[::-1], b[::-1])[::-1]))
+        middle = [*common_lines(left, b[:at]), *(half + x for x in common_lines(right, b[at:]))]
+    else:
+        rows, middle = list(_rows(a, b)), []
+        i, j = len(a), len(b)
+        while i and j:
+            if rows[i - 1] >> (j - 1) & 1:
+                j -= 1
             else:
-                ends[p], links[p] = j, link
-    middle, at = [], links[-1] if links else None
-    while at:
-        middle.append(at[0])
-        at = at[1]
-    return [*range(k), *middle[::-1], *range(n - z, n)]
+                i -= 1
+                if not i or rows[i - 1] >> (j - 1) & 1:
+                    j -= 1
+                    middle.append(i)
+        middle.reverse()
+    return [*range(k), *(k + x for x in middle), *range(n - z, n)]
 
 
 def _place(url: str | None) -> tuple[str, str]:
@@ -193,25 +223,26 @@ def _digest(url: str | None, html: str) -> int:
 
 def line_table(pages: DataFrame) -> DataFrame:
     """(page_id, digest, host, path, lines, marks): hashes and marks of the lines of every page that has any."""
-    ship(pages.sparkSession)
+    names = ["page_id", "digest", "host", "path", "lines", "marks"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for i, url, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                html = value.as_py() or ""
-                if lines := page_lines(html):
-                    rows.append((i, _digest(url, html), *_place(url), [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t, _ in lines], "".join(m for _, m in lines)))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page_id", "digest", "host", "path", "lines", "marks"])
+            for a, b in slices(batch.column(2)):
+                rows = []
+                for i, url, value in zip(batch.column(0)[a:b].to_pylist(), batch.column(1)[a:b].to_pylist(), batch.column(2)[a:b], strict=True):
+                    html = value.as_py() or ""
+                    if lines := page_lines(html):
+                        rows.append((i, _digest(url, html), *_place(url), [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t, _ in lines], "".join(m for _, m in lines)))
+                columns = list(zip(*rows, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     source = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return source.mapInArrow(run, "page_id long, digest long, host string, path string, lines array<long>, marks string")
+    return map_batches(source, run, "page_id long, digest long, host string, path string, lines array<long>, marks string")
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """(page_id, digest, near): near is the digest and id of the page before or after in URL order, whichever shares more of the path."""
+    """(page_id, digest, near_digest, near_id): the page before or after in URL order on the host, whichever shares more of the path."""
     key = ["host", "path", "page_id", "digest"]
     n = max(1, -(-rows.count() // PAGES_PER_RANGE))
     placed = settle(rows.select(*key).distinct().repartitionByRange(n, *key).withColumn("range", F.spark_partition_id()))
@@ -221,59 +252,67 @@ def neighbours(rows: DataFrame) -> DataFrame:
     in_order = Window.orderBy("range")  # one row a range
     ends = ends.select(F.col("range").alias("r"), F.lag("last").over(in_order).alias("left"), F.lead("first").over(in_order).alias("right"))
     both = placed.withColumns({"before": F.lag(whole).over(in_range), "after": F.lead(whole).over(in_range)}).join(F.broadcast(ends), F.col("range") == F.col("r"))
-    before, after = F.coalesce("before", "left"), F.coalesce("after", "right")
+    near = both.select("page_id", "digest", "host", "path", F.coalesce("before", "left").alias("x"), F.coalesce("after", "right").alias("y"))
+    sides = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "xy" for c in ("host", "path", "digest", "page_id")]
 
-    def shared(other):
-        """Length of the common beginning of two paths; -1 on another host."""
-        size = F.least(F.length("path"), F.length(other["path"]))
-        same = F.aggregate(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), F.lit(0), lambda a, k: F.when((a == k - 1) & (k <= size) & (F.substring(F.col("path"), F.lit(1), k) == F.substring(other["path"], F.lit(1), k)), k).otherwise(a))
-        return F.when(other["host"].eqNullSafe(F.col("host")), same).otherwise(-1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chosen = []
+            for host, path, *others in zip(*(batch.column(k).to_pylist() for k in range(2, 12)), strict=True):
+                found = [(len(os.path.commonprefix([path, p])), -k, d, i) for k, (h, p, d, i) in enumerate((others[:4], others[4:])) if h == host and i is not None]
+                chosen.append(max(found)[2:] if found else (None, None))
+            columns = [pa.array(c, pa.int64()) for c in zip(*chosen, strict=True)] if chosen else [pa.array([], pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["page_id", "digest", "near_digest", "near_id"])
 
-    both = both.withColumns({"b": F.coalesce(shared(before), F.lit(-1)), "a": F.coalesce(shared(after), F.lit(-1)), "x": before, "y": after})
-    near = F.when((F.col("a") < 0) & (F.col("b") < 0), None).when(F.col("a") > F.col("b"), F.col("y")).otherwise(F.col("x"))
-    return both.select("page_id", "digest", near.alias("near")).where(F.col("near").isNotNull())
+    found = map_batches(near.select("page_id", "digest", "host", "path", *sides), run, "page_id long, digest long, near_digest long, near_id long")
+    return found.where(F.col("near_id").isNotNull())
 
 
 def deletions(rows: DataFrame) -> DataFrame:
-    """(page_id, digest, gone): the places of the open lines that a page shares with its neighbour, for pages that share any."""
+    """(page_id, digest, gone, n_shared): the places of the open lines that a page shares with its neighbour, and how many lines that are not content it shares."""
     mine = rows.dropDuplicates(["page_id", "digest"]).select("page_id", "digest", "lines", "marks")
     other = mine.select(F.col("page_id").alias("near_id"), F.col("digest").alias("near_digest"), F.col("lines").alias("near_lines"))
-    pairs = neighbours(rows).select("page_id", "digest", F.col("near.page_id").alias("near_id"), F.col("near.digest").alias("near_digest"))
-    pairs = pairs.join(mine, ["page_id", "digest"]).join(other, ["near_id", "near_digest"])
+    pairs = neighbours(rows).join(mine, ["page_id", "digest"]).join(other, ["near_id", "near_digest"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = [[k for k in common_lines(a.as_py(), b.as_py()) if m[k] == OPEN] for a, m, b in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))], names=["page_id", "digest", "gone"])
+            gone, shared = [], []
+            for a, marks, b in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
+                marks, same = marks.as_py(), common_lines(a.as_py(), b.as_py())
+                gone.append([k for k in same if marks[k] == OPEN])
+                shared.append(sum(marks[k] != CONTENT for k in same))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32())), pa.array(shared, pa.int32())], names=["page_id", "digest", "gone", "n_shared"])
 
-    return pairs.select("page_id", "digest", "lines", "marks", "near_lines").mapInArrow(run, "page_id long, digest long, gone array<int>").where(F.size("gone") > 0)
+    return map_batches(pairs.select("page_id", "digest", "lines", "marks", "near_lines"), run, "page_id long, digest long, gone array<int>, n_shared int")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
     Null and empty pages have empty texts. A page with no other page on its host keeps its open lines. Pages that repeat an id
-    are read one by one; equal rows count once as neighbours. A null id has no neighbour. Other columns are not read.
+    are read one by one; equal rows count once as neighbours. Of two neighbours with equally near paths the one before, by URL,
+    counts. A null id has no neighbour. Empty table: empty result. Other columns, whatever their names, are not read. A long page
+    takes a worker some 50 bytes of memory a byte.
     """
-    ship(pages.sparkSession)
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    gone = settle(deletions(settle(line_table(source).where(F.col("page_id").isNotNull()))))
-    n_gone = gone.count()
-    if n_gone:
+    gone = settle(deletions(settle(line_table(source).where(F.col("page_id").isNotNull()))).where(F.size("gone") > 0).drop("n_shared"))
+    size = gone.agg(F.sum(4 * F.size("gone") + 40)).first()[0]
+    if size:
         lost = gone.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("digest").cast("string"), "gone"))).alias("gone"))
-        lost = F.broadcast(lost) if n_gone <= BROADCAST_PAGES else lost
+        lost = F.broadcast(lost) if size <= BROADCAST_BYTES else lost
         source = source.join(lost, "page_id", "left")
     else:
         source = source.withColumn("gone", F.lit(None).cast("map<string,array<int>>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for url, value, lost in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                html = value.as_py() or ""
-                found = lost.as_py()
-                out = frozenset(dict(found).get(str(_digest(url, html)), ())) if found else ()
-                texts.append(" ".join(t for k, (t, mark) in enumerate(page_lines(html)) if mark != OTHER and k not in out))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    return source.select("page_id", "url", "html", "gone").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+            for a, b in slices(batch.column(2)):
+                texts = []
+                for url, value, lost in zip(batch.column(1)[a:b].to_pylist(), batch.column(2)[a:b], batch.column(3)[a:b], strict=True):
+                    html = value.as_py() or ""
+                    found = lost.as_py()
+                    out = frozenset(dict(found).get(str(_digest(url, html)), ())) if found else ()
+                    texts.append(" ".join(t for k, (t, mark) in enumerate(page_lines(html)) if mark != OTHER and k not in out))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return map_batches(source.select("page_id", "url", "html", "gone"), run, "page_id long, url string, text string, n_chars long")

@@ -1,10 +1,10 @@
 """Operators that read one text at a time: secrets, media, quality, toxicity, pages."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
-from collections import Counter
 
 import numpy as np
 import pytest
@@ -179,15 +179,78 @@ def test_classifiers_without_labels_or_rows(spark):
     assert quality.classify(docs.limit(0), none).count() == 0 == toxicity.classify(docs.limit(0), none).count()
 
 
-def test_grammar_reads_clauses():
+def clauses_by_definition(symbols):
+    """What the composed machine must find, from the definitions of scopes and kinds alone."""
+    kinds, found = [k for k, _ in symbols], []
+    ends = [-1, *(i for i, k in enumerate(kinds) if k == "E"), len(kinds)]
+
+    def marks(i, start):
+        quoted = kinds[:i].count("Q") % 2 == 1
+        since = max([j for j in range(i) if kinds[j] in "EQ"], default=-1) + 1
+        return "N" in kinds[max(start, i - 4) : i], quoted or "R" in kinds[since:i]
+
+    for left, right in zip(ends, ends[1:]):
+        start, ranked = left + 1, []
+        for i in range(start, right):
+            if kinds[i] == "I":
+                negated, reported = marks(i, start)
+                targeted = any(k in "YP" for k in kinds[max(start, i - 5) : i]) or (i > start and kinds[i - 1] == "D")
+                kind = "negated" if negated else "reported" if reported else "addressed" if targeted else "predicate" if "C" in kinds[max(start, i - 3) : i] else "vocative" if i == start or kinds[i - 1] == "K" else "mention"
+                ranked.append((toxicity.KINDS[kind], symbols[i][1], kind))
+        for part in re.finditer(r"[^Q]+", "".join(kinds[start:right])):
+            for m in re.finditer(r"W[^WH]{0,3}(H)[^WYP]{0,4}[YP]", part[0]):
+                negated, reported = marks(start + part.start() + m.start(1), start)
+                if negated or reported:
+                    ranked.append((toxicity.KINDS["negated" if negated else "reported"], 1.0, "negated" if negated else "reported"))
+                else:
+                    found.append(("threat", 1.0))
+        if ranked:
+            best = max(ranked)
+            found.append((best[2], best[1]))
+    return sorted(found)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from("IIHWYPDCNRQKEOO"), max_size=40))
+def test_machine_equals_the_definitions(kinds):
+    symbols = [(k, 1.0 + i % 3 if k == "I" else 0.0) for i, k in enumerate(kinds)]
+    assert sorted(toxicity.GRAMMAR.clauses(symbols)) == clauses_by_definition(symbols)
+
+
+def test_machine_equals_the_definitions_on_documents(spark, sf_dir):
+    """Over whole tables, with the words that the labels teach."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    matched = 0
+    for r in docs.collect():
+        symbols = [model.lexicon.symbol(w) for w in re.findall(r"""[^\W\d_]+|[.!?;\n]|[,:]|["“”„«»]""", r["text"].lower())]
+        got = sorted(model.lexicon.read(r["text"]))
+        assert got == clauses_by_definition(symbols)
+        matched += bool(got)
+    assert matched > 5
+
+
+def test_clauses_and_not_words_are_scored():
     lex = toxicity.Lexicon({"idiot$": 5.0, "lowei+": 4.0})
-    kinds = lambda t: {k: len(v) for k, v in lex.read(t).items()}
-    assert kinds("You are an idiot.") == {"It": 1}
-    assert kinds("She is not an idiot.") in ({"Int": 1}, {"In": 1})
-    assert kinds("He said she was an idiot.") in ({"Irt": 1}, {"Ir": 1})
-    assert kinds("a loweibar here") == {"I": 1} and kinds("lowei") == {}
-    assert kinds("I will kill you") == {"h": 1} and kinds("kill the lights") == {}
-    assert kinds("nothing") == {}
+    kinds = lambda t: [k for k, _ in lex.read(t)]
+    assert kinds("You are an idiot.") == ["addressed"] == kinds("this idiot") == kinds("They called. he is one idiot")
+    assert kinds("it is stupid, it was an idiot") == ["predicate"] and kinds("Idiot! go") == ["vocative"] == kinds("shut up, idiot")
+    assert kinds("She is not an idiot.") == ["negated"] and kinds("He said she was an idiot.") == ["reported"] == kinds('the word "idiot" is old')
+    assert kinds("a loweibar here") == ["mention"] and kinds("lowei") == [] == kinds("nothing") == kinds("kill the lights")
+    assert kinds("I will kill you") == ["threat"] and kinds("I will not kill you") == ["negated"] and kinds("he said: I will kill you") == ["reported"]
+    assert lex.read("a loweibar and you idiot here") == [("addressed", 5.0)]
+    prior = toxicity.ToxicModel(lex, toxicity.PRIOR)
+    score = lambda t: prior.score([t])[0]
+    listed = ["the word idiot has five letters", "He said she was an idiot.", "She is not an idiot."]
+    assert all(score(t) < 0.3 for t in listed) and all(score(t) >= 0.3 for t in ("you idiot", "I will kill you", "it is idiot", "idiot!"))
+
+
+def test_weights_of_kinds_are_learned():
+    """Labels decide what a kind of clause means: here mentions are toxic, and addressed clauses are not."""
+    rows = [(toxicity.vector([("mention", 5.0)]), 1.0), (toxicity.vector([("addressed", 5.0)]), 0.0), (toxicity.vector([]), 0.0)] * 200
+    w = toxicity.fit_weights(np.array([x for x, _ in rows]), np.array([y for _, y in rows]))
+    model = toxicity.ToxicModel(toxicity.Lexicon({"idiot$": 5.0}), w)
+    assert model.score(["an idiot"])[0] > 0.9 and model.score(["you idiot"])[0] < 0.1
 
 
 def test_stems_are_learned(spark):
@@ -205,8 +268,10 @@ def test_stems_are_learned(spark):
     assert got and all(r["predicted"] == (r["doc_id"] % 6 == 0) for r in got)
 
 
-def test_counter_vector():
-    assert toxicity.vector({}) == [1.0] + [0.0] * 10 and Counter(toxicity.vector({"I": [2.0]}))[0.0] == 8
+def test_stems_have_no_limit_of_number_or_length():
+    long = "z" * 60
+    lex = toxicity.Lexicon({long + "$": 3.0, "ab$": 2.0} | {f"w{k:04d}"[:1] + chr(97 + k % 26) * 3 + str(k) + "$": 1.0 for k in range(5000)})
+    assert lex.insult(long) == 3.0 and lex.symbol("ab") == ("I", 2.0) and len(lex.entries) == 5002
 
 
 # --- pages
@@ -252,6 +317,51 @@ def test_common_lines_are_longest(a, b):
     assert all(a[k] in it for k in places)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=60), st.lists(st.integers(0, 5), max_size=60))
+def test_halved_alignments_are_as_long(a, b):
+    whole = html_diff.common_lines(a, b)
+    limit, html_diff.ALIGN_BITS = html_diff.ALIGN_BITS, 40
+    try:
+        parts = html_diff.common_lines(a, b)
+    finally:
+        html_diff.ALIGN_BITS = limit
+    it = iter(b)
+    assert len(parts) == len(whole) and parts == sorted(set(parts)) and all(a[k] in it for k in parts)
+
+
+def test_repeated_lines_cost_no_memory():
+    import tracemalloc
+
+    one, two = [0, *([7] * 10_000), 1, *([7] * 10_000), 2], [3, *([7] * 10_000), 4, *([7] * 9_000), 5]
+    tracemalloc.start()
+    assert len(html_diff.common_lines(one, two)) == 19_000
+    assert tracemalloc.get_traced_memory()[1] < 30e6
+    tracemalloc.stop()
+
+
+def test_deletions_equal_the_alignment_of_nearest_pages(spark, sf_dir):
+    """Over the whole table, by a quadratic alignment: how many lines that are no content each page shares with the nearest of its host."""
+    rows = html_diff.line_table(table(spark, sf_dir, "pages"))
+    got = {r["page_id"]: (r["n_shared"], len(r["gone"])) for r in html_diff.deletions(rows).collect()}
+    pages = sorted(((r["host"], r["path"], r["page_id"], r["lines"]) for r in rows.collect()))
+    marks = {r["page_id"]: r["marks"] for r in rows.collect()}
+    expected = 0
+    for k, (host, path, i, lines) in enumerate(pages):
+        near = [(len(os.path.commonprefix([path, pages[j][1]])), j) for j in (k - 1, k + 1) if 0 <= j < len(pages) and pages[j][0] == host]
+        assert (i in got) == bool(near)
+        if near:
+            other = pages[near[0][1] if near[0][0] == max(near)[0] else near[1][1]][3]
+            best = [[0] * (len(other) + 1) for _ in range(len(lines) + 1)]
+            for x in range(len(lines)):
+                for y in range(len(other)):
+                    best[x + 1][y + 1] = best[x][y] + 1 if lines[x] == other[y] else max(best[x][y + 1], best[x + 1][y])
+            same = html_diff.common_lines(lines, other)
+            assert len(same) == best[-1][-1] and got[i][0] == sum(marks[i][x] != "c" for x in same)
+            expected += 1
+    assert expected > 5
+
+
 def test_articles_of_pages(spark, sf_dir):
     import html
 
