@@ -1,30 +1,50 @@
 """Interval joins: alignments and annotated intervals of one sequence.
 
-An interval is in every bin it touches, so that overlap is an equi-join on (sequence, bin) with a residual test, and bins spread
-a hot sequence over tasks. A pair that shares several bins is taken in one only: the one where the later of both starts lies.
+An interval is in every bin it touches, so that overlap is an equi-join on (sequence, level, bin) with a residual test, and bins spread
+a hot sequence over tasks. Bins are as long as intervals are on average; much longer intervals stand on levels of longer bins, so
+that none is in many bins. A pair that shares several bins is taken in one only: the one where the later of both starts lies.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.sam import REVERSE, bit
 from .count import choice
 
-BIN = 1 << 14
+#: An interval is in so many bins of its level at most; bins of a level are so many times those of the one below.
+SPREAD = 64
 MODES, SENSES = ("union", "intersection_strict", "intersection_non_empty"), ("both", "sense", "antisense")
 
 
-def overlaps(left: DataFrame, right: DataFrame, bin_size: int = BIN) -> DataFrame:
+def bin_levels(right: DataFrame, least: int = 16) -> list[int]:
+    """Lengths of bins for intervals (r_start, r_stop): their mean length, and as many longer levels as the longest one needs. One pass over them."""
+    span = F.col("r_stop") - F.col("r_start")
+    mean, most = right.where(span > 0).agg(F.avg(span), F.max(span)).first()
+    levels = [1 << max(least.bit_length() - 1, round(mean or 1).bit_length())]
+    while levels[-1] * SPREAD < (most or 0):
+        levels.append(levels[-1] * SPREAD)
+    return levels
+
+
+def overlaps(left: DataFrame, right: DataFrame, levels: Sequence[int] | None = None) -> DataFrame:
     """left (seq_id, start, stop, ...), right (seq_id, r_start, r_stop, ...), half open -> all overlapping pairs, each once."""
-    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bin_size), F.floor((F.col(b) - 1) / bin_size)))
-    a = left.where(F.col("start") < F.col("stop")).withColumn("_bin", bins("start", "stop"))
-    b = right.where(F.col("r_start") < F.col("r_stop")).withColumn("_bin", bins("r_start", "r_stop"))
-    both = a.join(b, ["seq_id", "_bin"]).where((F.col("start") < F.col("r_stop")) & (F.col("r_start") < F.col("stop")))
-    return both.where(F.floor(F.greatest("start", "r_start") / bin_size) == F.col("_bin")).drop("_bin")
+    levels = list(levels or bin_levels(right))
+    span = F.col("r_stop") - F.col("r_start")
+    own = F.lit(levels[-1])
+    for size in reversed(levels[:-1]):
+        own = F.when(span <= size * SPREAD, F.lit(size)).otherwise(own)
+    bins = lambda a, b, size: F.sequence(F.floor(F.col(a) / size), F.floor((F.col(b) - 1) / size))
+    at_level = lambda size: F.transform(bins("start", "stop", size), lambda k: F.struct(F.lit(size).alias("size"), k.alias("bin")))
+    places = F.flatten(F.array(*map(at_level, levels)))
+    a = left.where(F.col("start") < F.col("stop")).withColumn("_at", F.explode(places)).withColumns({"_size": F.col("_at.size"), "_bin": F.col("_at.bin")}).drop("_at")
+    b = right.where(F.col("r_start") < F.col("r_stop")).withColumn("_size", own)
+    b = b.withColumn("_bin", F.explode(bins("r_start", "r_stop", F.col("_size"))))
+    both = a.join(b, ["seq_id", "_size", "_bin"]).where((F.col("start") < F.col("r_stop")) & (F.col("r_start") < F.col("stop")))
+    return both.where(F.floor(F.greatest("start", "r_start") / F.col("_size")) == F.col("_bin")).drop("_bin", "_size")
 
 
 def read_span(alignments: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -59,40 +79,36 @@ def interval_features(intervals: DataFrame) -> DataFrame:
     return intervals.groupBy("annotator", "feature").agg(F.sum(F.col("r_stop") - F.col("r_start")).cast("double").alias("size"))
 
 
-def interval_hits(alignments: DataFrame, intervals: DataFrame, mode: str = "union", sense: str = "both", by: Sequence[str] = (), bin_size: int = BIN) -> DataFrame:
-    """(by..., annotator, group_id, feature): what the rows of a group overlap, by mode.
+def interval_hits(alignments: DataFrame, intervals: DataFrame, mode: str = "union", sense: str = "both", by: Sequence[str] = (), levels: Sequence[int] | None = None) -> DataFrame:
+    """(by..., annotator, group_id, feature): what the rows of a group overlap, by mode; rows may repeat.
 
     union: any overlap. intersection_strict: the read lies within the interval. intersection_non_empty: of the read's positions
     that anything covers, the features that cover all of them. For the last, the ends of the candidates cut the read into
-    elementary segments; a feature stays if it covers as many segments as all candidates together.
+    elementary segments; a feature stays if it covers every segment that any candidate covers. A read's candidates are one array, so
+    that they are shuffled once.
     """
     choice("mode", mode, MODES)
     choice("sense", sense, SENSES)
     by = list(by)
-    reads = read_span(alignments, [*by, "group_id", "line_no"])
-    pairs = overlaps(reads, intervals, bin_size).where(strand_fits(sense))
+    pairs = overlaps(read_span(alignments, [*by, "group_id", "line_no"]), intervals, levels).where(strand_fits(sense))
     key = [*by, "annotator", "group_id"]
     if mode == "union":
-        return pairs.select(*key, "feature").distinct()
+        return pairs.select(*key, "feature")
     if mode == "intersection_strict":
-        return pairs.where((F.col("start") >= F.col("r_start")) & (F.col("stop") <= F.col("r_stop"))).select(*key, "feature").distinct()
-    read = [*by, "annotator", "group_id", "line_no"]
-    clipped = pairs.withColumns({"a": F.greatest("start", "r_start"), "b": F.least("stop", "r_stop")}).select(*read, "feature", "a", "b").distinct()
-    # a read with one candidate feature keeps it; cutting is for the others
-    ends = clipped.groupBy(*read).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("a", "b"))))).alias("cuts"), F.countDistinct("feature").alias("k"))
-    cut = clipped.join(ends, read)
-    alone = cut.where(F.col("k") == 1).select(*key, "feature")
-    segments = cut.where(F.col("k") > 1).withColumn("segment", F.explode(F.filter("cuts", lambda c: (c >= F.col("a")) & (c < F.col("b")))))
-    segments = segments.select(*read, "feature", "segment").distinct()
-    covered = segments.groupBy(*read).agg(F.countDistinct("segment").alias("all"))
-    own = segments.groupBy(*read, "feature").agg(F.count(F.lit(1)).alias("own"))
-    full = own.join(covered, read).where(F.col("own") == F.col("all")).select(*key, "feature")
-    return alone.unionByName(full).distinct()
-
-
-def view(alignments: DataFrame, regions: DataFrame, bin_size: int = BIN) -> DataFrame:
+        return pairs.where((F.col("start") >= F.col("r_start")) & (F.col("stop") <= F.col("r_stop"))).select(*key, "feature")
+    part = F.struct("feature", F.greatest("start", "r_start").alias("a"), F.least("stop", "r_stop").alias("b"))
+    reads = pairs.groupBy(*key, "line_no").agg(F.collect_set(part).alias("x"))
+    reads = reads.withColumns({"names": F.array_distinct(F.transform("x", lambda i: i["feature"])), "cuts": F.array_distinct(F.transform("x", lambda i: i["a"])), "ends": F.array_distinct(F.transform("x", lambda i: i["b"]))})
+    covers = lambda i, c: (i["a"] <= c) & (c < i["b"])
+    # segments start where an interval starts or ends; those that nothing covers do not matter
+    starts = F.filter(F.array_union("cuts", "ends"), lambda c: F.exists("x", lambda i: covers(i, c)))
+    full = F.filter("names", lambda f: F.forall("starts", lambda c: F.exists("x", lambda i: (i["feature"] == f) & covers(i, c))))
+    kept = F.when(F.size("names") == 1, F.col("names")).otherwise(full)
+    return reads.withColumn("starts", starts).select(*key, F.explode(kept).alias("feature"))
+
+
+def view(alignments: DataFrame, regions: DataFrame, levels: Sequence[int] | None = None) -> DataFrame:
     """Rows that overlap any region (seq_id, start, end inclusive): a semi-join over bins."""
-    reads = read_span(alignments, ["line_no", *(["sample"] if "sample" in alignments.columns else [])])
-    found = overlaps(reads, regions.select("seq_id", F.col("start").alias("r_start"), (F.col("end") + 1).alias("r_stop")), bin_size)
     on = ["line_no", *(["sample"] if "sample" in alignments.columns else [])]
+    found = overlaps(read_span(alignments, on), regions.select("seq_id", F.col("start").alias("r_start"), (F.col("end") + 1).alias("r_stop")), levels)
     return alignments.join(found.select(*on).distinct(), on, "left_semi")
