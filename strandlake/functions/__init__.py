@@ -1,17 +1,51 @@
-"""Scalars of scripts: numbers as text, text as numbers, paths, packaged references."""
+"""Scalars of scripts: numbers as text, text as numbers, paths, lists, constants, packaged references."""
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import posixpath
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.fastq import DataError
 
+#: Constants of scripts.
+STDIN, STDOUT = "/dev/stdin", "/dev/stdout"
+
+
+def arguments() -> list[str]:
+    """The arguments of the running script, its own name first."""
+    return list(sys.argv)
+
+
+def item(values: Sequence, index: int):
+    """An element by its place from 0; places outside the list, and negative ones, are errors."""
+    if not 0 <= index < len(values):
+        raise DataError(f"index {index} outside a list of {len(values)}")
+    return values[index]
+
+
+def check(condition: bool, message: str = "assertion failed") -> None:
+    if not condition:
+        raise AssertionError(message)
+
+
+def show(x: int | float | str, end: str = "") -> None:
+    """print; with a line's end println. Numbers as to_string has them."""
+    sys.stdout.write((x if isinstance(x, str) else to_string(x)) + end)
+
+
+def export_plan(df: DataFrame, path: str) -> str:
+    """The optimised plan of a result as JSON."""
+    with open(path, "w", encoding="utf-8") as file:
+        json.dump(json.loads(df._jdf.queryExecution().optimizedPlan().toJSON()), file, indent=1)
+    return path
+
 
 def double_text(x: float) -> str:
     """Fixed notation from 0.1 up to ten million, scientific elsewhere; always with a point."""
@@ -77,23 +111,52 @@ def job_index() -> tuple[bool, int]:
     return False, 0
 
 
+#: Names of packaged references and the longer names they also go by: fixed values.
+PACKAGED = {
+    "bosTau4": "Bos_taurus_UMD3.1",
+    "ce10": "Caenorhabditis_elegans_WBcel235",
+    "canFam3": "Canis_familiaris_CanFam3.1",
+    "dm5": "Drosophila_melanogaster_BDGP5",
+    "dm6": "Drosophila_melanogaster_BDGP6",
+    "gg4": "Gallus_gallus_Galgal4",
+    "gg5": "Gallus_gallus_5.0",
+    "hg19": "Homo_sapiens_GRCh37.p13",
+    "hg38.p7": "Homo_sapiens_GRCh38.p7",
+    "hg38.p10": "Homo_sapiens_GRCh38.p10",
+    "mm10.p2": "Mus_musculus_GRCm38.p2",
+    "mm10.p5": "Mus_musculus_GRCm38.p5",
+    "rn5": "Rattus_norvegicus_Rnor_5.0",
+    "rn6": "Rattus_norvegicus_Rnor_6.0",
+    "sacCer3": "Saccharomyces_cerevisiae_R64-1-1",
+    "susScr11": "Sus_scrofa.Sscrofa11.1",
+}
+#: Files of an installed reference by what they are.
+REFERENCE_FILES = {"fafile": ("Sequence/BWAIndex/reference.fa.gz", "reference.fa.gz", "reference.fa"), "gff_file": ("Annotation/annotation.gtf.gz", "annotation.gtf.gz", "annotation.gff"), "functional_map": ("Annotation/functional.map.gz", "functional.map")}
+
+
 class References:
-    """Packaged references by name: those added by modules first, then installed folders, the user's before the global one."""
+    """Packaged references by name: those added by modules first, then installed folders, the user's before the global one.
+
+    A name or its longer one finds the folder of either. Nothing is downloaded.
+    """
 
     def __init__(self, folders: tuple[str, ...] = (), aliases: dict[str, str] | None = None) -> None:
-        self.folders, self.aliases, self.added = folders, aliases or {}, {}
+        self.folders, self.added = folders, {}
+        self.aliases = {long: short for short, long in PACKAGED.items()} | (aliases or {})
 
     def add(self, name: str, **files: str) -> None:
         self.added[name] = files
 
     def find(self, name: str) -> dict[str, str]:
-        name = self.aliases.get(name, name)
-        if name in self.added:
-            return self.added[name]
+        names = dict.fromkeys([name, self.aliases.get(name, name)])
+        for one in names:
+            if one in self.added:
+                return self.added[one]
         for folder in self.folders:
-            base = os.path.join(folder, name)
-            if os.path.isdir(base):
-                return {f.rpartition(".")[0] or f: os.path.join(base, f) for f in sorted(os.listdir(base))}
+            for base in (os.path.join(folder, one) for one in names):
+                if os.path.isdir(base):
+                    known = {kind: next((p for f in files if os.path.exists(p := os.path.join(base, f))), "") for kind, files in REFERENCE_FILES.items()}
+                    return {f.rpartition(".")[0] or f: os.path.join(base, f) for f in sorted(os.listdir(base))} | {k: p for k, p in known.items() if p}
         raise DataError(f"reference {name!r} is not installed")
 
 

@@ -6,12 +6,13 @@ grouping is one shuffle. `sample`, where there is one, is part of the key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.sam import FIRST, PROPER, REVERSE, SECOND, UNMAPPED, aligned, bit, group_ids
+from ..sources.text import failing
 from .count import choice
 
 CONDITIONS = ("mapped", "unmapped", "unique")
@@ -60,35 +61,109 @@ def _condition(rows: DataFrame, name: str, keep: bool) -> DataFrame:
     return rows.withColumn("_keep", wanted).where("_keep").drop("_keep")
 
 
-def select(rows: DataFrame, keep_if: Sequence[str] = (), drop_if: Sequence[str] = (), paired: bool = True, reinject: bool = False) -> DataFrame:
-    """Conditions in turn, each on what the one before left. With reinject, sequences that got lost come back."""
+def is_sorted(rows: DataFrame) -> bool:
+    """Whether the frame is what `sort` returned: its groups are no neighbours any more."""
+    return getattr(rows, "_strandlake_sorted", False)
+
+
+def select(rows: DataFrame, keep_if: Sequence[str] = (), drop_if: Sequence[str] = (), paired: bool = True, reinject: bool = True) -> DataFrame:
+    """Conditions in turn, each on what the one before left. Sequences that got lost come back, unless reinject is off.
+
+    Unique reads cannot be selected from sorted alignments: select first.
+    """
     if keep_if and drop_if:
         raise ValueError("select takes keep_if or drop_if, not both")
+    if "unique" in [*keep_if, *drop_if] and is_sorted(rows):
+        raise ValueError("unique reads cannot be selected from sorted alignments: select, then sort")
     out = rows if paired else group_ids(rows.drop("group_id"), paired=False)
-    original = out
+    if not keep_if and not drop_if:
+        return out
+    out = with_donors(out) if reinject else out
     for name in keep_if or drop_if:
         out = _condition(out, choice("condition", name, CONDITIONS), bool(keep_if))
-    return reinjected(original, out) if reinject else out
+    return reinjected(out) if reinject else out
 
 
-def reinjected(original: DataFrame, kept: DataFrame) -> DataFrame:
-    """The first row of a mate without any sequence left takes that of the first original row that fits its CIGAR.
+def with_donors(rows: DataFrame) -> DataFrame:
+    """Adds _donors: the rows with sequence (line, sequence, qualities) of a mate that also has rows without; null for other mates."""
+    mate = Window.partitionBy(*group_key(rows), bucket())
+    donor = F.when(has_sequence() & (F.min(has_sequence().cast("int")).over(mate) == 0), F.struct("line_no", "seq", "qual"))
+    out = rows.withColumn("_donor", donor)
+    return out.withColumn("_donors", F.array_sort(F.collect_list("_donor").over(mate))).drop("_donor")
+
+
+def reinjected(rows: DataFrame) -> DataFrame:
+    """The first row of a mate without any sequence left takes that of the first of its donors that fits its CIGAR.
 
     Hard clips count as soft ones, and are written so, if the sequence fits only then.
     """
-    key = group_key(kept)
-    rows = kept.withColumn("_b", bucket())
-    mate = Window.partitionBy(*key, "_b")
-    rows = rows.withColumns({"_bare": F.max(has_sequence().cast("int")).over(mate) == 0, "_rn": F.row_number().over(mate.orderBy("line_no"))})
-    donors = original.where(has_sequence()).withColumn("_b", bucket()).groupBy(*key, "_b").agg(F.array_sort(F.collect_list(F.struct("line_no", "seq", "qual"))).alias("_donors"))
-    needy = rows.where(F.col("_bare") & (F.col("_rn") == 1)).join(donors, [*key, "_b"], "left")
+    mate = Window.partitionBy(*group_key(rows), bucket())
+    bare = F.max(has_sequence().cast("int")).over(mate) == 0
+    rows = rows.withColumn("_needs", bare & (F.row_number().over(mate.orderBy("line_no")) == 1) & (F.size("_donors") > 0))
     plain, soft = match_size("cigar", True, True), match_size(F.replace("cigar", F.lit("H"), F.lit("S")), True, True)
-    fits = F.filter("_donors", lambda d: (F.length(d["seq"]) == plain) | (F.length(d["seq"]) == soft))
-    needy = needy.withColumn("_d", F.get(fits, F.lit(0)))
-    fixed = F.when(F.col("_d").isNull() | (F.length("_d.seq") == plain), F.col("cigar")).otherwise(F.replace("cigar", F.lit("H"), F.lit("S")))
-    needy = needy.withColumns({"cigar": fixed, "seq": F.coalesce("_d.seq", "seq"), "qual": F.coalesce("_d.qual", "qual")})
-    rest = rows.where(~(F.col("_bare") & (F.col("_rn") == 1)))
-    return rest.select(*kept.columns).unionByName(needy.select(*kept.columns))
+    rows = rows.withColumns({"_plain": plain, "_soft": soft})
+    fits = F.filter("_donors", lambda d: (F.length(d["seq"]) == F.col("_plain")) | (F.length(d["seq"]) == F.col("_soft")))
+    rows = rows.withColumn("_d", F.when(F.col("_needs"), F.get(fits, F.lit(0))))
+    softened = F.when(F.col("_d").isNotNull() & (F.length("_d.seq") != F.col("_plain")), F.replace("cigar", F.lit("H"), F.lit("S"))).otherwise(F.col("cigar"))
+    out = rows.withColumns({"cigar": softened, "seq": F.coalesce("_d.seq", "seq"), "qual": F.coalesce("_d.qual", "qual")})
+    return out.drop("_needs", "_donors", "_plain", "_soft", "_d")
+
+
+class GroupBlock:
+    """Statements on the groups of alignments, compiled to columns and filters: all but pe_filter in one grouping.
+
+    `when` is a condition on groups (flag, some_match, or comparisons of them). A statement after a discard or a stop does nothing
+    for that group. Groups that lose all their rows vanish.
+    """
+
+    def __init__(self, rows: DataFrame) -> None:
+        self.rows = rows.withColumn("_active", F.lit(True))
+
+    def _on(self, when: Column | None) -> Column:
+        return F.col("_active") if when is None else F.col("_active") & F.coalesce(when, F.lit(False))
+
+    def flag(self, name: str = "mapped") -> Column:
+        return with_flag(self.rows, name)
+
+    def some_match(self, name: str) -> Column:
+        return some_match(self.rows, name)
+
+    def _masked(self, keep: Column, when: Column | None) -> None:
+        rows = self.rows.withColumns({"_on": self._on(when), "_keep": F.coalesce(keep, F.lit(False))})
+        self.rows = rows.where(~F.col("_on") | F.col("_keep")).drop("_on", "_keep")
+
+    def unique(self, when: Column | None = None) -> None:
+        self._masked(is_unique(Window.partitionBy(*group_key(self.rows))), when)
+
+    def allbest(self, when: Column | None = None) -> None:
+        self._masked(is_best(self.rows), when)
+
+    def filter(self, when: Column | None = None, **options) -> None:
+        self.rows = filter_matches(self.rows.withColumn("_on", self._on(when)), **options, only=F.col("_on")).drop("_on")
+
+    def pe_filter(self, when: Column | None = None) -> None:
+        rows = self.rows.withColumn("_on", self._on(when))
+        self.rows = rows.where(~F.col("_on")).unionByName(pe_filter(rows.where("_on")).drop("pair_line", "pair_mate")).drop("_on")
+
+    def discard(self, when: Column | None = None) -> None:
+        self.rows = self.rows.withColumn("_on", self._on(when)).where(~F.col("_on")).drop("_on")
+
+    def stop(self, when: Column | None = None) -> None:
+        """continue: the group stays as it is now."""
+        self.rows = self.rows.withColumn("_active", F.col("_active") & ~self._on(when))
+
+
+def select_block(rows: DataFrame, block: Callable[[GroupBlock], None], paired: bool = True) -> DataFrame:
+    """Run a block on every group; sequences that got lost come back. Rows of a group are in the order of mates: see in_mate_order."""
+    out = rows if paired else group_ids(rows.drop("group_id"), paired=False)
+    run = GroupBlock(with_donors(out))
+    block(run)
+    return reinjected(run.rows.drop("_active"))
+
+
+def in_mate_order(rows: DataFrame) -> tuple[str | Column, ...]:
+    """Sort keys of rewritten groups: first mates, second ones, others, each in the order of lines."""
+    return ("group_id", bucket(), "line_no")
 
 
 def unique(rows: DataFrame) -> DataFrame:
@@ -121,16 +196,21 @@ def pe_filter(rows: DataFrame) -> DataFrame:
 
 def allbest(rows: DataFrame) -> DataFrame:
     """Of each mate's rows with an NM tag and a readable CIGAR those of least NM; mates without such rows stay as they are."""
-    key = group_key(rows)
-    group, mate = Window.partitionBy(*key), Window.partitionBy(*key, "_b")
+    return rows.withColumn("_keep", is_best(rows)).where("_keep").drop("_keep")
+
+
+def is_best(rows: DataFrame) -> Column:
+    mate = Window.partitionBy(*group_key(rows), bucket())
     distance = F.when(match_size().isNotNull(), int_tag("NM"))
-    out = rows.withColumns({"_n": F.count(F.lit(1)).over(group), "_b": bucket(), "_d": distance})
-    out = out.withColumns({"_m": F.count(F.lit(1)).over(mate), "_least": F.min("_d").over(mate)})
-    return out.where((F.col("_n") <= 1) | (F.col("_m") <= 1) | F.col("_least").isNull() | (F.col("_d") == F.col("_least"))).drop("_n", "_b", "_d", "_m", "_least")
+    least = F.min(distance).over(mate)
+    return (F.count(F.lit(1)).over(mate) <= 1) | least.isNull() | F.coalesce(distance == least, F.lit(False))
+
 
+def filter_matches(rows: DataFrame, min_identity_pc: float = -1, min_match_size: int = -1, max_trim: int = -1, reverse: bool = False, action: str = "drop", only: Column | None = None) -> DataFrame:
+    """Rows by identity, matched bases and trimmed bases; those that fail are dropped or unmatched. reverse turns the first two around.
 
-def filter_matches(rows: DataFrame, min_identity_pc: float = -1, min_match_size: int = -1, max_trim: int = -1, reverse: bool = False, action: str = "drop") -> DataFrame:
-    """Rows by identity, matched bases and trimmed bases; those that fail are dropped or unmatched. reverse turns the first two around."""
+    `only` says which rows are tested at all.
+    """
     choice("action", action, ("drop", "unmatch"))
     size, errors = F.coalesce(match_size(), F.lit(0)), int_tag("NM")
     identity = F.when(match_size().isNull() | errors.isNull(), 0.0).when(size == 0, F.lit(-1.0)).otherwise((size - errors) / F.when(size == 0, 1).otherwise(size))
@@ -139,11 +219,12 @@ def filter_matches(rows: DataFrame, min_identity_pc: float = -1, min_match_size:
         ok = ok & (identity >= min_identity_pc / 100.0)
     if min_match_size != -1:
         ok = ok & (size >= min_match_size)
-    out = _act(rows, ~ok if reverse else ok, action)
+    free = F.lit(False) if only is None else ~only
+    out = _act(rows, free | (~ok if reverse else ok), action)
     if max_trim == -1:
         return out
     longest = F.max(F.length("seq")).over(Window.partitionBy(*group_key(rows), bucket()))
-    return _act(out, longest - size <= max_trim, action)
+    return _act(out, free | (longest - size <= max_trim), action)
 
 
 def _act(rows: DataFrame, ok: Column, action: str) -> DataFrame:
@@ -158,8 +239,8 @@ def _act(rows: DataFrame, ok: Column, action: str) -> DataFrame:
 def merge_best(parts: Sequence[DataFrame]) -> DataFrame:
     """The same reads aligned to several references: groups are matched by position, and of each mate the best rows stay.
 
-    Every part has group_no (the position of its group). If no row of a mate is aligned the last in file order stays; else the
-    aligned ones of the largest matched and inserted bases less NM. Adds `part`.
+    Every part has group_no (the position of its group); parts with different groups fail the job. If no row of a mate is aligned the
+    last in file order stays; else the aligned ones of the largest matched and inserted bases less NM. Adds `part`.
     """
     out = None
     for k, p in enumerate(parts):
@@ -167,7 +248,9 @@ def merge_best(parts: Sequence[DataFrame]) -> DataFrame:
         out = p if out is None else out.unionByName(p)
     mate = Window.partitionBy(*(["sample"] if "sample" in out.columns else []), "group_no", bucket())
     score = F.when(aligned(), F.coalesce(match_size(inserted=True), F.lit(0)) - F.coalesce(int_tag("NM"), F.lit(0)))
-    out = out.withColumns({"_score": score, "_best": F.max(score).over(mate), "_rn": F.row_number().over(mate.orderBy(F.desc("part"), F.desc("line_no")))})
+    group = Window.partitionBy(*(["sample"] if "sample" in out.columns else []), "group_no")
+    whole = failing(F.size(F.collect_set("part").over(group)) == len(parts), F.lit("the alignments to merge have different numbers of groups"))
+    out = out.withColumns({"_score": score, "_best": F.max(score).over(mate), "_rn": F.row_number().over(mate.orderBy(F.desc("part"), F.desc("line_no"))), "part": F.coalesce(whole.cast("int"), F.col("part"))})
     return out.where(F.when(F.col("_best").isNull(), F.col("_rn") == 1).otherwise(F.col("_score") == F.col("_best"))).drop("_score", "_best", "_rn")
 
 
@@ -204,12 +287,28 @@ def mapstats(rows: DataFrame) -> DataFrame:
     return groups.groupBy("sample").agg(*counts) if "sample" in key else groups.agg(*counts)
 
 
+def stats_table(stats: Sequence[tuple[str, str, int, DataFrame]]) -> DataFrame:
+    """(input file, reference, line number, statistics) of mappings, in order -> (feature, value) rows `i:key`."""
+    out = None
+    for i, (file, reference, line, found) in enumerate(stats):
+        values = {"aligned": F.col("aligned"), "inputFile": F.lit(file), "lineNumber": F.lit(line), "reference": F.lit(reference), "total": F.col("total"), "unique": F.col("unique")}
+        each = F.explode(F.array(*[F.struct(F.lit(f"{i}:{k}").alias("feature"), v.cast("string").alias("value")) for k, v in values.items()]))
+        part = found.select(each.alias("x")).select("x.feature", "x.value")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no mapping to tell of")
+    return out
+
+
 def sort(rows: DataFrame, by: str = "coordinate", order: DataFrame | None = None) -> DataFrame:
     """By position, sequences in the header's order (hdr_no, sn) and unplaced rows last; or by read name, numbers in it as numbers."""
     if choice("by", by, ("coordinate", "name")) == "name":
         parts = F.transform(F.regexp_extract_all("qname", F.lit(r"(\d+|\D+)"), 1), lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p))
-        return rows.orderBy(F.array_join(parts, "\x00"), F.when(bit(FIRST), 0).when(bit(SECOND), 1).otherwise(2), "line_no")
-    if order is not None:
+        out = rows.orderBy(F.array_join(parts, "\x00"), F.when(bit(FIRST), 0).when(bit(SECOND), 1).otherwise(2), "line_no")
+    elif order is not None:
         ranks = order.where(F.col("sn").isNotNull()).select(F.col("sn").alias("rname"), F.col("hdr_no").alias("_rank"))
-        return rows.join(ranks, "rname", "left").orderBy(F.col("_rank").asc_nulls_last(), "pos", bit(REVERSE), "line_no").drop("_rank").select(*rows.columns)
-    return rows.orderBy(F.col("rname") == "*", "rname", "pos", bit(REVERSE), "line_no")
+        out = rows.join(ranks, "rname", "left").orderBy(F.col("_rank").asc_nulls_last(), "pos", bit(REVERSE), "line_no").drop("_rank").select(*rows.columns)
+    else:
+        out = rows.orderBy(F.col("rname") == "*", "rname", "pos", bit(REVERSE), "line_no")
+    out._strandlake_sorted = True
+    return out

@@ -218,3 +218,12 @@ def stats_table(stats: DataFrame, encoding: str = "sanger", by: Sequence[str] =
     }
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), v.cast("string").alias("v")) for k, v in values.items()]))
     return rows.select("i", each.alias("x")).select(F.concat_ws(":", F.col("i").cast("string"), "x.k").alias("feature"), F.col("x.v").alias("value"))
+
+
+def qcstats(kind: str, reads: DataFrame | None = None, mappings: Sequence[tuple[str, str, int, DataFrame]] = (), encoding: str = "sanger") -> DataFrame:
+    """(feature, value) rows `i:key`: statistics of the files of reads (fastq), or of mappings (mapping: input, reference, line, statistics)."""
+    from .mapped import stats_table as mapping_table
+
+    if choice("kind", kind, ("fastq", "mapping")) == "mapping":
+        return mapping_table(mappings)
+    return stats_table(file_stats(reads), encoding)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +15,8 @@ from .text import failing, numbered_lines, write_single
 ENCODINGS = {"sanger": 33, "33": 33, "solexa": 64, "64": 64}
 EXTENSIONS = tuple(f".{a}{b}" for a in ("fq", "fastq") for b in ("", ".gz", ".bz2", ".xz"))
 SUBSAMPLE_EVERY, SUBSAMPLE_READS = 10, 25_000
+#: Records looked at before a whole file is, for its encoding.
+HEAD = 1000
 COLUMNS = ("sample", "file_id", "mate", "rec_no", "header", "seq", "qual")
 
 
@@ -40,6 +41,20 @@ def codes(text: str | Column) -> Column:
     return F.when(F.length(text) == 0, F.array().cast("array<int>")).otherwise(each)
 
 
+def sniffed(spark: SparkSession, path: str) -> int | None:
+    """The offset that the first records of a file settle, if they do: a bounded look before any pass over the file."""
+    if path.endswith((".xz", ".zst", ".zstd")):
+        return None
+    for k, row in enumerate(spark.read.text(path).take(4 * HEAD)):
+        if k % 4 == 3 and (text := row["value"].rstrip("\r")):
+            low, high = min(map(ord, text)), max(map(ord, text))
+            if low < 33:
+                raise DataError(f"{path}: quality bytes below 33")
+            if low < 58 or high >= 78:
+                return 33 if low < 58 else 64
+    return None
+
+
 def detect_encoding(records: DataFrame) -> int:
     """33 or 64: the first record that settles it decides, a low byte before a high one; none does: 33."""
     low, high = F.array_min(codes(F.col("text"))), F.array_max(codes(F.col("text")))
@@ -60,13 +75,13 @@ def fastq(spark: SparkSession, path: str, encoding: str = "auto", interleaved: b
     records = raw_records(spark, path)
     if subsample:
         records = subsampled(records)
-    reads = decode(records, _offset(records, encoding), sample or path)
+    reads = decode(records, _offset(spark, path, records, encoding), sample or path)
     return uninterleave(reads) if interleaved else reads
 
 
-def _offset(records: DataFrame, encoding: str) -> int:
+def _offset(spark: SparkSession, path: str, records: DataFrame, encoding: str) -> int:
     if encoding == "auto":
-        return detect_encoding(records)
+        return sniffed(spark, path) or detect_encoding(records)
     if encoding not in ENCODINGS:
         raise ValueError(f"unknown encoding {encoding!r}: one of auto, {', '.join(ENCODINGS)}")
     return ENCODINGS[encoding]
@@ -80,8 +95,8 @@ def subsampled(records: DataFrame) -> DataFrame:
 def paired(spark: SparkSession, first: str, second: str, singles: str = "", encoding: str = "auto", sample: str | None = None, file_id: int = 0) -> DataFrame:
     """Two mate files and perhaps singletons. Mates must share their encoding; a file of singletons with another one must be empty."""
     a, b = raw_records(spark, first), raw_records(spark, second)
-    offset = _offset(a, encoding)
-    if _offset(b, encoding) != offset:
+    offset = _offset(spark, first, a, encoding)
+    if _offset(spark, second, b, encoding) != offset:
         raise DataError(f"mates have different encodings: {first}, {second}")
     name = sample or first
     # mates are read together, up to the shorter file
@@ -89,7 +104,7 @@ def paired(spark: SparkSession, first: str, second: str, singles: str = "", enco
     reads = decode(a, offset, name, file_id, 1).unionByName(decode(b, offset, name, file_id, 2)).where(F.col("rec_no") <= n)
     if singles:
         c = raw_records(spark, singles)
-        if _offset(c, encoding) == offset:
+        if _offset(spark, singles, c, encoding) == offset:
             reads = reads.unionByName(decode(c, offset, name, file_id + 1, 0))
         elif not c.isEmpty():
             raise DataError(f"singletons have another encoding: {singles}")
@@ -143,8 +158,8 @@ def match_files(names: Sequence[str]) -> tuple[list[tuple[str, str, str]], list[
                 mate = stem.removesuffix(one) + two + ext
                 if mate not in left:
                     raise DataError(f"{name} has no mate {mate}")
-                singles = re.sub(r"pair\.1$", "single", stem) + ext
-                singles = singles if stem.endswith("pair.1") and singles in left else ""
+                singles = name.replace("pair.1", "single")
+                singles = singles if "pair.1" in name and singles in left else ""
                 pairs.append((name, mate, singles))
                 for x in (name, mate, singles):
                     left.pop(x, None)
@@ -162,19 +177,24 @@ def load_fastq_directory(spark: SparkSession, folder: str, encoding: str = "auto
     parts = [paired(spark, at(a), at(b), at(c) if c else "", encoding, folder, 2 * k) for k, (a, b, c) in enumerate(pairs)]
     for k, name in enumerate(single):
         records = raw_records(spark, at(name))
-        parts.append(decode(records, _offset(records, encoding), folder, 2 * len(pairs) + k))
+        parts.append(decode(records, _offset(spark, at(name), records, encoding), folder, 2 * len(pairs) + k))
     return _union(parts)
 
 
-def load_sample_list(spark: SparkSession, path: str) -> DataFrame:
-    """All samples of a YAML manifest, in the order of their names; qualities are Sanger encoded."""
+load_mocat_sample = load_fastq_directory
+
+
+def load_sample_list(spark: SparkSession, path: str, only: str | None = None) -> DataFrame:
+    """All samples of a YAML manifest, in the order of their names, or only one; qualities are Sanger encoded."""
     import yaml
 
     with open(path, encoding="utf-8") as file:
         listed = yaml.safe_load(file)
     base = listed.get("basedir") or os.path.dirname(os.path.abspath(path))
+    if only is not None and only not in listed["samples"]:
+        raise DataError(f"no sample {only!r} in {path}")
     parts = []
-    for name in sorted(listed["samples"]):
+    for name in sorted(listed["samples"]) if only is None else [only]:
         for k, entry in enumerate(listed["samples"][name]):
             if "paired" in entry:
                 a, b = (os.path.join(base, x) for x in entry["paired"])
@@ -185,10 +205,7 @@ def load_sample_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_sample_from_yaml(spark: SparkSession, path: str, sample: str) -> DataFrame:
-    reads = load_sample_list(spark, path).where(F.col("sample") == sample)
-    if reads.isEmpty():
-        raise DataError(f"no sample {sample!r} in {path}")
-    return reads
+    return load_sample_list(spark, path, sample)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -211,6 +228,9 @@ def write_reads(reads: DataFrame, path: str, interleaved: bool = False, offset:
     """Singletons to the path itself, or pairs to .pair.1 and .pair.2 beside .singles; or all interleaved in one file."""
     rows = encoded(reads, offset)
     if interleaved:
+        first, second = reads.agg(F.count(F.when(F.col("mate") == 1, 1)), F.count(F.when(F.col("mate") == 2, 1))).first()
+        if first != second:
+            raise DataError(f"{first} first mates and {second} second mates cannot be interleaved")
         return [write_single(rows.orderBy(F.col("mate") == 0, "sample", "file_id", "rec_no", "mate"), path)]
     has = {r["mate"] for r in reads.select("mate").distinct().collect()}
     if not has & {1, 2} and not always_three:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .text import settled
+
 SLICE = 100_000
 
 
@@ -36,3 +38,13 @@ def running(rows: DataFrame, partition: Sequence[str], place: str, value: Column
     out = rows.withColumn("_within", fold("_value").over(within)).join(totals, [*partition, "_slice"])
     both = F.coalesce("_before", F.lit(0)) + F.col("_within") if how == "sum" else F.coalesce("_within", "_before")
     return out.withColumn(name, both).drop("_slice", "_value", "_within", "_before")
+
+
+def places(rows: DataFrame) -> DataFrame:
+    """Adds place, the place of a row of a sorted frame, from 0: written once, counted by partition, and then numbered without a window over all."""
+    at = F.monotonically_increasing_id()
+    kept = settled(rows.withColumns({"_part": F.shiftrightunsigned(at, 33), "_at": at.bitwiseAND(F.lit((1 << 33) - 1))}))
+    sizes = kept.groupBy("_part").agg(F.max("_at").alias("_last"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    starts = sizes.select("_part", F.coalesce(F.sum(F.col("_last") + 1).over(before), F.lit(0)).alias("_start"))
+    return kept.join(F.broadcast(starts), "_part").withColumn("place", F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")

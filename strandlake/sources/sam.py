@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import shutil
 import subprocess
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .text import failing, numbered_lines, write_single
+from .text import failing, numbered_lines, scratch, write_single
 
 FIELDS = ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual", "extra")
 _LONGS = frozenset({"flag", "pos", "mapq", "pnext", "tlen"})
@@ -72,9 +74,7 @@ def group_ids(rows: DataFrame, paired: bool = True, partition: tuple[str, ...] =
 
 def samfile(spark: SparkSession, path: str, name: str | None = None, headers: str = "", paired: bool = True) -> tuple[DataFrame, DataFrame]:
     """(alignments with sample, line_no, group_id; header lines hdr_no, line, sn, ln)."""
-    if path.endswith(".bam"):
-        path = _from_bam(path)
-    lines = numbered_lines(spark, path)
+    lines = numbered_lines(spark, _from_bam(spark, path) if path.endswith(".bam") else path)
     is_header = F.col("value").startswith("@")
     rows = parse_lines(lines.where(~is_header)).withColumn("sample", F.lit(name or path))
     head = lines.where(is_header).select(F.col("line_no").alias("hdr_no"), F.col("value").alias("line"))
@@ -101,12 +101,24 @@ def as_line() -> Column:
     return F.when(F.col("qual") == "", F.concat_ws("\t", *fields[:10], fields[11])).when(F.coalesce("extra", F.lit("")) == "", F.concat_ws("\t", *fields[:11])).otherwise(F.concat_ws("\t", *fields))
 
 
-def write_sam(rows: DataFrame, head: DataFrame | None, path: str, order: tuple[str, ...] = ("line_no",)) -> str:
-    top = [r["line"] for r in head.orderBy("hdr_no").select("line").toLocalIterator()] if head is not None else []
-    target = path.removesuffix(".bam") + ".sam" if path.endswith(".bam") else path
+def guessed_format(path: str) -> str:
+    """sam or bam by the name of a file; names that tell neither are bam."""
+    return "sam" if path in ("/dev/stdout", "-") or path.endswith((".sam", ".sam.gz", ".sam.bz2", ".sam.zst", ".sam.zstd")) else "bam"
+
+
+def write_sam(rows: DataFrame, head: DataFrame | None, path: str, order: Sequence[str | Column] = ("line_no",), format: str | None = None) -> str:
+    """Headers, then alignments in order, to one file; a BAM file is made by samtools from a file beside it, which goes."""
+    kind = format or guessed_format(path)
+    if kind not in ("sam", "bam"):
+        raise ValueError(f"alignments are written as sam or bam, not {kind!r}")
+    top = [r["line"] for r in head.orderBy("hdr_no").select("line").collect()] if head is not None else []
+    target = path if kind == "sam" else path + ".part.sam"
     write_single(rows.orderBy(*order).select(as_line().alias("line")), target, top)
-    if path.endswith(".bam"):
-        _samtools("view", "-b", "-o", path, target)
+    if kind == "bam":
+        try:
+            _samtools("view", "-b", "-o", path, target)
+        finally:
+            os.unlink(target)
     return path
 
 
@@ -116,6 +128,7 @@ def _samtools(*args: str) -> None:
     subprocess.run(["samtools", *args], check=True)
 
 
-def _from_bam(path: str) -> str:
-    _samtools("view", "-h", "-o", path + ".sam", path)
-    return path + ".sam"
+def _from_bam(spark: SparkSession, path: str) -> str:
+    target = f"{scratch(spark)}/alignments.sam"
+    _samtools("view", "-h", "-o", target, path)
+    return target

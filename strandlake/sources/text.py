@@ -1,4 +1,4 @@
-"""Numbered lines of text files, and single-file writing."""
+"""Numbered lines of text files; writing to one file or to ordered parts; scratch folders."""
 
 from __future__ import annotations
 
@@ -7,8 +7,10 @@ import gzip
 import io
 import lzma
 import os
+import shutil
 import tempfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterator, Sequence
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -20,10 +22,10 @@ def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, line_no, value): lines numbered from 0 in each file, trailing carriage returns removed.
 
     Splits of a file count their lines first; running totals over the few splits then number all lines without a global sort.
-    Compression is told by extension; xz, which Hadoop cannot read, is decoded in Python, whole files a task.
+    Compression is told by extension; xz and zst, which Hadoop may not be able to read, are decoded in Python, whole files a task.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    plain, xz = [p for p in paths if not p.endswith(".xz")], [p for p in paths if p.endswith(".xz")]
+    plain, xz = [p for p in paths if not p.endswith((".xz", ".zst", ".zstd"))], [p for p in paths if p.endswith((".xz", ".zst", ".zstd"))]
     frames = []
     if plain:
         lines = spark.read.text(plain).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
@@ -40,7 +42,7 @@ def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
             for batch in batches:
                 for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     start, lines = 0, []
-                    for line in io.TextIOWrapper(lzma.open(io.BytesIO(data)), encoding="utf-8", newline="\n"):
+                    for line in io.TextIOWrapper(_decoded(name, data), encoding="utf-8", newline="\n"):
                         lines.append(line.rstrip("\n"))
                         if len(lines) == 100_000:
                             yield _numbered(name, start, lines)
@@ -52,6 +54,14 @@ def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return out.withColumn("value", F.regexp_replace("value", r"\r$", ""))
 
 
+def _decoded(name: str, data: bytes):
+    if name.endswith(".xz"):
+        return lzma.open(io.BytesIO(data))
+    import zstandard
+
+    return io.BufferedReader(zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True))
+
+
 def _numbered(name: str, start: int, lines: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([name] * len(lines), pa.string()), pa.array(range(start, start + len(lines)), pa.int64()), pa.array(lines, pa.string())], names=["file", "line_no", "value"])
 
@@ -63,40 +73,139 @@ def readlines(path: str) -> list[str]:
     return [line.removesuffix("\r") for line in (lines[:-1] if lines and not lines[-1] else lines)]
 
 
-def open_output(path: str):
-    """A text file compressed as its extension says."""
+def compressed(path: str) -> bool:
+    return path.endswith((".gz", ".bz2", ".xz", ".zst", ".zstd"))
+
+
+def open_output(path: str, mode: str = "wt"):
+    """A file for writing or appending text ("wt") or bytes ("ab"), compressed as its extension says."""
+    text = {"encoding": "utf-8", "newline": ""} if "t" in mode else {}
     if path.endswith(".gz"):
-        return gzip.open(path, "wt", encoding="utf-8", newline="")
+        return gzip.open(path, mode, **text)
     if path.endswith(".bz2"):
-        return bz2.open(path, "wt", encoding="utf-8", newline="")
+        return bz2.open(path, mode, **text)
     if path.endswith(".xz"):
-        return lzma.open(path, "wt", encoding="utf-8", newline="")
+        return lzma.open(path, mode, **text)
     if path.endswith((".zst", ".zstd")):
         import zstandard
 
-        return zstandard.open(path, "wt", encoding="utf-8", newline="")
-    return open(path, "w", encoding="utf-8", newline="")
+        return zstandard.open(path, mode, **text)
+    return open(path, mode, **text)
+
+
+def open_input(path: str):
+    """The bytes of a file, decompressed as its extension says."""
+    if path.endswith((".zst", ".zstd")):
+        import zstandard
+
+        return zstandard.ZstdDecompressor().stream_reader(open(path, "rb"), read_across_frames=True)
+    return {".gz": gzip.open, ".bz2": bz2.open, ".xz": lzma.open}.get(os.path.splitext(path)[1], open)(path, "rb")
+
+
+def copy_file(source: str, target: str) -> str:
+    """A file as it is, or recompressed where the extensions ask for it, through a temporary sibling and a rename."""
+    kind = lambda p: next((e for e in (".gz", ".bz2", ".xz", ".zst", ".zstd") if p.endswith(e)), "").replace("zstd", "zst")
+    folder, name = os.path.split(os.path.abspath(target))
+    temporary = f"{folder}/.{uuid.uuid4().hex}.{name}"
+    same = kind(source) == kind(target)
+    try:
+        with open(source, "rb") if same else open_input(source) as read, open(temporary, "wb") if same else open_output(temporary, "wb") as write:
+            shutil.copyfileobj(read, write, 1 << 20)
+        os.replace(temporary, target)
+    finally:
+        if os.path.exists(temporary):
+            os.unlink(temporary)
+    return target
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share, under the one that the cluster names; a local one only where all tasks run in this process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = os.path.join(tempfile.gettempdir(), "strandlake-checkpoints")
+    path = f"{base.rstrip('/')}/strandlake-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(target)
+    system.deleteOnExit(target)
+    return path.removeprefix("file://")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A frame written once, so that what depends on the order or number of its rows is not computed twice."""
+    spark = df.sparkSession
+    path = scratch(spark) + "/table"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+#: Codecs of the tasks that write lines, by extension; others are compressed when parts are joined.
+_CODECS = {".gz": "gzip", ".bz2": "bzip2"}
+
 
+def write_parts(lines: DataFrame, folder: str, extension: str = "", column: str = "line") -> str:
+    """Ordered lines to a folder, a file a partition, in the order of the files' names: nothing goes through the driver."""
+    lines.select(column).write.option("compression", _CODECS.get(extension, "none")).text(folder)
+    return folder
 
-def write_single(lines: DataFrame, path: str, header: list[str] = (), column: str = "line") -> str:
-    """Ordered lines to one file, through a temporary sibling and a rename. Rows stream through the driver a partition at a time."""
+
+def write_single(lines: DataFrame, path: str, header: Sequence[str] = (), column: str = "line") -> str:
+    """Ordered lines to one file. Tasks write (and compress) parts beside it; the driver only joins their bytes, and renames the whole.
+
+    The path must be reachable by all executors. Standard output is written by the driver.
+    """
     if path in ("/dev/stdout", "-"):
         for text in [*header, *(r[column] for r in lines.select(column).toLocalIterator())]:
             print(text)
         return path
-    folder = os.path.dirname(os.path.abspath(path))
-    handle, temporary = tempfile.mkstemp(dir=folder, suffix="." + os.path.basename(path))
-    os.close(handle)
+    if not is_local(path):
+        return _write_remote(lines, path, header, column)
+    path = path.removeprefix("file://")
+    folder, name = os.path.split(os.path.abspath(path))
+    extension = os.path.splitext(name)[1]
+    parts, temporary = f"{folder}/.{uuid.uuid4().hex}.parts", f"{folder}/.{uuid.uuid4().hex}{extension}"
+    write_parts(lines, f"file://{parts}", extension, column)
     try:
         with open_output(temporary) as file:
-            for text in header:
-                file.write(text + "\n")
-            for row in lines.select(column).toLocalIterator():
-                file.write(row[column] + "\n")
+            file.writelines(f"{text}\n" for text in header)
+        # members of gz and bz2 files can be joined as they are; other compressions are one stream
+        with open(temporary, "ab") if extension in _CODECS or not compressed(name) else open_output(temporary, "ab") as file:
+            for part in sorted(x for x in os.listdir(parts) if x.startswith("part-")):
+                with open(os.path.join(parts, part), "rb") as one:
+                    shutil.copyfileobj(one, file, 1 << 20)
         os.replace(temporary, path)
-    except BaseException:
-        os.unlink(temporary)
-        raise
+    finally:
+        shutil.rmtree(parts, ignore_errors=True)
+        if os.path.exists(temporary):
+            os.unlink(temporary)
+    return path
+
+
+def _write_remote(lines: DataFrame, path: str, header: Sequence[str], column: str) -> str:
+    """The same through Spark's file systems; compressed by gz or bz2 only."""
+    extension = os.path.splitext(path)[1]
+    if compressed(path) and extension not in _CODECS:
+        raise ValueError(f"{path}: only .gz and .bz2 are compressed on a remote store")
+    spark, hadoop = lines.sparkSession, lines.sparkSession._jvm.org.apache.hadoop
+    conf, at = spark._jsc.hadoopConfiguration(), hadoop.fs.Path
+    parts, temporary = f"{path}.{uuid.uuid4().hex}.parts", f"{path}.{uuid.uuid4().hex}.tmp"
+    write_parts(lines, parts, extension, column)
+    system = at(path).getFileSystem(conf)
+    pack = {".gz": gzip.compress, ".bz2": bz2.compress}.get(extension, bytes)
+    out = system.create(at(temporary), True)
+    out.write(bytearray(pack("".join(f"{text}\n" for text in header).encode())))
+    for part in sorted(f.getPath().getName() for f in system.listStatus(at(parts))):
+        if part.startswith("part-"):
+            one = system.open(at(f"{parts}/{part}"))
+            hadoop.io.IOUtils.copyBytes(one, out, 1 << 20, False)
+            one.close()
+    out.close()
+    system.delete(at(path), False)
+    system.rename(at(temporary), at(path))
+    system.delete(at(parts), True)
     return path
 
 

@@ -37,7 +37,7 @@ def test_interval_modes(spark, mode, expected):
     regions = spark.createDataFrame([("g", n, "S", a, b + 1, "+") for n, a, b in FEATURES], "annotator string, feature string, seq_id string, r_start long, r_stop long, r_strand string")
     got = {}
     for bin_size in (16, 1 << 14):
-        hits = iv.interval_hits(aln, regions, mode, bin_size=bin_size)
+        hits = iv.interval_hits(aln, regions, mode, levels=[bin_size])
         got[bin_size] = {x["feature"]: x["value"] for x in c.count(aln, hits, iv.interval_features(regions), multiple="all1").collect()}
     assert got[16] == got[1 << 14]
     brute = {n: 0 for n, _, _ in FEATURES} | {"-1": 0}
@@ -147,7 +147,7 @@ def test_best_pairs_and_merge(spark):
 
 def test_lost_sequences_come_back(spark):
     aln = rows(spark, (1, 64, "A", 1, "4M", "ACGT", 5), (1, 320, "B", 1, "3M1H", "*", 0))
-    best = m.reinjected(aln, m.allbest(aln)).first()
+    best = m.reinjected(m.allbest(m.with_donors(aln))).first()
     assert (best["seq"], best["cigar"]) == ("ACGT", "3M1S")
 
 
