@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,22 +11,10 @@ from ..operators import mapped as m
 from ..operators import merge
 from ..operators import reads as r
 from ..sources.fastq import subsampled, uninterleave
+from ..sources.ordered import places
 from ..sources.tables import feature_order
 from . import views as v
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
+from .registered import ORACLES, QUERIES, query
 
 
 # --- counting by sequence ------------------------------------------------------------------------------------------
@@ -81,9 +67,7 @@ query("count_seqname_min", _SEQ + _VALUES["dist1"] + _FULL + "SELECT feature, ro
 )
 def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The output table's order: the unassigned row first, then names bytewise."""
-    from pyspark.sql import Window
-
-    return _seqname(spark, sf_dir, multiple="all1").withColumn("place", F.row_number().over(Window.orderBy(*feature_order())).cast("long")).select("place", "feature", "value")
+    return places(_seqname(spark, sf_dir, multiple="all1").orderBy(*feature_order())).select((F.col("place") + 1).alias("place"), "feature", "value")
 
 
 # --- counting by functional map ------------------------------------------------------------------------------------
@@ -105,6 +89,8 @@ def _mapped(spark: SparkSession, sf_dir: str, multiple: str) -> DataFrame:
     return c.labelled(out, 2).select("feature", F.round("value", 6).alias("value"))
 
 
+MAP_1_OVER_N = _MAP + "val AS (SELECT annotator, feature, sum(1.0::DOUBLE / k) AS value FROM n GROUP BY 1, 2)" + _MAP_END
+query("count_map_1overn", MAP_1_OVER_N)(lambda s, d: _mapped(s, d, "1overN"))
 query("count_map_all1", _MAP + "val AS (SELECT annotator, feature, CAST(count(*) AS DOUBLE) AS value FROM n GROUP BY 1, 2)" + _MAP_END)(lambda s, d: _mapped(s, d, "all1"))
 query("count_map_dist1", _MAP + _MAP_DIST + _MAP_END)(lambda s, d: _mapped(s, d, "dist1"))
 
@@ -146,10 +132,12 @@ full_ AS (SELECT feature, coalesce(value, 0) AS value, size FROM sz LEFT JOIN va
 
 def _gff(spark: SparkSession, sf_dir: str, mode: str, sense: str = "both", **options) -> DataFrame:
     aln, regions = v.alignments(spark, sf_dir, ordered=mode == "intersection_non_empty"), v.intervals(spark, sf_dir)
-    hits = iv.interval_hits(aln, regions, mode, sense, bin_size=64)
+    hits = iv.interval_hits(aln, regions, mode, sense)
     return c.count(aln, hits, iv.interval_features(regions), **options).select("feature", F.round("value", 6).alias("value"))
 
 
+GFF_ALL1 = _gff_sql("union", "both")
+SEQNAME_DIST1 = _SEQ + _VALUES["dist1"] + _FULL + _rounded(_NORMS["raw"])
 for _mode in iv.MODES:
     query(f"count_gff_{_mode}", _gff_sql(_mode, "both"))(lambda s, d, x=_mode: _gff(s, d, x, multiple="all1"))
 for _sense in iv.SENSES[1:]:
@@ -216,14 +204,18 @@ def _mapstats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "merge_best",
-    f"""WITH {v.ALIGNMENTS_SQL}, u AS (SELECT group_id AS group_no, mate, line_no, line_no % 2 AS part, is_aligned, CASE WHEN is_aligned THEN matched - nm END AS sc FROM aln),
+    f"""WITH {v.ALIGNMENTS_SQL}, p AS (SELECT *, 0 AS part FROM aln UNION ALL SELECT * REPLACE ((nm * 3 + line_no) % 11 AS nm, is_aligned AND line_no % 5 <> 0 AS is_aligned), 1 FROM aln),
+u AS (SELECT group_id AS group_no, mate, line_no, part, is_aligned, CASE WHEN is_aligned THEN matched - nm END AS sc FROM p),
 b AS (SELECT *, max(sc) OVER (PARTITION BY group_no, mate) AS best, row_number() OVER (PARTITION BY group_no, mate ORDER BY part DESC, line_no DESC) AS rn FROM u)
 SELECT group_no, line_no, CAST(part AS INT) AS part FROM b WHERE CASE WHEN best IS NULL THEN rn = 1 ELSE coalesce(sc = best, false) END""",
 )
 def _merge_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Even and odd lines stand for two references."""
+    """The same reads on two references: on the second one other distances, and every fifth line is not aligned."""
     aln = v.alignments(spark, sf_dir).withColumn("group_no", F.col("group_id"))
-    return m.merge_best([aln.where(F.col("line_no") % 2 == k) for k in (0, 1)]).select("group_no", "line_no", "part")
+    distance = (m.int_tag("NM") * 3 + F.col("line_no")) % 11
+    flag = F.when(F.col("line_no") % 5 == 0, F.col("flag").bitwiseOR(F.lit(4))).otherwise(F.col("flag"))
+    other = aln.withColumns({"extra": F.concat(F.lit("NM:i:"), distance.cast("string")), "flag": flag})
+    return m.merge_best([aln, other]).select("group_no", "line_no", "part")
 
 
 @query(
@@ -238,16 +230,81 @@ def _as_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "view_regions",
-    f"""WITH {v.ALIGNMENTS_SQL}, {v.INTERVALS_SQL}, z AS (SELECT * FROM iv WHERE feature LIKE 'B%')
-SELECT {_ROW} FROM aln WHERE EXISTS (SELECT 1 FROM z WHERE aln.rname = z.seq_id AND aln.pos < z.r_stop AND z.r_start < aln.pos + greatest(len, 1))""",
+    f"""WITH {v.ALIGNMENTS_SQL}, {v.INTERVALS_SQL}
+SELECT {_ROW} FROM aln WHERE EXISTS (SELECT 1 FROM iv z WHERE aln.rname = z.seq_id AND aln.pos < z.r_stop AND z.r_start < aln.pos + greatest(len, 1))""",
 )
 def _view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    regions = v.intervals(spark, sf_dir).where(F.col("feature").startswith("B")).select("seq_id", F.col("r_start").alias("start"), (F.col("r_stop") - 1).alias("end"))
-    return _rows(iv.view(v.alignments(spark, sf_dir), regions, 64))
+    regions = v.intervals(spark, sf_dir).select("seq_id", F.col("r_start").alias("start"), (F.col("r_stop") - 1).alias("end"))
+    return _rows(iv.view(v.alignments(spark, sf_dir), regions))
+
+
+query("sort_coordinate", f"WITH {v.ALIGNMENTS_SQL} SELECT row_number() OVER (ORDER BY rname, pos, flag & 16, line_no) - 1 AS place, rname, pos, line_no FROM aln")(
+    lambda s, d: places(m.sort(v.alignments(s, d)).select("rname", "pos", "line_no"))
+)
+query("sort_header_order", f"WITH {v.ALIGNMENTS_SQL} SELECT row_number() OVER (ORDER BY CAST(rname AS BIGINT) DESC, pos, flag & 16, line_no) - 1 AS place, rname, pos, line_no FROM aln")(
+    lambda s, d: places(m.sort(v.alignments(s, d), order=v.sequences(s, d).select((-F.col("feature").cast("long")).alias("hdr_no"), F.col("feature").alias("sn"))).select("rname", "pos", "line_no"))
+)
+query("sort_name", f"WITH {v.ALIGNMENTS_SQL} SELECT row_number() OVER (ORDER BY group_id, mate, line_no) - 1 AS place, 'q' || group_id AS qname, line_no FROM aln")(
+    lambda s, d: places(m.sort(v.alignments(s, d), "name").select("qname", "line_no"))
+)
 
 
-query("sort_coordinate", f"WITH {v.ALIGNMENTS_SQL} SELECT rname, pos, line_no FROM aln ORDER BY rname, pos")(lambda s, d: m.sort(v.alignments(s, d)).select("rname", "pos", "line_no"))
-query("sort_name", f"WITH {v.ALIGNMENTS_SQL} SELECT 'q' || group_id AS qname, line_no FROM aln")(lambda s, d: m.sort(v.alignments(s, d), "name").select("qname", "line_no"))
+def _best_sql(source: str) -> str:
+    return _select_sql("count(*) OVER g <= 1 OR count(*) OVER (PARTITION BY group_id, mate) <= 1 OR nm = min(nm) OVER (PARTITION BY group_id, mate)", source)
+
+
+@query(
+    "select_block",
+    f"WITH {v.ALIGNMENTS_SQL}, f AS (SELECT * FROM aln WHERE matched > 0 AND (matched - nm)::DOUBLE / matched >= 0.95), k AS (SELECT * FROM (SELECT *, {_ANY} AS mapped FROM f WINDOW g AS (PARTITION BY group_id)) WHERE mapped) " + _best_sql("k"),
+)
+def _select_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by identity, then groups with an aligned row, then their best rows."""
+
+    def block(b: m.GroupBlock) -> None:
+        b.filter(min_identity_pc=95)
+        b.discard(~b.flag("mapped"))
+        b.allbest()
+
+    return _rows(m.select_block(v.alignments(spark, sf_dir), block))
+
+
+@query(
+    "select_block_conditions",
+    f"WITH {v.ALIGNMENTS_SQL}, s AS (SELECT *, bool_or(rname = '7') OVER g AS stays, {_UNIQ} AS uni FROM aln WINDOW g AS (PARTITION BY group_id)), u AS (SELECT * FROM s WHERE stays OR uni)"
+    " SELECT group_id, line_no, CASE WHEN stays OR matched >= 25 THEN flag ELSE (flag | 4) & ~2::BIGINT END AS flag, CASE WHEN stays OR matched >= 25 THEN rname ELSE '*' END AS rname FROM u",
+)
+def _select_block_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups on one sequence stay as they are; of others unique ones only, and their short matches are taken back."""
+
+    def block(b: m.GroupBlock) -> None:
+        b.stop(b.some_match("7"))
+        b.unique()
+        b.filter(min_match_size=25, action="unmatch")
+
+    return _rows(m.select_block(v.alignments(spark, sf_dir), block))
+
+
+@query(
+    "select_reinjects",
+    f"""WITH {v.ALIGNMENTS_SQL}, o AS (SELECT *, line_no % 3 <> 0 AS has FROM aln), k AS (SELECT *, bool_or(has) OVER (PARTITION BY group_id, mate) AS any_, row_number() OVER (PARTITION BY group_id, mate ORDER BY line_no) AS rn FROM o WHERE is_aligned),
+d AS (SELECT k.line_no, min(o.line_no) AS donor FROM k JOIN o ON k.group_id = o.group_id AND k.mate = o.mate AND o.has AND o.len = k.len WHERE NOT k.any_ AND k.rn = 1 GROUP BY 1)
+SELECT k.group_id, k.line_no, CASE WHEN has THEN repeat('A', len) WHEN donor IS NOT NULL THEN repeat('A', len) ELSE '*' END AS seq FROM k LEFT JOIN d USING (line_no)""",
+)
+def _reinjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third row has no sequence; mates that are left without any take one that fits."""
+    bare = F.when(F.col("line_no") % 3 == 0, "*").otherwise(F.col("seq"))
+    return m.select(v.alignments(spark, sf_dir).withColumn("seq", bare), ["mapped"]).select("group_id", "line_no", "seq")
+
+
+@query(
+    "allbest_without_distances",
+    f"WITH {v.ALIGNMENTS_SQL}, x AS (SELECT * REPLACE (CASE WHEN line_no % 2 = 0 THEN nm END AS nm) FROM aln), y AS (SELECT *, min(nm) OVER (PARTITION BY group_id, mate) AS best, count(*) OVER (PARTITION BY group_id, mate) AS k FROM x)"
+    f" SELECT {_ROW} FROM y WHERE k <= 1 OR best IS NULL OR coalesce(nm = best, false)",
+)
+def _allbest_bare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd lines have no distance; mates without any stay whole."""
+    extra = F.when(F.col("line_no") % 2 == 0, F.col("extra")).otherwise("XX:Z:none")
+    return _rows(m.allbest(v.alignments(spark, sf_dir).withColumn("extra", extra)))
 
 # --- reads ---------------------------------------------------------------------------------------------------------
 
@@ -276,6 +333,7 @@ query(
     _RD + f""", en AS (SELECT vec_id, min(i) - 1 AS s, max(i) - min(i) + 1 AS n FROM base WHERE q >= 22 GROUP BY 1), cu AS (SELECT vec_id, coalesce(s, 0) AS s, coalesce(n, 0) AS n FROM rd LEFT JOIN en USING (vec_id)) {_CUT} cu JOIN rd USING (vec_id)""",
 )(lambda s, d: _trim(s, d, lambda x: x.endstrim(22)))
 query("endstrim_3", _RD + f""", en AS (SELECT vec_id, 0 AS s, max(i) AS n FROM base WHERE q >= 22 GROUP BY 1), cu AS (SELECT vec_id, 0 AS s, coalesce(n, 0) AS n FROM rd LEFT JOIN en USING (vec_id)) {_CUT} cu JOIN rd USING (vec_id)""")(lambda s, d: _trim(s, d, lambda x: x.endstrim(22, "3")))
+query("endstrim_5", _RD + f""", en AS (SELECT vec_id, min(i) - 1 AS s FROM base WHERE q >= 22 GROUP BY 1), cu AS (SELECT vec_id, coalesce(s, length(seq)) AS s, length(seq) - coalesce(s, length(seq)) AS n FROM rd LEFT JOIN en USING (vec_id)) {_CUT} cu JOIN rd USING (vec_id)""")(lambda s, d: _trim(s, d, lambda x: x.endstrim(22, "5")))
 query("read_slice", _RD + f", cu AS (SELECT vec_id, 3 AS s, 40 AS n FROM rd) {_CUT} cu JOIN rd USING (vec_id)")(lambda s, d: _trim(s, d, lambda x: x[3:43]))
 query("n_to_zero_quality", _RD + " SELECT vec_id, seq, array_to_string(list_transform(qual, lambda q, i: CASE WHEN substr(seq, CAST(i AS BIGINT), 1) = 'N' THEN 0 ELSE q END), ',') AS qual FROM rd")(lambda s, d: _trim(s, d, lambda x: x.n_to_zero_quality()))
 
@@ -328,37 +386,37 @@ query("discard_singles", _RD + " SELECT vec_id FROM rd WHERE mate > 0")(lambda s
 query("subsample", "SELECT doc_id AS rec_no FROM documents WHERE doc_id % 10 = 0 AND doc_id < 250000")(lambda s, d: subsampled(v.table(s, d, "documents").select(F.col("doc_id").alias("rec_no"))))
 
 
-@query("group_sets", _RD + " SELECT 'all' AS sample, CAST(CASE WHEN sample = 's0' THEN 0 ELSE 1 END AS INT) AS file_id, vec_id FROM rd WHERE sample IN ('s0', 's1')")
+@query("group_sets", _RD + " SELECT 'all' AS sample, CAST(sample[2] AS INT) AS file_id, vec_id FROM rd")
 def _group(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = v.reads(spark, sf_dir)
-    return r.group([rows.where(F.col("sample") == x) for x in ("s0", "s1")], "all").select("sample", "file_id", "vec_id")
+    return r.group([rows.where(F.col("sample") == x) for x in ("s0", "s1", "s2", "s3")], "all").select("sample", "file_id", "vec_id")
 
 
 @query(
     "uninterleave",
-    """WITH RECURSIVE h AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id, turn) - 1 AS no FROM conversations),
+    """WITH RECURSIVE h AS (SELECT conv_id, text, row_number() OVER (ORDER BY conv_id, turn) - 1 AS no FROM conversations),
 st(no, opens) AS (SELECT 0::BIGINT, coalesce((SELECT a.conv_id = b.conv_id FROM h a, h b WHERE a.no = 0 AND b.no = 1), false)
-  UNION ALL SELECT st.no + 1, NOT st.opens AND coalesce(a.conv_id = b.conv_id, false) FROM st JOIN h a ON a.no = st.no + 1 LEFT JOIN h b ON b.no = st.no + 2)
-SELECT count(*) FILTER (opens) AS pairs, (SELECT count(*) FROM h) - 2 * count(*) FILTER (opens) AS singles FROM st""",
+  UNION ALL SELECT st.no + 1, NOT st.opens AND coalesce(a.conv_id = b.conv_id, false) FROM st JOIN h a ON a.no = st.no + 1 LEFT JOIN h b ON b.no = st.no + 2),
+c AS (SELECT no, opens, coalesce(lag(opens) OVER (ORDER BY no), false) AS closes FROM st),
+k AS (SELECT *, sum(opens::INT) OVER (ORDER BY no) AS pair, sum((NOT opens AND NOT closes)::INT) OVER (ORDER BY no) AS single FROM c)
+SELECT CAST(CASE WHEN opens THEN 1 WHEN closes THEN 2 ELSE 0 END AS TINYINT) AS mate, CAST(CASE WHEN opens OR closes THEN pair ELSE single END - 1 AS BIGINT) AS rec_no, CAST(conv_id AS VARCHAR) AS header, text AS seq FROM k JOIN h USING (no)""",
 )
 def _uninterleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns in order are records whose header is their conversation."""
-    from pyspark.sql import Window
-
-    turns = v.table(spark, sf_dir, "conversations")
-    rows = turns.select(F.lit("c").alias("sample"), F.lit(0).alias("file_id"), (F.row_number().over(Window.orderBy("conv_id", "turn")) - 1).cast("long").alias("rec_no"), F.col("conv_id").cast("string").alias("header"), F.col("text").alias("seq"), F.array().cast("array<int>").alias("qual"))
-    out = uninterleave(rows)
-    return out.agg(F.sum((F.col("mate") == 1).cast("long")).alias("pairs"), F.sum((F.col("mate") == 0).cast("long")).alias("singles"))
+    turns = places(v.table(spark, sf_dir, "conversations").orderBy("conv_id", "turn").select("conv_id", "text"))
+    rows = turns.select(F.lit("c").alias("sample"), F.lit(0).alias("file_id"), F.col("place").alias("rec_no"), F.col("conv_id").cast("string").alias("header"), F.col("text").alias("seq"), F.array().cast("array<int>").alias("qual"))
+    return uninterleave(rows).select("mate", "rec_no", "header", "seq")
 
 
 @query(
     "qc_files",
     _RD + """ SELECT sample, count(*) AS n_seqs, CAST(min(length(seq)) AS BIGINT) AS min_len, CAST(max(length(seq)) AS BIGINT) AS max_len, CAST(sum(length(seq)) AS BIGINT) AS n_bases,
 CAST(sum(length(seq) - length(replace(seq, 'A', ''))) AS BIGINT) AS a, CAST(sum(length(seq) - length(replace(seq, 'C', ''))) AS BIGINT) AS c,
-CAST(sum(length(seq) - length(replace(seq, 'G', ''))) AS BIGINT) AS g, CAST(sum(length(seq) - length(replace(seq, 'T', ''))) AS BIGINT) AS t, CAST(sum(length(seq) - length(replace(seq, 'N', ''))) AS BIGINT) AS other FROM rd GROUP BY 1""",
+CAST(sum(length(seq) - length(replace(seq, 'G', ''))) AS BIGINT) AS g, CAST(sum(length(seq) - length(replace(seq, 'T', ''))) AS BIGINT) AS t, CAST(sum(length(seq) - length(replace(seq, 'N', ''))) AS BIGINT) AS other,
+round(sum(2 * length(seq) - length(replace(seq, 'G', '')) - length(replace(seq, 'C', ''))) / sum(length(replace(seq, 'N', ''))), 9) AS gc, round(sum(length(seq) - length(replace(seq, 'N', ''))) / sum(length(seq)), 9) AS non_acgt FROM rd GROUP BY 1""",
 )
 def _qc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.file_stats(v.reads(spark, sf_dir), ["sample"]).drop("gc", "non_acgt")
+    return r.file_stats(v.reads(spark, sf_dir), ["sample"]).withColumns({"gc": F.round("gc", 9), "non_acgt": F.round("non_acgt", 9)})
 
 
 @query(
@@ -392,13 +450,31 @@ def _collect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "paste_tables",
-    """WITH a AS (SELECT CAST(o_custkey AS VARCHAR) AS feature, CAST(count(*) AS DOUBLE) AS x FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1),
-b AS (SELECT CAST(o_custkey AS VARCHAR) AS feature, CAST(count(*) AS DOUBLE) AS y FROM orders WHERE o_orderpriority = '5-LOW' GROUP BY 1)
-SELECT feature, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM a FULL JOIN b USING (feature)""",
+    "SELECT CAST(o_custkey AS VARCHAR) AS feature, " + ", ".join(f"CAST(count(*) FILTER (o_orderpriority = '{p}') AS DOUBLE) AS v{p[0]}" for p in _PRIORITIES) + " FROM orders GROUP BY 1",
 )
 def _paste(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _by_priority(spark, sf_dir)
-    return merge.paste([counts.where(F.col("sample") == p).select("feature", F.col("value").alias(n)) for p, n in (("1-URGENT", "x"), ("5-LOW", "y"))])
+    return merge.paste([counts.where(F.col("sample") == p).select("feature", F.col("value").alias(f"v{p[0]}")) for p in _PRIORITIES])
+
+
+_LAST = ", ".join(f"coalesce(arg_max(o_totalprice, o_orderkey) FILTER (o_orderpriority = '{p}'), 0) AS v{p[0]}" for p in _PRIORITIES)
+_REPEATED = f"SELECT CAST(o_custkey AS VARCHAR) AS feature, {_LAST} FROM orders GROUP BY 1"
+
+
+def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order is a row of its customer's feature: features repeat, and the last order counts."""
+    orders = v.table(spark, sf_dir, "orders")
+    sample = F.concat(F.lit("v"), F.substring("o_orderpriority", 1, 1))
+    return orders.select(sample.alias("sample"), F.col("o_custkey").cast("string").alias("feature"), F.col("o_totalprice").cast("double").alias("value"), F.col("o_orderkey").alias("line_no"))
+
+
+query("collect_repeated", _REPEATED)(lambda s, d: merge.collect(_prices(s, d), [f"v{p[0]}" for p in _PRIORITIES]))
+
+
+@query("paste_repeated", _REPEATED)
+def _paste_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices = _prices(spark, sf_dir)
+    return merge.paste([prices.where(F.col("sample") == f"v{p[0]}").select("feature", "line_no", F.col("value").alias(f"v{p[0]}")) for p in _PRIORITIES])
 
 
 @query(
@@ -412,3 +488,6 @@ def _by_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     aln = v.alignments(spark, sf_dir, ordered=False).withColumn("sample", F.concat(F.lit("x"), (F.col("group_id") % 3).cast("string")))
     sq = v.sequences(spark, sf_dir)
     return c.count(aln, c.seqname_hits(aln, sq, ["sample"]), sq.withColumn("annotator", F.lit("seqname")), multiple="all1", by=["sample"]).select("sample", "feature", "value")
+
+
+from . import files  # noqa: E402, F401  (registers the queries of sources and sinks)
