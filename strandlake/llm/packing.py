@@ -13,9 +13,7 @@ table bounded by the number of classes squared, and is broadcast.
 from __future__ import annotations
 
 import base64
-import itertools
 import json
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,7 +37,7 @@ _TOKENIZERS: dict[tuple, Encoder] = {}
 class Vocabulary:
     """Where a vocabulary is: for tokenizers, and, if there is one, the same vocabulary as ranks with its pattern for tiktoken.
 
-    Ranks only make new words cheaper to encode; the ids are the same. Ranks of another vocabulary are refused.
+    Ranks only make texts cheaper to encode; the ids are the same. Ranks of another vocabulary are refused.
     """
 
     path: str
@@ -58,52 +56,38 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-def cuts_at_spaces(made: dict) -> bool:
-    """Whether a tokenizer file is a byte-level BPE whose tokens never join what stands on both sides of a space between visible characters."""
+def same_vocabulary(made: dict, ranks: dict[bytes, int]) -> bool:
+    """Whether a tokenizer file is a plain byte-level BPE, the ranks are the ids of its tokens, and its merges are in their order."""
     model, cut = made["model"], made.get("pre_tokenizer") or {}
     plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
     level = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
-    return model.get("type") == "BPE" and plain and level and not made.get("normalizer") and all(t["special"] for t in made["added_tokens"])
-
-
-def same_vocabulary(made: dict, ranks: dict[bytes, int]) -> bool:
-    """Whether ranks are the ids of the tokenizer's tokens, and its merges are in their order."""
+    if not (model.get("type") == "BPE" and plain and level and not made.get("normalizer") and all(t["special"] for t in made["added_tokens"])):
+        return False
     letters, special = _byte_letters(), {t["content"] for t in made["added_tokens"]}
-    vocab = {t: i for t, i in made["model"]["vocab"].items() if t not in special}
-    merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in made["model"]["merges"]]
+    vocab = {t: i for t, i in model["vocab"].items() if t not in special}
+    merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
     return {bytes(letters[c] for c in t): i for t, i in vocab.items()} == ranks and merged == sorted(merged)
 
 
 class Encoder:
-    """Token ids of whole texts, as little-endian 32-bit bytes.
-
-    Where the vocabulary's rules let texts be cut at spaces between visible characters, what follows such a space is looked up among
-    words met before, and only others are encoded; elsewhere the tokenizer gets whole texts. Ranks are refused unless they are the same vocabulary.
-    """
-
-    SAFE, RISKY = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s|^\s|\s$")
-    #: Words kept of each of two generations, and their length at most: some 50 MB.
-    KEPT, LONG = 100_000, 64
+    """Token ids of whole texts, as little-endian 32-bit bytes: by the tokenizer, or by the same vocabulary's ranks, which is quicker."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary.path)
         self.tokenizer.encode_special_tokens = True
-        with open(vocabulary.path, encoding="utf-8") as file:
-            made = json.load(file)
-        self.by_word = cuts_at_spaces(made)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         self.ranked = None
         if vocabulary.ranks:
             import tiktoken
 
+            with open(vocabulary.path, encoding="utf-8") as file:
+                made = json.load(file)
             with open(vocabulary.ranks, "rb") as file:
                 ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-            if not (self.by_word and vocabulary.pattern == BYTE_LEVEL and same_vocabulary(made, ranks)):
+            if vocabulary.pattern != BYTE_LEVEL or not same_vocabulary(made, ranks):
                 raise ValueError(f"{vocabulary.ranks} is not the vocabulary of {vocabulary.path}")
-            self.ranked = tiktoken.Encoding("ranks", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.ranked = tiktoken.Encoding("ranks", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens={})
 
     @classmethod
     def of(cls, vocabulary: Vocabulary) -> Encoder:
@@ -112,39 +96,13 @@ class Encoder:
             _TOKENIZERS[key] = cls(vocabulary)
         return _TOKENIZERS[key]
 
-    def words(self, texts: list[str]) -> list[bytes]:
-        """Ids of short pieces."""
-        if self.ranked is None:
-            return self.plain(texts)
-        ids = list(map(self.ranked, texts))
-        raw = np.fromiter(itertools.chain.from_iterable(ids), "<u4").tobytes()
-        ends = [0, *itertools.accumulate(4 * len(x) for x in ids)]
-        return [raw[a:b] for a, b in itertools.pairwise(ends)]
-
     def plain(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_word:
+        if self.ranked is None:
             return self.plain(texts)
-        cut = [self.SAFE.split(t) if self.RISKY.search(t) else t.split(" ") for t in texts]
-        young, old, new = self.young, self.old, []
-        for w in {w for words in cut for w in itertools.islice(words, 1, None)} - young.keys():
-            if (known := old.get(w)) is None:
-                new.append(w)
-            else:
-                young[w] = known
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            young.update(zip(some, self.words([" " + w for w in some]), strict=True))
-        first = self.plain([words[0] for words in cut])
-        out = [b"".join([head, *map(young.__getitem__, itertools.islice(words, 1, None))]) for head, words in zip(first, cut, strict=True)]
-        for w in new:
-            if len(w) > self.LONG:
-                del young[w]
-        if len(young) > self.KEPT:
-            self.young, self.old = {}, young
-        return out
+        return [self.ranked.encode_to_numpy(t, disallowed_special=()).astype("<u4", copy=False).tobytes() for t in texts]
 
 
 PIECES = T.StructType([
@@ -160,7 +118,7 @@ def pieces(docs: DataFrame, vocabulary: Vocabulary, capacity: int = CAPACITY, en
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = Encoder.of(vocabulary), np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
-            for a, b in slices(batch.column(1), 1 << 20, 4000):
+            for a, b in slices(batch.column(1)):
                 out: list[tuple] = []
                 for i, raw in zip(batch.column(0)[a:b].to_pylist(), encoder.encode([t.decode("utf-8", "replace") for t in utf8(batch.column(1)[a:b])]), strict=True):
                     raw += end

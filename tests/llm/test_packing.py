@@ -52,14 +52,27 @@ def test_null_empty_long_and_repeated(spark):
     assert packing.pack(docs.limit(0), vocabulary()).count() == 0
 
 
-def test_cached_words_are_the_tokenizers():
-    r = random.Random(5)
-    texts = ["".join(r.choice("ab c'\n\t \x1cé1_. 　²½ßÇ😀") for _ in range(r.randrange(60))) for _ in range(800)]
-    for v in (vocabulary(), packing.Vocabulary(vocabulary().path)):
-        e = packing.Encoder(v)
+def test_ranks_are_the_tokenizers():
+    """Ids by ranks equal those of the tokenizer: on random texts, and on every code point beside letters, digits, spaces and itself."""
+    e, r = packing.Encoder(vocabulary()), random.Random(5)
+    texts = ["".join(r.choice("ab c'\n\t \x1cé1_. 　²½ßÇ😀") for _ in range(r.randrange(60))) for _ in range(800)] + ["<|endoftext|>", " it's  \n\n ", "x" * 5000]
+    assert e.encode(texts) == e.plain(texts) == packing.Encoder(packing.Vocabulary(vocabulary().path)).encode(texts)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 50_000):
+        texts = [f" a{c}b 1{c}{c} {c}." for c in points[k : k + 50_000]]
         assert e.encode(texts) == e.plain(texts)
 
 
+def test_ranks_of_another_vocabulary_are_refused(tmp_path):
+    import public_tokenizers
+
+    for ranks, pattern in (("byte_bpe_multi_50k.tiktoken", vocabulary().pattern), ("byte_bpe_50k.tiktoken", r"\S+|\s+")):
+        with pytest.raises(ValueError, match="is not the vocabulary"):
+            packing.Encoder(packing.Vocabulary(vocabulary().path, public_tokenizers.path(ranks), pattern))
+    with pytest.raises(ValueError, match="is not the vocabulary"):
+        packing.Encoder(packing.Vocabulary(public_tokenizers.path("word_bpe_49k.json"), vocabulary().ranks, vocabulary().pattern))
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_patterns_hold_everything(seed):
     r = random.Random(seed)
