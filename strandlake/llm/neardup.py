@@ -179,7 +179,7 @@ def _blocks(members: str | Column, shingles: str | Column) -> Column:
 
 def family_sets(docs: DataFrame, families: DataFrame) -> tuple[DataFrame, int]:
     """families (id, family, n) -> (id, family, blocks, k, set), the sets of their documents, dealt into blocks by id; and their bytes."""
-    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
+    sizes = settle(families.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")))  # so that a join can split a large family
     blocks = _blocks(F.col("size"), F.col("total"))
     rows = settle(families.join(sizes, "family").select(F.col("id").alias("_id"), "family", "n", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("k")))
     n_rows, total = rows.agg(F.count(F.lit(1)), F.sum("n")).first()
