@@ -1,15 +1,15 @@
-"""Removing repeated passages: a count-min sketch of word windows first, exact grouping of what it lets through second.
-
-Every task sketches the windows of its documents; the sketches of a shard are merged by saturating addition, so that a cell says
-whether it was met twice. A count-min estimate is never below the count, so a window met in two documents has all its cells met
-twice and none is lost. The second pass sends only windows estimated repeated, with 96-bit hashes, to exact grouping: the
-smallest document of each window, joined back to the documents that hold it.
-
-At scale: sketches travel as sorted cells with gaps of about a byte, not as rows; the merged sketch is broadcast and has a fixed
-bound (`MOST_BITS`, 96 MB). It is sized to the corpus up to that bound; beyond it the filter lets more windows through and
-exact grouping does more, with the same result. Windows are shuffled once, as 96 bits and a document. Those that very many
-tasks have met are grouped apart: partial aggregates, one row a window and task, joined back, which adaptive execution can
-split. Only texts that lose words are shuffled.
+"""Removing repeated passages: a count-min sketch of window keys first, exact grouping of what it lets through second.
+
+A window's key is the least hash of the runs of words inside it. Equal windows have equal keys, and windows that start near each
+other mostly share theirs, so that a document has about one key for a dozen words. Every task counts the cells of its documents' keys,
+a partial sketch; partial sketches are merged by cell. A cell's count is never below that of a window whose key falls there, so a window
+of two documents is never lost. The second pass sends only windows with a key estimated repeated, as 96-bit hashes, to exact
+grouping: the smallest document of each, joined back to the documents that hold it.
+
+At scale: the sketch has so many cells for a key, whatever the corpus, and stays in shards: no task holds more of it than its part of a
+shuffle, and nothing of it goes to the driver or to all executors. What the cells say goes back to documents by a join. Shuffled are
+16 bytes a key twice, which is a fraction of the text, and the windows let through. Keys and windows that very many documents hold are
+partial aggregates and joins of settled tables, which adaptive execution can split. Only texts with repeated keys are shuffled.
 """
 
 from __future__ import annotations
@@ -19,173 +19,128 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Roller, chunked, settle, ship, word_spans
+from .common import Roller, map_batches, mix64, settle, slices, utf8, word_spans
 
 WINDOW = 50
-#: Bits of the merged sketch: so many for a byte of text, and at most.
-BITS_PER_BYTE, MOST_BITS, LEAST_BITS, DEPTH = 1.0, 3 << 28, 1 << 16, 2
-#: Windows that a task sketches before it sends them on, and bytes of text for a shard.
-FLUSH, SHARD_BYTES = 1_500_000, 16 << 20
-#: A cell that so many partial sketches have met is common; common cells are marked in so many bits.
-COMMON, COMMON_BITS = 100, 1 << 22
-BROADCAST_IDS = 2_000_000
+#: Cells of the sketch for each key; and the least number of bits of a cell's number.
+CELLS, LEAST_BITS = 32, 16
+BROADCAST_IDS, BROADCAST_CELLS = 2_000_000, 200_000
 _ROLL, _ROLL2 = Roller(23), Roller(29)
 
 
-def windows(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Every window of every text: document, first word's place, two hashes; and the number of words of every document."""
-    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    s, e = word_spans(raw)
-    doc = np.searchsorted(begin, s, "right") - 1
-    n = np.bincount(doc, minlength=len(texts))
-    first = np.concatenate([[0], np.cumsum(n)])
-    start = np.arange(len(s))
-    start = start[start + width <= first[doc + 1]]
-    of = doc[start]
-    h1 = _ROLL.spans(_ROLL.words(raw, s, e), start, start + width)
-    h2 = _ROLL2.spans(_ROLL2.words(raw, s, e), start, start + width)
-    return of, start - first[of], h1, h2, n
-
-
-def _texts(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, UTF-8 texts) of a column, about a MB at a time: a batch is never held twice."""
-    for a, b in chunked(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
-        yield a, [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in column[a:b]]
-
-
-def distinct(of: np.ndarray, at: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The first of equal windows of a document."""
-    order = np.lexsort((at, h1, of))
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of every `width` neighbours: from running minima of blocks, to the right and to the left."""
+    n = len(x) - width + 1
+    if n <= 0:
+        return x[:0]
+    blocks = np.concatenate([x, np.full(-len(x) % width, x.max(), x.dtype)]).reshape(-1, width)
+    left = np.minimum.accumulate(blocks, axis=1).ravel()
+    right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(right[:n], left[width - 1 : width - 1 + n])
+
+
+class Windows:
+    """Every window of some texts: document, first word's place; and the number of words of every document."""
+
+    def __init__(self, texts: list[bytes], width: int) -> None:
+        self.width = width
+        self.raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        self.s, self.e = word_spans(self.raw)
+        doc = np.searchsorted(begin, self.s, "right") - 1
+        self.n_words = np.bincount(doc, minlength=len(texts))
+        self.first = np.concatenate([[0], np.cumsum(self.n_words)])
+        start = np.arange(len(self.s))
+        self.start = start[start + width <= self.first[doc + 1]]
+        self.of = doc[self.start]
+        self.words = _ROLL.words(self.raw, self.s, self.e)
+
+    @property
+    def place(self) -> np.ndarray:
+        return self.start - self.first[self.of]
+
+    def keys(self) -> np.ndarray:
+        """The least hash of the runs of two fifths of a window's words inside it."""
+        run = max(1, 2 * self.width // 5)
+        at = np.arange(max(0, len(self.words) - run + 1))
+        return sliding_min(_ROLL.spans(self.words, at, at + run), self.width - run + 1)[self.start]
+
+    def hashes(self, keep: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of the windows, or of some of them."""
+        start = self.start[keep]
+        return _ROLL.spans(self.words, start, start + self.width), _ROLL2.spans(_ROLL2.words(self.raw, self.s, self.e), start, start + self.width)
+
+
+def distinct(of: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places of the first of equal values of a document."""
+    order = np.lexsort((x, of))
     new = np.ones(len(of), bool)
-    new[1:] = (of[order][1:] != of[order][:-1]) | (h1[order][1:] != h1[order][:-1])
-    kept = order[new]
-    return of[kept], at[kept], h1[kept], h2[kept]
-
-
-# --- the sketch ----------------------------------------------------------------------------------------------------
-
-
-def cells(h1: np.ndarray, h2: np.ndarray, row: int, width: int) -> np.ndarray:
-    """The cell of every window in one row of the sketch: 32 bits of a hash, scaled."""
-    bits = (h1 if row == 0 else h2) >> np.uint64(32)
-    return (bits * np.uint64(width) >> np.uint64(32)).astype(np.uint32)
-
-
-def packed(sorted_cells: np.ndarray) -> bytes:
-    gaps = np.diff(sorted_cells, prepend=np.uint32(0)).astype("<u4")
-    return zstandard.ZstdCompressor(level=1).compress(gaps.view(np.uint8).reshape(-1, 4).T.tobytes())
+    new[1:] = (of[order][1:] != of[order][:-1]) | (x[order][1:] != x[order][:-1])
+    return order[new]
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=1 << 31), np.uint8).reshape(4, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.int64)
+def document_keys(texts: DataFrame, window: int = WINDOW) -> DataFrame:
+    """texts (id, text) -> (key, id): the distinct keys of the windows of every document."""
 
-
-def partial_sketch(found: list[tuple[np.ndarray, np.ndarray]], width: int, shards: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """(row and shard, cells met, cells met twice) of some windows."""
-    h1, h2 = (np.concatenate(x) for x in zip(*found, strict=True))
-    size = -(-width // shards)
-    for row in range(DEPTH):
-        met, times = np.unique(cells(h1, h2, row, width), return_counts=True)
-        edges = np.searchsorted(met, np.arange(shards + 1) * size)
-        for k in range(shards):
-            a, b = edges[k], edges[k + 1]
-            if a < b:
-                own = met[a:b] - np.uint32(k * size)
-                yield row * shards + k, packed(own), packed(own[times[a:b] > 1])
-
-
-def merged_sketch(texts: DataFrame, width: int, shards: int, window: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Bits of every row of the sketch: the cell was met at least twice; and bits of common cells of its first row."""
-    size = -(-width // shards)
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def send(found: list) -> pa.RecordBatch:
-            rows = list(zip(*partial_sketch(found, width, shards), strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], names=["shard", "once", "twice"])
-
-        found, held = [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts_ in _texts(batch.column(1)):
-                of, at, h1, h2, _ = windows(texts_, window)
-                _, _, h1, h2 = distinct(of, at, h1, h2)
-                found.append((h1, h2))
-                held += len(h1)
-                if held >= FLUSH:
-                    yield send(found)
-                    found, held = [], 0
-        if held:
-            yield send(found)
-
-    def merge(table: pa.Table) -> pa.Table:
-        met, twice = np.zeros(size, np.uint8), np.zeros(size, bool)
-        for once, more in zip(table["once"], table["twice"], strict=True):
-            own = unpacked(once.as_py())
-            met[own] += met[own] < 255
-            twice[unpacked(more.as_py())] = True
-        twice |= met > 1
-        shard = table["shard"][0].as_py()
-        common = np.unique((np.flatnonzero(met >= COMMON) + shard * size) % COMMON_BITS) if shard < shards else []
-        return pa.table({"shard": pa.array([shard], pa.int32()), "bits": pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary()), "common": pa.array([common], pa.list_(pa.int32()))})
-
-    parts = texts.mapInArrow(sketch, "shard int, once binary, twice binary")
-    bits = [np.zeros(size * shards // 8 + 8, np.uint8) for _ in range(DEPTH)]
-    common = np.zeros(COMMON_BITS, bool)
-    for r in parts.groupBy("shard").applyInArrow(merge, "shard int, bits binary, common array<int>").toLocalIterator():
-        row, k = divmod(r["shard"], shards)
-        bits[row][k * size // 8 : k * size // 8 + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
-        common[r["common"]] = True
-    return bits, common
-
-
-def estimated_repeated(bits: list[np.ndarray], width: int, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-    out = np.ones(len(h1), bool)
-    for row, some in enumerate(bits):
-        c = cells(h1, h2, row, width)
-        out &= (some[c >> np.uint32(3)] >> (c & np.uint32(7)).astype(np.uint8) & 1).astype(bool)
-    return out
-
-
-# --- the operator --------------------------------------------------------------------------------------------------
-
-
-def repeated_windows(texts: DataFrame, window: int = WINDOW, most_bits: int = MOST_BITS) -> DataFrame:
+            ids = np.asarray(batch.column(0))
+            for a, b in slices(batch.column(1)):
+                found = Windows(utf8(batch.column(1)[a:b]), window)
+                keys, of = found.keys(), found.of
+                change = np.ones(len(of), bool)  # neighbours mostly share their key
+                change[1:] = (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])
+                keys, of = keys[change], of[change]
+                some = distinct(of, keys)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(ids[a + of[some]])], names=["key", "id"])
+
+    return map_batches(texts, run, "key long, id long")
+
+
+def repeated_keys(texts: DataFrame, window: int = WINDOW, most_cells: int | None = None) -> DataFrame:
+    """(id, keys): the keys of each document that the sketch estimates to be held by two documents or more. Documents without any are left out."""
+    keyed = settle(document_keys(texts, window))
+    cells = CELLS * max(1, keyed.count())
+    cells = cells if most_cells is None else min(cells, most_cells)
+    bits = min(62, max(LEAST_BITS if most_cells is None else 1, (cells - 1).bit_length()))
+    keyed = keyed.withColumn("cell", F.shiftrightunsigned("key", 64 - bits))
+    sketch = settle(keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") > 1).select("cell"))
+    sketch = F.broadcast(sketch) if sketch.count() <= BROADCAST_CELLS else sketch
+    return keyed.join(sketch, "cell").groupBy("id").agg(F.collect_set("key").alias("keys"))
+
+
+def _with(texts: DataFrame, found: DataFrame, n: int) -> DataFrame:
+    """texts (id, text) of the ids in `found` (of, ...), n rows, with its columns: other texts are not shuffled."""
+    if n <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(found.select(F.col("of").alias("_of"))), F.col("id") == F.col("_of"), "left_semi")
+    return texts.join(found.hint("shuffle_hash"), F.col("id") == F.col("of")).drop("of")
+
+
+def repeated_windows(texts: DataFrame, window: int = WINDOW, most_cells: int | None = None) -> DataFrame:
     """texts (id, text) -> (id, h1): the hash of every distinct window of a document that also starts in one of smaller id."""
-    spark = texts.sparkSession
-    ship(spark)
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    width = int(min(max(size * BITS_PER_BYTE, LEAST_BITS), most_bits)) // DEPTH
-    shards = max(1, size // SHARD_BYTES)
-    width = -(-width // (shards * 8)) * shards * 8  # shards of whole bytes
-    merged, common = merged_sketch(texts, width, shards, window)
-    sketch = spark.sparkContext.broadcast((merged, common))
-
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, often = sketch.value
+    marked = settle(repeated_keys(texts, window, most_cells).withColumnRenamed("id", "of"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column(0))
-            for start, texts_ in _texts(batch.column(1)):
-                of, _, h1, h2 = distinct(*windows(texts_, window)[:4])
-                keep = estimated_repeated(bits, width, h1, h2)
-                of, h1, h2 = of[keep], h1[keep], h2[keep]
-                is_common = often[cells(h1, h2, 0, width) % COMMON_BITS]
-                short = (h2 & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(short), pa.array(ids[start + of]), pa.array(is_common)], names=["h1", "h2", "id", "common"])
-
-    rows = texts.mapInArrow(second, "h1 long, h2 int, id long, common boolean")
-    earliest = F.min("id").over(Window.partitionBy("h1", "h2"))
-    found = rows.where(~F.col("common")).select("h1", "h2", "id").withColumn("first", earliest).where(F.col("first") < F.col("id")).select("id", "h1")
-    if common.any():
-        rows = rows.where("common").select("h1", "h2", "id")
-        first = rows.groupBy("h1", "h2").agg(F.min("id").alias("first"))
-        found = found.unionByName(rows.join(first, ["h1", "h2"]).where(F.col("first") < F.col("id")).select("id", "h1"))
-    return found
+            for a, b in slices(batch.column(1)):
+                found, marks = Windows(utf8(batch.column(1)[a:b]), window), batch.column(2)[a:b]
+                owner = mix64(np.arange(1, b - a + 1, dtype=np.uint64))  # so that a key counts in its own document only
+                wanted = np.asarray(marks.flatten()).view(np.uint64) ^ np.repeat(owner, np.diff(np.asarray(marks.offsets)))
+                keep = np.flatnonzero(np.isin(found.keys() ^ owner[found.of], wanted))
+                h1, h2 = found.hashes(keep)
+                of = found.of[keep]
+                some = distinct(of, h1)
+                short = (h2[some] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h1[some].view(np.int64)), pa.array(short), pa.array(ids[a + of[some]])], names=["h1", "h2", "id"])
+
+    # rows that repeat an id are met one by one here, and are one document in the grouping
+    rows = settle(map_batches(_with(texts, marked, marked.count()).select("id", "text", "keys"), run, "h1 long, h2 int, id long"))
+    first = settle(rows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where(F.col("first") < F.col("last")).drop("last"))
+    return rows.join(first, ["h1", "h2"]).where(F.col("first") < F.col("id")).select("id", "h1")
 
 
 def _cover(raw: bytes, lost: np.ndarray | None, window: int) -> tuple[list[bytes], np.ndarray]:
@@ -193,46 +148,48 @@ def _cover(raw: bytes, lost: np.ndarray | None, window: int) -> tuple[list[bytes
     words = raw.split()  # of bytes: exactly the six ASCII white-space characters
     gone = np.zeros(len(words), bool)
     if lost is not None and len(lost):
-        _, place, h1, _, _ = windows([raw], window)
+        found = Windows([raw], window)
+        h1 = _ROLL.spans(found.words, found.start, found.start + window)
         hit = np.zeros(len(words) + 1, np.int32)
-        starts = place[np.isin(h1.view(np.int64), lost)]
+        starts = found.place[np.isin(h1.view(np.int64), lost)]
         np.add.at(hit, starts, 1)
         np.add.at(hit, starts + window, -1)
         gone = np.cumsum(hit[:-1]) > 0
     return words, gone
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, most_bits: int = MOST_BITS, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, most_bits: int | None = None, keep_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept words joined by one space, of every document.
 
     Null and empty texts have no words. Rows without an id are neither changed nor compared. Rows that repeat an id are one
-    document: they do not remove each other's words. Empty table: empty result. Other columns are not read.
+    document: they do not remove each other's words. Of equal passages that of the smallest id stays. Empty table: empty result. Other
+    columns, whatever their names, are not read. A long text takes a worker about 40 bytes of memory a byte. `most_bits` bounds the
+    cells of the sketch: with fewer, more windows are grouped, and the result is the same.
     """
-    ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    gone = repeated_windows(texts.where(F.col("id").isNotNull()), window, most_bits).groupBy("id").agg(F.collect_list("h1").alias("lost"))
-    gone = settle(gone.withColumnRenamed("id", "_of"))
+    gone = repeated_windows(texts.where(F.col("id").isNotNull()), window, most_bits).groupBy("id").agg(F.collect_set("h1").alias("lost"))
+    gone = settle(gone.withColumnRenamed("id", "of"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lost = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
-            n, removed, digest, kept = [], [], [], []
-            for value, own in zip(batch.column(1), lost, strict=True):
-                words, out = _cover((value.as_py() or "").encode("utf-8", "surrogatepass"), None if own is None else np.array(own, np.int64), window)
-                left = b" ".join([w for w, x in zip(words, out.tolist(), strict=True) if not x] if out.any() else words)
-                n.append(len(words))
-                removed.append(int(out.sum()))
-                digest.append(hashlib.sha256(left).hexdigest())
-                if keep_text:
-                    kept.append(left.decode("utf-8", "surrogatepass"))
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), *([pa.array(kept, pa.string())] if keep_text else [])]
-            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
+            for a, b in slices(batch.column(1)):
+                n, removed, digest, kept = [], [], [], []
+                for k, raw in enumerate(utf8(batch.column(1)[a:b]), a):
+                    own = np.asarray(batch.column(2)[k].values) if batch.num_columns > 2 and batch.column(2)[k].is_valid else None
+                    words, out = _cover(raw, own, window)
+                    left = b" ".join([w for w, x in zip(words, out.tolist(), strict=True) if not x] if out.any() else words)
+                    n.append(len(words))
+                    removed.append(int(out.sum()))
+                    digest.append(hashlib.sha256(left).hexdigest())
+                    if keep_text:
+                        kept.append(left.decode("utf-8", "replace"))
+                columns = [batch.column(0)[a:b], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), *([pa.array(kept, pa.string())] if keep_text else [])]
+                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
 
     n_changed = gone.count()
     if n_changed > BROADCAST_IDS:
-        return texts.join(gone, F.col("id") == F.col("_of"), "left").select("id", "text", "lost").mapInArrow(run, schema)
-    ids = F.broadcast(gone.select("_of"))
-    same = texts.join(ids, F.col("id") == F.col("_of"), "left_anti").select("id", "text").mapInArrow(run, schema)
-    changed = texts.join(ids, F.col("id") == F.col("_of"), "left_semi").join(gone.hint("shuffle_hash"), F.col("id") == F.col("_of")).select("id", "text", "lost").mapInArrow(run, schema)
-    return same.unionByName(changed)
+        return map_batches(texts.join(gone, F.col("id") == F.col("of"), "left").select("id", "text", "lost"), run, schema)
+    same = texts.join(F.broadcast(gone.select("of")), F.col("id") == F.col("of"), "left_anti").select("id", "text")
+    changed = _with(texts, gone, n_changed).select("id", "text", "lost")
+    return map_batches(same, run, schema).unionByName(map_batches(changed, run, schema))

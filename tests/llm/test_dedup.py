@@ -249,11 +249,23 @@ def test_repeated_ids_and_missing_ids_are_left_alone(spark):
     assert substrings.remove_repeats(docs.limit(0)).count() == 0
 
 
-def test_sketch_never_loses_a_repeat():
-    rng = np.random.default_rng(3)
-    h = rng.integers(0, 2**64, (2, 5000), np.uint64)
-    packed = substrings.packed(np.unique(substrings.cells(h[0], h[1], 0, 100_000)))
-    assert (substrings.unpacked(packed) == np.unique(substrings.cells(h[0], h[1], 0, 100_000)).astype(np.int64)).all()
+@pytest.mark.parametrize("n, width", [(0, 3), (2, 3), (3, 3), (10, 1), (31, 7), (200, 31)])
+def test_least_of_neighbours(n, width):
+    x = np.random.default_rng(n).integers(0, 2**64, n, np.uint64, endpoint=False)
+    assert substrings.sliding_min(x, width).tolist() == [x[k : k + width].min() for k in range(n - width + 1)]
+
+
+def test_equal_windows_have_equal_keys():
+    """And few keys a document: about one for a dozen windows."""
+    r = random.Random(8)
+    shared = [f"s{r.random()}" for _ in range(80)]
+    texts = [" ".join([f"w{r.random()}" for _ in range(n)] + shared + [f"v{r.random()}" for _ in range(n)]).encode() for n in (0, 33, 700)]
+    keys = {}
+    for t in texts:
+        found = substrings.Windows([t], 50)
+        for h, k in zip(found.hashes()[0].tolist(), found.keys().tolist(), strict=True):
+            assert keys.setdefault(h, k) == k
+    assert 10 < len(found.start) / len(set(found.keys().tolist())) < 20
 
 
 # --- nearest neighbours
