@@ -109,7 +109,8 @@ def mix_sizes(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     """doc_id, size, source_size, target, taken of every document.
 
     Null text: size 0. Null sources are one source, the last by name. Rows that repeat an id within a source share its
-    place in the shuffle: all are taken, or none. Documents without words take nothing. Empty table: empty result.
+    place in the shuffle: all are taken, or none; so do rows without an id. Documents without words take nothing. Empty table: empty
+    result. Other columns, whatever their names, are not read. Sizes of long texts are counted in the JVM, without a copy.
     """
     rows = settle(sized_rows(docs))
     plan = settle(plan_mix(rows.select("source", "size", "key"), weights, share, most))
@@ -118,17 +119,19 @@ def mix_sizes(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
-    """The mix itself: the input's columns, a document once for each time it is taken. Texts stay in place."""
+    """The mix itself: the input's columns, whatever their names, a document once for each time it is taken. Texts stay in place.
+
+    Null texts, sources and ids, repeated rows and empty tables: as `mix_sizes` has it; documents without words go with their source's prefix.
+    """
     rows = settle(sized_rows(docs).select("source", "size", "key"))
     plan = settle(plan_mix(rows, weights, share, most))
-    names = docs.columns
-    plan = plan.select([F.col(c).alias(f"_mix_{c}") for c in plan.columns])
     first = plan.first()
-    plan = F.broadcast(plan) if first is None or first["_mix_n_sources"] <= BROADCAST_SOURCES else plan
-    copies = F.col("_mix_full_copies") + F.when(shuffle_key("doc_id") <= F.col("_mix_last_key"), 1).otherwise(0)
-    out = docs.join(plan, docs["source"].eqNullSafe(plan["_mix_source"])).where(copies > 0)
-    out = out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), copies)))
-    return out.select(*[F.col(f"`{c}`") for c in names])
+    plan = F.broadcast(plan) if first is None or first["n_sources"] <= BROADCAST_SOURCES else plan
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    source, doc_id = (F.col(names[docs.columns.index(c)]) for c in ("source", "doc_id"))
+    copies = F.col("full_copies") + F.when(shuffle_key(doc_id.cast("string")) <= F.col("last_key"), 1).otherwise(0)
+    out = docs.toDF(*names).join(plan, source.eqNullSafe(F.col("source"))).withColumn("copies", copies).where(F.col("copies") > 0)
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*names).toDF(*docs.columns)
 
 
 ORACLE_SQL = r"""

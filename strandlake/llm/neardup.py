@@ -355,18 +355,19 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, with all its columns; of rows that repeat an id one. Rows without an id stay.
+    """One document of each component, with all its columns, whatever their names; of rows that repeat an id one. Rows without an id stay.
 
-    Texts are not shuffled, but for those of repeated ids.
+    Null and empty texts stay. Texts are not shuffled, but for those of repeated ids.
     """
     result = settle(deduplicate(docs, percent).where(F.col("doc_id").isNotNull()))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    key = names[docs.columns.index("doc_id")]
 
     def without(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-        ids = ids.select(F.col("doc_id").alias("_id"))
-        return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, rows["doc_id"] == F.col("_id"), how)
+        return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col(key) == F.col("doc_id"), how)
 
-    kept = without(docs, settle(result.where(~F.col("kept")).select("doc_id").distinct()), "left_anti")
+    kept = without(docs.toDF(*names), settle(result.where(~F.col("kept")).select("doc_id").distinct()), "left_anti")
     again = settle(result.where("kept").groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id"))
-    if again.isEmpty():
-        return kept
-    return without(kept, again, "left_anti").unionByName(without(kept, again, "left_semi").dropDuplicates(["doc_id"]))
+    if not again.isEmpty():
+        kept = without(kept, again, "left_anti").unionByName(without(kept, again, "left_semi").dropDuplicates([key]))
+    return kept.toDF(*docs.columns)

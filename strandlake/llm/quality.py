@@ -266,7 +266,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame
     Null and empty texts, repeated rows, empty tables: as `classify` has it; a row stays or goes by its text alone.
     """
     rows = settle(train_rows(labels, "quality", 3, 1, TRAIN_ROWS))
-    model = train(feature_table(docs.join(F.broadcast(rows.select("_id")), docs["doc_id"] == F.col("_id"), "left_semi")), rows)
+    model = train(feature_table(docs.select("doc_id", "text").join(F.broadcast(rows.select("_id")), F.col("doc_id") == F.col("_id"), "left_semi")), rows)
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,5 +1,7 @@
 """The pipeline: each stage's decisions take effect on what the one before kept."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from strandlake.llm import mixing, quality, secretscan
 from strandlake.llm.common import table
@@ -46,3 +48,49 @@ def test_run_and_registry(spark, sf_dir):
     names = sorted(n.split("_")[0] for n in queries())
     assert names == sorted(f"op{k}" for k in range(1, 11))
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def odd_documents(spark):
+    """Nulls in every column, empty and long texts, ties, repeated rows and ids, and names that the stages use themselves."""
+    long = " ".join(f"word{k % 977} of {k}" for k in range(60_000)) + " password = hJ8s0Kq2zPw9xLm4"
+    good = "The quick brown fox jumps over the lazy dog, and then it rests in the shade of a tree for some time."
+    rows = [
+        (1, good, "en", "a", 100, 1, "x"), (1, good, "en", "a", 100, 1, "x"), (2, good + " ", "en", "b", 101, 2, None), (3, None, None, None, None, None, None), (None, good, "en", "a", 100, 3, "y"),
+        (None, None, None, None, None, None, None), (4, "", "en", "a", 0, 4, "z"), (5, long, "en", "b", len(long), 5, "z"), (6, long, "en", "b", len(long), 5, "z"), (7, "api_key: 0123456789abcdef0123456789abcdef", "en", None, 1, 1, "q"),
+        (4, "another text with the id of an empty one", "de", "c", 40, 4, "z"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _id long, copies string")
+    for name in ("key", "c0", "family", "_mix_copy", "score"):
+        docs = docs.withColumn(name, F.lit(name))
+    return docs
+
+
+def test_odd_rows_in_every_stage(spark, sf_dir):
+    docs = odd_documents(spark)
+    columns, counts = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.collect()
+        docs = stage(spark, docs, sf_dir).persist()
+        after = docs.collect()
+        counts[name] = len(after)
+        if name == "pack_sequences":
+            assert sum(r["length"] for r in after if r["start"] == 0) > 0 and {r["doc_id"] for r in after} == {r["doc_id"] for r in before}
+            break
+        assert docs.columns == columns and all(r["key"] == "key" and r["_mix_copy"] == "_mix_copy" for r in after)
+        if name == "quality_gam":  # what is judged here is the next stages' part; keep all rows for them
+            assert {r["text"] for r in after} <= {r["text"] for r in before}
+            docs = odd_documents(spark)
+        if name == "minhash_near_dedup":
+            ids = sorted(r["doc_id"] or 0 for r in after)
+            assert ids == [0, 0, 1, 3, 4, 5, 7]  # of a repeated id one row stays; the copies 2 and 6 go
+        if name == "secret_scan":
+            assert len(after) == len(before) and all("hJ8s0Kq2zPw9xLm4" not in (r["text"] or "") and r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in after)
+            assert [r["text"] for r in after if r["doc_id"] == 7] == ["[SECRET]"]
+    assert counts["secret_scan"] == counts["minhash_near_dedup"]
+
+
+def test_empty_table_in_every_stage(spark, sf_dir):
+    docs = odd_documents(spark).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert out.count() == 0 and (name == "pack_sequences" or out.columns == docs.columns)
