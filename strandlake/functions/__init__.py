@@ -40,6 +40,12 @@ def show(x: int | float | str, end: str = "") -> None:
     sys.stdout.write((x if isinstance(x, str) else to_string(x)) + end)
 
 
+def example(reads: DataFrame, **options) -> DataFrame:
+    """Shows its arguments and returns its input: a pattern for added functions."""
+    show(", ".join(f"{k}={v}" for k, v in sorted(options.items())), "\n")
+    return reads
+
+
 def export_plan(df: DataFrame, path: str) -> str:
     """The optimised plan of a result as JSON."""
     with open(path, "w", encoding="utf-8") as file:

@@ -5,13 +5,14 @@ Qualities are arrays; trims are higher-order functions over them, so reads never
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.text import failing
+from ..sources.text import failing, write_single
 from .count import choice
 
 KEY = ("sample", "file_id", "rec_no")
@@ -220,6 +221,21 @@ def stats_table(stats: DataFrame, encoding: str = "sanger", by: Sequence[str] =
     return rows.select("i", each.alias("x")).select(F.concat_ws(":", F.col("i").cast("string"), "x.k").alias("feature"), F.col("x.v").alias("value"))
 
 
+def run_report(folder: str, reads: DataFrame | None = None, mappings: Sequence[tuple[str, str, int, DataFrame]] = (), script: str = "") -> list[str]:
+    """Tables of a run in a folder: statistics of the files of reads, of mappings, and the script."""
+    os.makedirs(folder, exist_ok=True)
+    out = []
+    for name, table in (("fq.tsv", qcstats("fastq", reads) if reads is not None else None), ("mappings.tsv", qcstats("mapping", mappings=mappings) if mappings else None)):
+        if table is not None:
+            lines = table.select(F.concat_ws("\t", "feature", "value").alias("line")).orderBy("line")
+            out.append(write_single(lines, os.path.join(folder, name), ["\tstats"]))
+    if script:
+        out.append(os.path.join(folder, "script.txt"))
+        with open(out[-1], "w", encoding="utf-8") as file:
+            file.write(script)
+    return out
+
+
 def qcstats(kind: str, reads: DataFrame | None = None, mappings: Sequence[tuple[str, str, int, DataFrame]] = (), encoding: str = "sanger") -> DataFrame:
     """(feature, value) rows `i:key`: statistics of the files of reads (fastq), or of mappings (mapping: input, reference, line, statistics)."""
     from .mapped import stats_table as mapping_table

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .checks import check_inputs
 from .ordered import neighbour, running
 from .text import failing, numbered_lines, write_single
 
@@ -94,6 +95,7 @@ def subsampled(records: DataFrame) -> DataFrame:
 
 def paired(spark: SparkSession, first: str, second: str, singles: str = "", encoding: str = "auto", sample: str | None = None, file_id: int = 0) -> DataFrame:
     """Two mate files and perhaps singletons. Mates must share their encoding; a file of singletons with another one must be empty."""
+    check_inputs([first, second, singles])
     a, b = raw_records(spark, first), raw_records(spark, second)
     offset = _offset(spark, first, a, encoding)
     if _offset(spark, second, b, encoding) != offset:

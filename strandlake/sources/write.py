@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 
+from .checks import check_output
 from .fastq import write_reads
 from .sam import write_sam
 from .tables import auto_comments as made_comments
@@ -41,7 +42,7 @@ def write(
     format: tsv or csv for counts, sam or bam for alignments (or else by the name). format_flags: interleaved, always_3_fq_files.
     Comments stand at the top of counts: the one given, then the automatic ones (date, script, hash) as listed.
     """
-    kind, target = kind_of(x), subsampled_name(ofile) if subsample else ofile
+    kind, target = kind_of(x), check_output(subsampled_name(ofile) if subsample else ofile)
     if kind == "file":
         copy_file(x, target)
     elif kind == "reads":

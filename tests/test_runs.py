@@ -171,6 +171,76 @@ def test_statistics(spark):
         r.qcstats("reads")
 
 
+def test_report(spark, tmp_path):
+    aln = rows(spark, (1, 64, "A", 1, "4M", "ACGT", 0))
+    made = r.run_report(str(tmp_path / "r"), reads(spark, (0, 0, "ACGN")), [("in", "ref", 3, m.mapstats(aln))], "x = 1")
+    assert [os.path.basename(x) for x in made] == ["fq.tsv", "mappings.tsv", "script.txt"] and "0:numSeqs\t1\n" in open(made[0]).read() and "0:total\t1\n" in open(made[1]).read()
+
+
+# --- early checks and external functions
+
+
+def test_inputs_and_outputs_are_checked_early(spark, tmp_path):
+    for bad in (lambda: write(reads(spark, (0, 0, "A")), str(tmp_path / "no" / "x.fq")), lambda: fastq.paired(spark, str(tmp_path / "a.fq"), str(tmp_path / "b.fq"))):
+        with pytest.raises(FileNotFoundError):
+            bad()
+    with pytest.raises(FileNotFoundError, match="gff"):
+        annotate.count_alignments(spark, rows(spark, (1, 64, "A", 1, "4M", "ACGT", 0)), features=["gene"], gff_file="<x>/a.gff", search_path=["x=/nowhere"])
+
+
+MODULE = """
+name: lengths
+version: '1.0'
+functions:
+  - nglName: lengths
+    arg0: ./run.py
+    arg1: {filetype: fq3, can_gzip: true}
+    additional:
+      - {name: verbose, atype: flag, def: false, when-true: "-v -x"}
+      - {name: by, atype: option, values: [base, read], required: true}
+      - {name: least, atype: int, def: 2}
+      - {name: table, atype: counts, filetype: tsv}
+    return: {rtype: counts, name: ofile, extension: tsv}
+references:
+  - {name: own, fasta-file: g.fa, gtf-file: g.gtf}
+"""
+PROGRAM = """#!{python}
+import gzip, sys
+options = dict(x[2:].split("=", 1) for x in sys.argv if x.startswith("--"))
+files = [x for x in sys.argv[1:] if not x.startswith("-")]
+if options["by"] == "base":
+    sys.exit("no bases")
+with open(options["ofile"], "w") as out:
+    print("", "n", sep=chr(9), file=out)
+    for f in files:
+        print(f.split("input.")[1], sum(1 for _ in gzip.open(f)) // 4, sep=chr(9), file=out)
+    print("z", len(sys.argv) - len(options) - len(files) - 1 + int(options["least"]), sep=chr(9), file=out)
+    if "table" in options:
+        print("zt", len(open(options["table"]).readlines()), sep=chr(9), file=out)
+"""
+
+
+def test_external_functions(spark, tmp_path):
+    from strandlake.operators.modules import load_module
+
+    (tmp_path / "module.yaml").write_text(MODULE)
+    (tmp_path / "run.py").write_text(PROGRAM.replace("{python}", sys.executable))
+    os.chmod(tmp_path / "run.py", 0o755)
+    known = fn.References()
+    lengths = load_module(str(tmp_path / "module.yaml"), known).functions["lengths"]
+    assert known.find("own")["fafile"] == str(tmp_path / "g.fa")
+    rs = reads(spark, (1, 0, "AA"), (2, 0, "CC"), (0, 1, "GG"), (0, 2, "GG"))
+    counts = spark.createDataFrame([("a", 1.0)], "feature string, s double")
+    got = {x["feature"]: x["n"] for x in lengths(spark, rs, by="read", verbose=True, table=counts).collect()}
+    assert got == {"pair.1.fq.gz": 1, "pair.2.fq.gz": 1, "singles.fq.gz": 2, "z": 4, "zt": 2}
+    assert fn.example(rs, b=1, a="x") is rs
+    for bad in ({}, {"by": "word"}, {"by": "read", "other": 1}):
+        with pytest.raises(ValueError):
+            lengths(spark, rs, **bad)
+    with pytest.raises(external.ToolError, match="no bases"):
+        lengths(spark, rs, by="base")
+
+
 # --- mapping
 
 ALIGNER = """
