@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from strandlake.llm import mixing, neardup, packing, quality, secretscan
 from strandlake.llm.common import stored, table
-from strandlake.llm.registry import vocabulary
+from strandlake.llm.registry import common_words, vocabulary
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; n_chars, where there is one, follows the text (null of a null text). No row goes."""
-    clean = secretscan.redacted(docs)
+    clean = secretscan.redacted(docs, words=common_words())
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 

@@ -16,6 +16,12 @@ def vocabulary(name: str = "byte_bpe_50k") -> packing.Vocabulary:
     return packing.Vocabulary(public_tokenizers.path(f"{name}.json"), public_tokenizers.path(f"{name}.tiktoken"), public_tokenizers.PATTERN)
 
 
+def common_words() -> secretscan.Words:
+    import public_tokenizers
+
+    return secretscan.Words.of_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
@@ -37,7 +43,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secretscan.scan(table(spark, sf_dir, "documents"))
+    return secretscan.scan(table(spark, sf_dir, "documents"), common_words())
 
 
 def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,11 +9,14 @@ Everything is a map over rows: no shuffle, and memory is that of a slice of text
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import itertools
 import math
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from itertools import accumulate
 
 import pyarrow as pa
@@ -57,8 +60,6 @@ _WORDS = (
     "establish experience knowledge accomplish communicat administrat recogni specific particular general special individual professional "
     "technolog psycholog philosoph biolog environment circumstance neighbor disappoint embarrass straight forward fortunate"
 ).split()
-_RANK = {w: k + 1 for k, w in reversed(list(enumerate(_WORDS)))}
-_LONGEST = max(map(len, _WORDS))
 _ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _NEXT = {frozenset((a, b)) for row in _ROWS for a, b in zip(row, row[1:], strict=False)} | {frozenset((a, b)) for up, low in zip(_ROWS[1:], _ROWS[2:], strict=False) for a, b in zip(up, low, strict=False)}
 _DATE = re.compile(r"(?:19|20)\d\d(?:([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])([-/._])(?:0[1-9]|1[0-2])\2(?:19|20)\d\d")
@@ -69,10 +70,35 @@ _LEET = str.maketrans("@40315$7", "aaoeisst")
 DEAR = 12.0
 #: The same for values of letters, or letters and symbols: words of prose and names in code cost more than DEAR by brute force.
 DEAR_WORDS = 18.0
+
+
+@dataclass(frozen=True)
+class Words:
+    """A dictionary by rank: the words above, then any others given, most frequent first."""
+
+    ranks: dict[str, int]
+    longest: int
+
+    @classmethod
+    def of(cls, others: Iterable[str] = ()) -> Words:
+        ranks: dict[str, int] = {}
+        for word in itertools.chain(_WORDS, others):
+            ranks.setdefault(word, len(ranks) + 1)
+        return cls(ranks, max(map(len, ranks)))
+
+    @classmethod
+    def of_vocabulary(cls, path: str, least: int = 4) -> Words:
+        """With the words of a byte-level vocabulary given as ranks: tokens that are a space and letters, in the order of their ranks."""
+        with open(path, "rb") as file:
+            tokens = [base64.b64decode(token) for token, _ in sorted(map(bytes.split, file), key=lambda row: int(row[1]))]
+        return cls.of(t[1:].decode().lower() for t in tokens if len(t) > least and t[:1] == b" " and t[1:].isalpha())
+
+
+FEW_WORDS = Words.of()
 _QUICK = re.compile(r"[:=]|bearer|basic|\x20is\x20", re.I | re.A)
 
 
-def guess_cost(value: str, enough: float = math.inf) -> float:
+def guess_cost(value: str, enough: float = math.inf, words: Words = FEW_WORDS) -> float:
     """log10 of the guesses of the cheapest segmentation; or a bound from below on it, once that reaches `enough`.
 
     The work grows with the length: where repeats, walks and sequences end is found once for all their places.
@@ -95,8 +121,8 @@ def guess_cost(value: str, enough: float = math.inf) -> float:
         best[i + 1] = min(best[i + 1], best[i] + per_char)
         furthest = max(furthest, i + 1)
         jumps = list(ends.get(i, ()))
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            if rank := _RANK.get(plain[i:j]):
+        for j in range(i + 3, min(n, i + words.longest) + 1):
+            if rank := words.ranks.get(plain[i:j]):
                 cost = math.log10(rank) + 0.3 * (value[i:j] != low[i:j]) + 0.3 * (plain[i:j] != low[i:j])
                 jumps.append((j, max(cost, 0.3)))
         for unit in (1, 2, 3, 4):  # a unit again and again
@@ -122,7 +148,7 @@ def guess_cost(value: str, enough: float = math.inf) -> float:
     return best[n]
 
 
-def find_spans(text: str) -> list[tuple[int, str, int]]:
+def find_spans(text: str, words: Words = FEW_WORDS) -> list[tuple[int, str, int]]:
     """(start, kind, end) of every secret of a text, in code points, by start and kind. Texts without any: an empty list."""
     found: list[tuple[int, int, int]] = []
     credential = ":" in text or "=" in text
@@ -143,7 +169,7 @@ def find_spans(text: str) -> list[tuple[int, str, int]]:
             dear = DEAR if re.search(r"\d", value) else DEAR_WORDS
             # a capital at the start of a word is no second alphabet
             priced = value.lower() if dear == DEAR_WORDS and value[1:].islower() else value
-            if len(value) >= 8 and guess_cost(priced, dear) >= dear:
+            if len(value) >= 8 and guess_cost(priced, dear, words) >= dear:
                 found.append((m.start(1), 3, m.start(1) + len(value)))
     found.sort()
     return [(a, KINDS[k], b) for a, k, b in found]
@@ -161,7 +187,7 @@ def redact(text: str, spans: list[tuple[int, str, int]], mark: str = "[SECRET]")
 _COLUMNS = ("n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string", [pa.int64()] * 4 + [pa.string()] * 2)
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, words: Words = FEW_WORDS) -> DataFrame:
     """doc_id, counts by kind, digest of the fixed patterns' spans and all spans, of every document.
 
     Null and empty texts have no spans (the digest is that of an empty string). Repeated rows are scanned one by one. Spans that
@@ -175,7 +201,7 @@ def scan(docs: DataFrame) -> DataFrame:
             for a, b in slices(batch.column(1)):
                 rows = []
                 for value in batch.column(1)[a:b]:
-                    spans = find_spans(value.as_py() or "")
+                    spans = find_spans(value.as_py() or "", words)
                     told = [(k, f"{k}:{x}:{y}") for x, k, y in spans]
                     base = ",".join(x for k, x in told if k != "guess")
                     rows.append((*(sum(k == kind for k, _ in told) for kind in KINDS), hashlib.sha256(base.encode()).hexdigest(), ",".join(x for _, x in told)))
@@ -185,7 +211,7 @@ def scan(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, f"doc_id long, {_COLUMNS[0]}")
 
 
-def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
+def redacted(docs: DataFrame, text: str = "text", words: Words = FEW_WORDS) -> DataFrame:
     """The input's rows and columns, every secret of the text column replaced by a mark. Null stays null; repeated rows stay."""
     at, names = docs.columns.index(text), [f"c{i}" for i in range(len(docs.columns))]
 
@@ -193,7 +219,7 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             for a, b in slices(batch.column(at)):
                 part = batch.slice(a, b - a)
-                clean = pa.array([None if (t := x.as_py()) is None else redact(t, find_spans(t)) for x in part.column(at)], pa.string())
+                clean = pa.array([None if (t := x.as_py()) is None else redact(t, find_spans(t, words)) for x in part.column(at)], pa.string())
                 yield pa.RecordBatch.from_arrays([clean if i == at else c for i, c in enumerate(part.columns)], names=names)
 
     plain = docs.toDF(*names)

@@ -68,6 +68,54 @@ def test_words_are_not_secrets():
         assert secretscan.find_spans(text) == []
 
 
+def cheapest_by_trying(value, words):
+    """The cost of every segmentation, by recursion, from the definition of what a span costs."""
+    low, n = value.lower(), len(value)
+    plain = low.translate(str.maketrans("@40315$7", "aaoeisst"))
+    kinds = {("a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if c.isdigit() else "$") for c in value}
+    alphabet = sum({"a": 26, "A": 26, "0": 10, "$": 33}[k] for k in kinds)
+    one = np.log10(max(alphabet, 10))
+
+    def span(i, j):
+        costs = [one * (j - i)] if j == i + 1 else []
+        if j - i >= 3 and plain[i:j] in words.ranks:
+            costs.append(max(0.3, np.log10(words.ranks[plain[i:j]]) + 0.3 * (value[i:j] != low[i:j]) + 0.3 * (plain[i:j] != low[i:j])))
+        for unit in (1, 2, 3, 4):
+            times = (j - i) // unit
+            if times >= 3 and times * unit == j - i and low[i:j] == low[i : i + unit] * times and not low[i : j + unit] == low[i : i + unit] * (times + 1):
+                costs.append(unit * one + np.log10(times))
+        steps = [[ord(b) - ord(a) for a, b in zip(low[i:j], low[i + 1 : j])], [frozenset(x) in secretscan._NEXT for x in zip(low[i:j], low[i + 1 : j])]]
+        for good, more in ((all(s == 1 for s in steps[0]), j < n and ord(low[j]) - ord(low[j - 1]) == 1), (all(s == -1 for s in steps[0]), j < n and ord(low[j]) - ord(low[j - 1]) == -1), (all(steps[1]), j < n and frozenset((low[j - 1], low[j])) in secretscan._NEXT)):
+            if j - i >= 3 and good and not more:
+                costs.append(np.log10(47) + 0.35 * (j - i))
+        for m in secretscan._DATE.finditer(value):
+            if m.span() == (i, j):
+                costs.append(2.1 if j - i == 4 else 4.6)
+        return min(costs, default=np.inf)
+
+    best = [0.0] + [min([0.0])] * n
+    for j in range(1, n + 1):
+        best[j] = min(best[i] + span(i, j) for i in range(j))
+    return best[n]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["pass", "word", "hunter", "2024", "19990101", "aaa", "abab", "qwe", "rty", "123", "321", "X", "q", "7", "$", "P4ss", "zxcv", "Monkey", "é"]), min_size=1, max_size=6))
+def test_cost_is_that_of_the_cheapest_segmentation(parts):
+    value = "".join(parts)
+    for words in (secretscan.FEW_WORDS, secretscan.Words.of(["wordpass", "xq7"])):
+        assert secretscan.guess_cost(value, words=words) == pytest.approx(cheapest_by_trying(value, words))
+
+
+def test_words_of_a_vocabulary():
+    from strandlake.llm.registry import common_words
+
+    words = common_words()
+    assert len(words.ranks) > 10_000 and words.ranks["password"] == 1 and "cathedral" in words.ranks and not any(len(w) < 4 for w in words.ranks if w not in secretscan.FEW_WORDS.ranks)
+    assert secretscan.guess_cost("cathedralvolunteer", words=words) < 10 < secretscan.guess_cost("cathedralvolunteer")
+    assert secretscan.find_spans("pwd: hJ8s0Kq2zPw9x", words) and not secretscan.find_spans("passphrase: extraordinarycelebration", words)
+
+
 def test_scan_and_redact(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
