@@ -1,8 +1,8 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols: insult, threat, intent, you, they, this, copula, negation, report, quotation mark, comma, clause end. Five
-transducers are composed in series, each rewriting what the one before puts out: scopes of negations, reported speech and
-quotations, targets, insults, threats. The first three mark insults and threats; the insult transducer turns a marked insult into
+Words become symbols: insult, threat, intent, you, they, this, copula, negation, report, quotation mark, comma, clause end, line end. Five
+transducers are composed in series, each rewriting what the one before puts out: reported speech and quotations, scopes of
+negations, targets, insults, threats. The first three mark insults and threats; the insult transducer turns a marked insult into
 the kind of clause it makes (addressed, predicate, vocative, mere mention, reported, negated), with a weight on the arc; the threat
 transducer matches intent, threat and target. Product states are made when first reached. A clause is its best path, so that
 clauses are scored and not words: an insult only mentioned does not make a text toxic unless labels say so. The weights of all
@@ -17,10 +17,11 @@ whole texts, in which only texts with a stem or a threat are read word by word.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -52,7 +53,7 @@ SEED_WEIGHT = 5.0
 SEED = frozenset("idiot moron imbecile bastard asshole scumbag".split())
 SYMBOLS = (
     dict.fromkeys(COPULA, "C") | dict.fromkeys(THIS, "D") | dict.fromkeys(THEY, "P") | dict.fromkeys(YOU, "Y") | dict.fromkeys(REPORT, "R") | dict.fromkeys(INTENT, "W")
-    | dict.fromkeys(THREAT, "H") | dict.fromkeys(NEGATION, "N") | dict.fromkeys(".!?;\n", "E") | dict.fromkeys('"“”„«»', "Q") | dict.fromkeys(",:", "K")
+    | dict.fromkeys(THREAT, "H") | dict.fromkeys(NEGATION, "N") | dict.fromkeys(".!?;", "E") | {"\n": "B"} | dict.fromkeys('"“”„«»', "Q") | dict.fromkeys(",:", "K")
 )
 
 # --- transducers: state, symbol -> next state, symbol put out, weight of the arc -----------------------------------
@@ -62,22 +63,27 @@ KINDS = {"addressed": 6.0, "predicate": 5.0, "vocative": 4.0, "mention": 3.0, "r
 Arc = tuple[object, str, float]
 
 
+def report(state: int, symbol: str) -> Arc:
+    """What stands within twelve symbols after a verb of saying, in one clause, or within quotation marks of one line, is reported: mark r.
+
+    -1 is within quotation marks. The end of a line is put out as that of a clause.
+    """
+    if symbol == "B":
+        return 0, "E", 0.0
+    if symbol == "Q":
+        return (0 if state < 0 else -1), symbol, 0.0
+    if symbol == "E":
+        return min(0, state), symbol, 0.0
+    if symbol == "R" and state >= 0:
+        return 12, symbol, 0.0
+    return (state if state < 0 else max(0, state - 1)), symbol + "r" * (symbol[0] in "IH" and state != 0), 0.0
+
+
 def negation(state: int, symbol: str) -> Arc:
     """What stands within four symbols after a negation, in one clause, is negated: mark n."""
     if symbol in "EN":
         return (4 if symbol == "N" else 0), symbol, 0.0
-    return max(0, state - 1), symbol + "n" * (symbol in "IH" and state > 0), 0.0
-
-
-def report(state: int, symbol: str) -> Arc:
-    """0 plain; 1 after a verb of saying, up to the clause's end; 2 within quotation marks: mark r."""
-    if symbol == "Q":
-        return (0 if state == 2 else 2), symbol, 0.0
-    if symbol == "E":
-        return (0 if state == 1 else state), symbol, 0.0
-    if symbol == "R":
-        return state or 1, symbol, 0.0
-    return state, symbol + "r" * (symbol[0] in "IH" and state > 0), 0.0
+    return max(0, state - 1), symbol + "n" * (symbol[0] in "IH" and state > 0), 0.0
 
 
 def target(state: int, symbol: str) -> Arc:
@@ -131,10 +137,10 @@ class Grammar:
             self.arcs[key] = tuple(after), symbol, weight
         return self.arcs[key]
 
-    def clauses(self, symbols: list[tuple[str, float]]) -> list[tuple[str, float]]:
+    def clauses(self, symbols: Iterable[tuple[str, float]]) -> list[tuple[str, float]]:
         """(kind, weight of the insult) of every matched clause: its heaviest path, by its arcs and then by its insult; and of every threat."""
         state, found, best = self.start, [], (0.0, 0.0, "")
-        for symbol, given in [*symbols, ("E", 0.0)]:
+        for symbol, given in itertools.chain(symbols, [("E", 0.0)]):
             state, out, weight = self.step(state, symbol)
             if out == "E":
                 if best[2]:
@@ -147,7 +153,7 @@ class Grammar:
         return found
 
 
-GRAMMAR = Grammar((negation, 0), (report, 0), (target, 0), (insult, (0, True)), (threat, ("", 0, "")))
+GRAMMAR = Grammar((report, 0), (negation, 0), (target, 0), (insult, (0, True)), (threat, ("", 0, "")))
 #: Weights before anything is learned: bias, then for each kind of its heaviest clause and of the logarithm of its number of clauses.
 PRIOR_OF = {"addressed": (0.6, 1.0), "predicate": (0.5, 0.8), "vocative": (0.45, 0.6), "mention": (0.2, 0.3), "reported": (0.1, 0.1), "negated": (0.05, 0.1), "threat": (2.5, 0.5)}
 PRIOR = np.array([-3.0, *(w for pair in PRIOR_OF.values() for w in pair)])
@@ -188,7 +194,7 @@ class Lexicon:
         words = set(_WORD.findall(low))  # a quick look before the grammar reads word by word
         if words.isdisjoint(THREAT) and not any(w[:3] in self.heads and self.insult(w) for w in words):
             return []
-        return GRAMMAR.clauses([self.symbol(w) for w in _TOKEN.findall(low)])
+        return GRAMMAR.clauses(self.symbol(m[0]) for m in _TOKEN.finditer(low))
 
 
 # --- learning ------------------------------------------------------------------------------------------------------

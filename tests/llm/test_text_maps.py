@@ -230,12 +230,13 @@ def test_classifiers_without_labels_or_rows(spark):
 def clauses_by_definition(symbols):
     """What the composed machine must find, from the definitions of scopes and kinds alone."""
     kinds, found = [k for k, _ in symbols], []
-    ends = [-1, *(i for i, k in enumerate(kinds) if k == "E"), len(kinds)]
+    ends = [-1, *(i for i, k in enumerate(kinds) if k in "EB"), len(kinds)]
 
     def marks(i, start):
-        quoted = kinds[:i].count("Q") % 2 == 1
-        since = max([j for j in range(i) if kinds[j] in "EQ"], default=-1) + 1
-        return "N" in kinds[max(start, i - 4) : i], quoted or "R" in kinds[since:i]
+        line = max([j for j in range(i) if kinds[j] == "B"], default=-1) + 1
+        quoted = kinds[line:i].count("Q") % 2 == 1
+        since = max([j for j in range(i) if kinds[j] in "EBQ"], default=-1) + 1
+        return "N" in kinds[max(start, i - 4) : i], quoted or "R" in kinds[max(since, i - 12) : i]
 
     for left, right in zip(ends, ends[1:]):
         start, ranked = left + 1, []
@@ -259,7 +260,7 @@ def clauses_by_definition(symbols):
 
 
 @settings(max_examples=1500, deadline=None)
-@given(st.lists(st.sampled_from("IIHWYPDCNRQKEOO"), max_size=40))
+@given(st.lists(st.sampled_from("IIHWYPDCNRQKEBOOO"), max_size=60))
 def test_machine_equals_the_definitions(kinds):
     symbols = [(k, 1.0 + i % 3 if k == "I" else 0.0) for i, k in enumerate(kinds)]
     assert sorted(toxicity.GRAMMAR.clauses(symbols)) == clauses_by_definition(symbols)
