@@ -1,15 +1,17 @@
 """Removing repeated passages: a count-min sketch of window keys first, exact grouping of what it lets through second.
 
 A window's key is the least hash of the runs of words inside it. Equal windows have equal keys, and windows that start near each
-other mostly share theirs, so that a document has about one key for a dozen words. Every task counts the cells of its documents' keys,
-a partial sketch; partial sketches are merged by cell. A cell's count is never below that of a window whose key falls there, so a window
-of two documents is never lost. The second pass sends only windows with a key estimated repeated, as 96-bit hashes, to exact
-grouping: the smallest document of each, joined back to the documents that hold it.
-
-At scale: the sketch has so many cells for a key, whatever the corpus, and stays in shards: no task holds more of it than its part of a
-shuffle, and nothing of it goes to the driver or to all executors. What the cells say goes back to documents by a join. Shuffled are
-16 bytes a key twice, which is a fraction of the text, and the windows let through. Keys and windows that very many documents hold are
-partial aggregates and joins of settled tables, which adaptive execution can split. Only texts with repeated keys are shuffled.
+other mostly share theirs, so that a document has about one key for a dozen words. Every task sketches the keys of its documents; the
+sketches of a shard are merged by saturating addition, so that a cell says whether it was met twice. A count-min estimate is never
+below the count, so a window of two documents has all its key's cells met twice and none is lost. The second pass sends only windows
+with a key estimated repeated, as 96-bit hashes, to exact grouping: the smallest document of each window, joined back to the
+documents that hold it.
+
+At scale: sketches travel as sorted cells with gaps of about a byte, not as rows; the merged sketch is broadcast and has a fixed
+bound (`MOST_BITS`, 96 MB). It is sized to the corpus up to that bound, which is full at about 2 GB of text and still rules out most
+windows that are met once at 50 GB; beyond, more and more windows are grouped, with the same result. Windows are shuffled once, as 96
+bits and a document. Those that very many tasks have met are grouped apart: partial aggregates, one row a window and task, joined back
+to a settled table, which adaptive execution can split. Only texts that lose words are shuffled.
 """
 
 from __future__ import annotations
@@ -19,15 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Roller, map_batches, mix64, settle, slices, utf8, word_spans
+from .common import Roller, give_back, map_batches, mix64, settle, slices, utf8, word_spans
 
 WINDOW = 50
-#: Cells of the sketch for each key; and the least number of bits of a cell's number.
-CELLS, LEAST_BITS = 32, 16
-BROADCAST_IDS, BROADCAST_CELLS = 2_000_000, 200_000
+#: Bits of the merged sketch: so many for a byte of text, and at most; and its rows.
+BITS_PER_BYTE, MOST_BITS, LEAST_BITS, DEPTH = 0.4, 3 << 28, 1 << 16, 2
+#: Keys that a task sketches before it sends them on, and bytes of text for a shard.
+FLUSH, SHARD_BYTES = 500_000, 64 << 20
+#: A cell that so many partial sketches have met is common; common cells are marked in so many bits.
+COMMON, COMMON_BITS = 100, 1 << 22
+BROADCAST_IDS = 2_000_000
 _ROLL, _ROLL2 = Roller(23), Roller(29)
 
 
@@ -63,8 +70,8 @@ class Windows:
         return self.start - self.first[self.of]
 
     def keys(self) -> np.ndarray:
-        """The least hash of the runs of two fifths of a window's words inside it."""
-        run = max(1, 2 * self.width // 5)
+        """The least hash of the runs of three fifths of a window's words inside it."""
+        run = max(1, 3 * self.width // 5)
         at = np.arange(max(0, len(self.words) - run + 1))
         return sliding_min(_ROLL.spans(self.words, at, at + run), self.width - run + 1)[self.start]
 
@@ -82,65 +89,135 @@ def distinct(of: np.ndarray, x: np.ndarray) -> np.ndarray:
     return order[new]
 
 
-def document_keys(texts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """texts (id, text) -> (key, id): the distinct keys of the windows of every document."""
+# --- the sketch ----------------------------------------------------------------------------------------------------
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = np.asarray(batch.column(0))
-            for a, b in slices(batch.column(1)):
-                found = Windows(utf8(batch.column(1)[a:b]), window)
-                keys, of = found.keys(), found.of
-                change = np.ones(len(of), bool)  # neighbours mostly share their key
-                change[1:] = (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])
-                keys, of = keys[change], of[change]
-                some = distinct(of, keys)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(ids[a + of[some]])], names=["key", "id"])
 
-    return map_batches(texts, run, "key long, id long")
+def cells(keys: np.ndarray, row: int, width: int) -> np.ndarray:
+    """The cell of every key in one row of the sketch: 32 bits of a hash, scaled."""
+    bits = mix64(keys + np.uint64(row)) >> np.uint64(32)
+    return (bits * np.uint64(width) >> np.uint64(32)).astype(np.uint32)
 
 
-def repeated_keys(texts: DataFrame, window: int = WINDOW, most_cells: int | None = None) -> DataFrame:
-    """(id, keys): the keys of each document that the sketch estimates to be held by two documents or more. Documents without any are left out."""
-    keyed = settle(document_keys(texts, window))
-    cells = CELLS * max(1, keyed.count())
-    cells = cells if most_cells is None else min(cells, most_cells)
-    bits = min(62, max(LEAST_BITS if most_cells is None else 1, (cells - 1).bit_length()))
-    keyed = keyed.withColumn("cell", F.shiftrightunsigned("key", 64 - bits))
-    sketch = settle(keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") > 1).select("cell"))
-    sketch = F.broadcast(sketch) if sketch.count() <= BROADCAST_CELLS else sketch
-    return keyed.join(sketch, "cell").groupBy("id").agg(F.collect_set("key").alias("keys"))
+def packed(sorted_cells: np.ndarray) -> bytes:
+    gaps = np.diff(sorted_cells, prepend=np.uint32(0)).astype("<u4")
+    return zstandard.ZstdCompressor(level=1).compress(gaps.view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
-def _with(texts: DataFrame, found: DataFrame, n: int) -> DataFrame:
-    """texts (id, text) of the ids in `found` (of, ...), n rows, with its columns: other texts are not shuffled."""
-    if n <= BROADCAST_IDS:
-        texts = texts.join(F.broadcast(found.select(F.col("of").alias("_of"))), F.col("id") == F.col("_of"), "left_semi")
-    return texts.join(found.hint("shuffle_hash"), F.col("id") == F.col("of")).drop("of")
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=1 << 31), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.int64)
 
 
-def repeated_windows(texts: DataFrame, window: int = WINDOW, most_cells: int | None = None) -> DataFrame:
-    """texts (id, text) -> (id, h1): the hash of every distinct window of a document that also starts in one of smaller id."""
-    marked = settle(repeated_keys(texts, window, most_cells).withColumnRenamed("id", "of"))
+def partial_sketch(keys: np.ndarray, width: int, shards: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(row and shard, cells met, cells met twice) of some keys."""
+    size = -(-width // shards)
+    for row in range(DEPTH):
+        met, times = np.unique(cells(keys, row, width), return_counts=True)
+        edges = np.searchsorted(met, np.arange(shards + 1) * size)
+        for k in range(shards):
+            a, b = edges[k], edges[k + 1]
+            if a < b:
+                own = met[a:b] - np.uint32(k * size)
+                yield row * shards + k, packed(own), packed(own[times[a:b] > 1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def merged_sketch(texts: DataFrame, width: int, shards: int, window: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Bits of every row of the sketch: the cell was met at least twice; and bits of common cells of its first row."""
+    size = -(-width // shards)
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def send(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            rows = list(zip(*partial_sketch(np.concatenate(found), width, shards), strict=True))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], names=["shard", "once", "twice"])
+
+        found, held = [], 0
         for batch in batches:
-            ids = np.asarray(batch.column(0))
             for a, b in slices(batch.column(1)):
-                found, marks = Windows(utf8(batch.column(1)[a:b]), window), batch.column(2)[a:b]
-                owner = mix64(np.arange(1, b - a + 1, dtype=np.uint64))  # so that a key counts in its own document only
-                wanted = np.asarray(marks.flatten()).view(np.uint64) ^ np.repeat(owner, np.diff(np.asarray(marks.offsets)))
-                keep = np.flatnonzero(np.isin(found.keys() ^ owner[found.of], wanted))
-                h1, h2 = found.hashes(keep)
-                of = found.of[keep]
-                some = distinct(of, h1)
-                short = (h2[some] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(h1[some].view(np.int64)), pa.array(short), pa.array(ids[a + of[some]])], names=["h1", "h2", "id"])
-
-    # rows that repeat an id are met one by one here, and are one document in the grouping
-    rows = settle(map_batches(_with(texts, marked, marked.count()).select("id", "text", "keys"), run, "h1 long, h2 int, id long"))
-    first = settle(rows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where(F.col("first") < F.col("last")).drop("last"))
-    return rows.join(first, ["h1", "h2"]).where(F.col("first") < F.col("id")).select("id", "h1")
+                windows = Windows(utf8(batch.column(1)[a:b]), window)
+                keys, of = windows.keys(), windows.of
+                change = np.ones(len(of), bool)  # neighbours mostly share their key
+                change[1:] = (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])
+                keys, of = keys[change], of[change]
+                found.append(keys[distinct(of, keys)])
+                held += len(found[-1])
+                if held >= FLUSH:
+                    yield from send(found)
+                    found, held = [], 0
+        if held:
+            yield from send(found)
+
+    def merge(table: pa.Table) -> pa.Table:
+        met, twice = np.zeros(size, np.uint8), np.zeros(size, bool)
+        for once, more in zip(table["once"], table["twice"], strict=True):
+            own = unpacked(once.as_py())
+            met[own] += met[own] < 255
+            twice[unpacked(more.as_py())] = True
+        twice |= met > 1
+        shard = table["shard"][0].as_py()
+        common = np.unique((np.flatnonzero(met >= COMMON) + shard * size) % COMMON_BITS) if shard < shards else []
+        give_back()
+        return pa.table({"shard": pa.array([shard], pa.int32()), "bits": pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary()), "common": pa.array([common], pa.list_(pa.int32()))})
+
+    parts = map_batches(texts, sketch, "shard int, once binary, twice binary")
+    bits = [np.zeros(size * shards // 8 + 8, np.uint8) for _ in range(DEPTH)]
+    common = np.zeros(COMMON_BITS, bool)
+    for r in parts.groupBy("shard").applyInArrow(merge, "shard int, bits binary, common array<int>").toLocalIterator():
+        row, k = divmod(r["shard"], shards)
+        bits[row][k * size // 8 : k * size // 8 + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+        common[r["common"]] = True
+    return bits, common
+
+
+def estimated_repeated(bits: list[np.ndarray], width: int, keys: np.ndarray) -> np.ndarray:
+    out = np.ones(len(keys), bool)
+    for row, some in enumerate(bits):
+        c = cells(keys, row, width)
+        out &= (some[c >> np.uint32(3)] >> (c & np.uint32(7)).astype(np.uint8) & 1).astype(bool)
+    return out
+
+
+# --- the operator --------------------------------------------------------------------------------------------------
+
+
+def repeated_windows(texts: DataFrame, window: int = WINDOW, most_bits: int = MOST_BITS) -> DataFrame:
+    """texts (id, text) -> (id, h1): the hash of every distinct window of a document that also starts in one of smaller id."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    width = int(min(max(size * BITS_PER_BYTE, LEAST_BITS), most_bits)) // DEPTH
+    shards = max(1, size // SHARD_BYTES)
+    width = -(-width // (shards * 8)) * shards * 8  # shards of whole bytes
+    merged, common = merged_sketch(texts, width, shards, window)
+    sketch = texts.sparkSession.sparkContext.broadcast((merged, common))
+
+    def windows(wanted: bool) -> DataFrame:
+        """(h1, h2, id) of the windows estimated repeated: the common ones, or the others."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits, often = sketch.value
+            for batch in batches:
+                ids = np.asarray(batch.column(0))
+                for a, b in slices(batch.column(1)):
+                    found = Windows(utf8(batch.column(1)[a:b]), window)
+                    keys = found.keys()
+                    keep = np.flatnonzero(estimated_repeated(bits, width, keys))
+                    keep = keep[often[cells(keys[keep], 0, width) % COMMON_BITS] == wanted]
+                    if not len(keep):
+                        continue
+                    h1, h2 = found.hashes(keep)
+                    of = found.of[keep]
+                    some = distinct(of, h1)
+                    short = (h2[some] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(h1[some].view(np.int64)), pa.array(short), pa.array(ids[a + of[some]])], names=["h1", "h2", "id"])
+
+        return map_batches(texts, run, "h1 long, h2 int, id long")
+
+    earliest = F.min("id").over(Window.partitionBy("h1", "h2"))
+    out = windows(False).withColumn("first", earliest).where(F.col("first") < F.col("id")).select("id", "h1")
+    if common.any():
+        rows = settle(windows(True))
+        first = settle(rows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where(F.col("first") < F.col("last")).drop("last"))
+        out = out.unionByName(rows.join(first, ["h1", "h2"]).where(F.col("first") < F.col("id")).select("id", "h1"))
+    return out
 
 
 def _cover(raw: bytes, lost: np.ndarray | None, window: int) -> tuple[list[bytes], np.ndarray]:
@@ -158,16 +235,15 @@ def _cover(raw: bytes, lost: np.ndarray | None, window: int) -> tuple[list[bytes
     return words, gone
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, most_bits: int | None = None, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, most_bits: int = MOST_BITS, keep_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept words joined by one space, of every document.
 
     Null and empty texts have no words. Rows without an id are neither changed nor compared. Rows that repeat an id are one
     document: they do not remove each other's words. Of equal passages that of the smallest id stays. Empty table: empty result. Other
-    columns, whatever their names, are not read. A long text takes a worker about 40 bytes of memory a byte. `most_bits` bounds the
-    cells of the sketch: with fewer, more windows are grouped, and the result is the same.
+    columns, whatever their names, are not read. A long text takes a worker about 50 bytes of memory a byte.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    gone = repeated_windows(texts.where(F.col("id").isNotNull()), window, most_bits).groupBy("id").agg(F.collect_set("h1").alias("lost"))
+    gone = repeated_windows(texts.where(F.col("id").isNotNull()), window, most_bits).groupBy("id").agg(F.collect_list("h1").alias("lost"))
     gone = settle(gone.withColumnRenamed("id", "of"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
 
@@ -191,5 +267,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, most_bits: int | None
     if n_changed > BROADCAST_IDS:
         return map_batches(texts.join(gone, F.col("id") == F.col("of"), "left").select("id", "text", "lost"), run, schema)
     same = texts.join(F.broadcast(gone.select("of")), F.col("id") == F.col("of"), "left_anti").select("id", "text")
-    changed = _with(texts, gone, n_changed).select("id", "text", "lost")
+    ids = F.broadcast(gone.select(F.col("of").alias("_of")))
+    changed = texts.join(ids, F.col("id") == F.col("_of"), "left_semi").join(gone.hint("shuffle_hash"), F.col("id") == F.col("of")).select("id", "text", "lost")
     return map_batches(same, run, schema).unionByName(map_batches(changed, run, schema))

@@ -265,7 +265,22 @@ def test_equal_windows_have_equal_keys():
         found = substrings.Windows([t], 50)
         for h, k in zip(found.hashes()[0].tolist(), found.keys().tolist(), strict=True):
             assert keys.setdefault(h, k) == k
-    assert 10 < len(found.start) / len(set(found.keys().tolist())) < 20
+    assert 8 < len(found.start) / len(set(found.keys().tolist())) < 14
+
+
+def test_sketch_never_loses_a_repeat():
+    keys = np.random.default_rng(3).integers(0, 2**64, 5000, np.uint64, endpoint=False)
+    for row in range(substrings.DEPTH):
+        met = np.unique(substrings.cells(keys, row, 100_000))
+        assert (substrings.unpacked(substrings.packed(met)) == met).all()
+    bits = [np.zeros(100_000 // 8 + 8, np.uint8) for _ in range(substrings.DEPTH)]
+    twice = np.concatenate([keys[:500], keys])
+    for shard, _, more in substrings.partial_sketch(twice, 100_000, 4):
+        row, k = divmod(shard, 4)
+        c = substrings.unpacked(more) + k * 25_000
+        np.bitwise_or.at(bits[row], c >> 3, (1 << (c & 7)).astype(np.uint8))
+    found = substrings.estimated_repeated(bits, 100_000, keys)
+    assert found[:500].all() and found[500:].mean() < 0.05
 
 
 # --- nearest neighbours
