@@ -4,8 +4,8 @@ Three tables go in, all with a `sample` if there are several: `groups` (which gr
 group_id, feature, distinct or not), `features` (annotator, feature, size). Groups without a hit count for the feature -1. That
 count is the number of groups less the number of groups with a hit: no outer join of groups is needed.
 
-Hits are shuffled once, into the set of features of each group; equal sets then are one row with a count, and all that follows works
-on those.
+Where the number of a group's features matters, hits are shuffled once, by group: repeated ones go, features are counted and shares are
+made in that one partitioning. Where it does not (all1), hits are counted by feature after partial aggregation.
 """
 
 from __future__ import annotations
@@ -65,29 +65,31 @@ def count(
     choice("normalization", normalization, NORMALIZATION)
     by = list(by)
     key = [*by, "annotator"]
-    sets = hits.groupBy(*key, "group_id").agg(F.sort_array(F.collect_set("feature")).alias("set"))
-    sets = sets.groupBy(*key, "set").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    n = F.size("set")
-    each = sets.select(*key, F.explode("set").alias("feature"), "set", "c", n.alias("n"))
+    hits = hits.select(*key, "group_id", "feature")
     if multiple == "all1":
-        values = each.groupBy(*key, "feature").agg(F.sum("c").alias("value"))
-    elif multiple == "1overN":
-        values = each.groupBy(*key, "feature").agg(F.sum(F.col("c") / F.col("n")).alias("value"))
+        hits = hits.distinct()
+        values = hits.groupBy(*key, "feature").agg(F.count(F.lit(1)).cast("double").alias("value"))
+        hit = hits.groupBy(*key).agg(F.countDistinct("group_id").alias("_hit"))
     else:
-        single = sets.where(n == 1).select(*key, F.get("set", F.lit(0)).alias("feature"), F.col("c").alias("value"))
-        values = single
-        if multiple == "dist1":
-            weights = single.join(features.select("annotator", "feature", "size"), ["annotator", "feature"], "left")
-            weights = weights.select(*key, "feature", F.when(F.coalesce("size", F.lit(0.0)) > 0, F.col("value") / F.col("size")).otherwise(F.col("value")).alias("w"))
-            many = each.where(F.col("n") > 1).join(weights, [*key, "feature"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
-            many = many.withColumn("t", F.sum("w").over(Window.partitionBy(*key, "set")))
-            shares = many.select(*key, "feature", (F.col("c") * F.when(F.col("t") > 0, F.col("w") / F.col("t")).otherwise(1.0 / F.col("n"))).alias("value"))
-            values = single.unionByName(shares).groupBy(*key, "feature").agg(F.sum("value").alias("value"))
+        in_group = Window.partitionBy(*key, "group_id")
+        sized = hits.repartition(*key, "group_id").dropDuplicates().withColumn("n", F.count(F.lit(1)).over(in_group))
+        hit = sized.groupBy(*key).agg(F.sum(1.0 / F.col("n")).alias("_hit"))
+        if multiple == "1overN":
+            values = sized.groupBy(*key, "feature").agg(F.sum(1.0 / F.col("n")).alias("value"))
+        else:
+            single = sized.where(F.col("n") == 1).groupBy(*key, "feature").agg(F.count(F.lit(1)).cast("double").alias("value"))
+            values = single
+            if multiple == "dist1":
+                weights = single.join(features.select("annotator", "feature", "size"), ["annotator", "feature"], "left")
+                weights = weights.select(*key, "feature", F.when(F.coalesce("size", F.lit(0.0)) > 0, F.col("value") / F.col("size")).otherwise(F.col("value")).alias("w"))
+                many = sized.where(F.col("n") > 1).join(weights, [*key, "feature"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
+                many = many.withColumn("t", F.sum("w").over(in_group))
+                shares = many.select(*key, "feature", F.when(F.col("t") > 0, F.col("w") / F.col("t")).otherwise(1.0 / F.col("n")).alias("value"))
+                values = single.unionByName(shares).groupBy(*key, "feature").agg(F.sum("value").alias("value"))
     samples = groups.groupBy(*by).agg(F.countDistinct("group_id").alias("_groups")) if by else groups.agg(F.countDistinct("group_id").alias("_groups"))
     annotators = features.select("annotator").distinct()
     every = samples.crossJoin(F.broadcast(annotators)) if not by else samples.join(annotators, how="cross")  # a row a sample and annotation column
-    hit = sets.groupBy(*key).agg(F.sum("c").alias("_hit"))
-    unassigned = every.join(hit, key, "left").select(*key, F.lit(UNASSIGNED).alias("feature"), (F.col("_groups") - F.coalesce("_hit", F.lit(0.0))).cast("double").alias("value"), F.lit(0.0).alias("size"))
+    unassigned = every.join(hit, key, "left").select(*key, F.lit(UNASSIGNED).alias("feature"), (F.col("_groups") - F.round(F.coalesce("_hit", F.lit(0)))).cast("double").alias("value"), F.lit(0.0).alias("size"))
     rows = (every.select(*key).join(features, "annotator")).join(values, [*key, "feature"], "left").select(*key, "feature", F.coalesce("value", F.lit(0.0)).alias("value"), F.coalesce("size", F.lit(0.0)).alias("size"))
     rows = normalised(rows, normalization, key).select(*key, "feature", "value")
     if include_minus1:

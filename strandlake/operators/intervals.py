@@ -1,7 +1,7 @@
 """Interval joins: alignments and annotated intervals of one sequence.
 
 An interval is in every bin it touches, so that overlap is an equi-join on (sequence, level, bin) with a residual test, and bins spread
-a hot sequence over tasks. Bins are as long as intervals are on average; much longer intervals stand on levels of longer bins, so
+a hot sequence over tasks. Bins are a few times as long as intervals are on average; much longer intervals stand on levels of longer bins, so
 that none is in many bins. A pair that shares several bins is taken in one only: the one where the later of both starts lies.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.sam import REVERSE, bit
@@ -21,10 +21,10 @@ MODES, SENSES = ("union", "intersection_strict", "intersection_non_empty"), ("bo
 
 
 def bin_levels(right: DataFrame, least: int = 16) -> list[int]:
-    """Lengths of bins for intervals (r_start, r_stop): their mean length, and as many longer levels as the longest one needs. One pass over them."""
+    """Lengths of bins for intervals (r_start, r_stop): two to four times their mean length, and as many longer levels as the longest one needs. One pass over them."""
     span = F.col("r_stop") - F.col("r_start")
     mean, most = right.where(span > 0).agg(F.avg(span), F.max(span)).first()
-    levels = [1 << max(least.bit_length() - 1, round(mean or 1).bit_length())]
+    levels = [1 << max(least.bit_length() - 1, round(mean or 1).bit_length() + 1)]
     while levels[-1] * SPREAD < (most or 0):
         levels.append(levels[-1] * SPREAD)
     return levels
@@ -38,10 +38,15 @@ def overlaps(left: DataFrame, right: DataFrame, levels: Sequence[int] | None = N
     for size in reversed(levels[:-1]):
         own = F.when(span <= size * SPREAD, F.lit(size)).otherwise(own)
     bins = lambda a, b, size: F.sequence(F.floor(F.col(a) / size), F.floor((F.col(b) - 1) / size))
+    left, right = left.where(F.col("start") < F.col("stop")), right.where(F.col("r_start") < F.col("r_stop"))
+    if len(levels) == 1:
+        a, b = left.withColumn("_bin", F.explode(bins("start", "stop", levels[0]))), right.withColumn("_bin", F.explode(bins("r_start", "r_stop", levels[0])))
+        both = a.join(b, ["seq_id", "_bin"]).where((F.col("start") < F.col("r_stop")) & (F.col("r_start") < F.col("stop")))
+        return both.where(F.floor(F.greatest("start", "r_start") / levels[0]) == F.col("_bin")).drop("_bin")
     at_level = lambda size: F.transform(bins("start", "stop", size), lambda k: F.struct(F.lit(size).alias("size"), k.alias("bin")))
     places = F.flatten(F.array(*map(at_level, levels)))
-    a = left.where(F.col("start") < F.col("stop")).withColumn("_at", F.explode(places)).withColumns({"_size": F.col("_at.size"), "_bin": F.col("_at.bin")}).drop("_at")
-    b = right.where(F.col("r_start") < F.col("r_stop")).withColumn("_size", own)
+    a = left.withColumn("_at", F.explode(places)).withColumns({"_size": F.col("_at.size"), "_bin": F.col("_at.bin")}).drop("_at")
+    b = right.withColumn("_size", own)
     b = b.withColumn("_bin", F.explode(bins("r_start", "r_stop", F.col("_size"))))
     both = a.join(b, ["seq_id", "_size", "_bin"]).where((F.col("start") < F.col("r_stop")) & (F.col("r_start") < F.col("stop")))
     return both.where(F.floor(F.greatest("start", "r_start") / F.col("_size")) == F.col("_bin")).drop("_bin", "_size")
@@ -83,9 +88,9 @@ def interval_hits(alignments: DataFrame, intervals: DataFrame, mode: str = "unio
     """(by..., annotator, group_id, feature): what the rows of a group overlap, by mode; rows may repeat.
 
     union: any overlap. intersection_strict: the read lies within the interval. intersection_non_empty: of the read's positions
-    that anything covers, the features that cover all of them. For the last, the ends of the candidates cut the read into
-    elementary segments; a feature stays if it covers every segment that any candidate covers. A read's candidates are one array, so
-    that they are shuffled once.
+    that anything covers, the features that cover all of them. For the last, intervals in the order of their starts each add what lies
+    beyond the furthest end before them: summed over a feature's intervals its covered positions, over all intervals those of the
+    read; features that have as many stay. Candidates are shuffled once, by group.
     """
     choice("mode", mode, MODES)
     choice("sense", sense, SENSES)
@@ -96,15 +101,14 @@ def interval_hits(alignments: DataFrame, intervals: DataFrame, mode: str = "unio
         return pairs.select(*key, "feature")
     if mode == "intersection_strict":
         return pairs.where((F.col("start") >= F.col("r_start")) & (F.col("stop") <= F.col("r_stop"))).select(*key, "feature")
-    part = F.struct("feature", F.greatest("start", "r_start").alias("a"), F.least("stop", "r_stop").alias("b"))
-    reads = pairs.groupBy(*key, "line_no").agg(F.collect_set(part).alias("x"))
-    reads = reads.withColumns({"names": F.array_distinct(F.transform("x", lambda i: i["feature"])), "cuts": F.array_distinct(F.transform("x", lambda i: i["a"])), "ends": F.array_distinct(F.transform("x", lambda i: i["b"]))})
-    covers = lambda i, c: (i["a"] <= c) & (c < i["b"])
-    # segments start where an interval starts or ends; those that nothing covers do not matter
-    starts = F.filter(F.array_union("cuts", "ends"), lambda c: F.exists("x", lambda i: covers(i, c)))
-    full = F.filter("names", lambda f: F.forall("starts", lambda c: F.exists("x", lambda i: (i["feature"] == f) & covers(i, c))))
-    kept = F.when(F.size("names") == 1, F.col("names")).otherwise(full)
-    return reads.withColumn("starts", starts).select(*key, F.explode(kept).alias("feature"))
+    read = [*key, "line_no"]
+    parts = pairs.select(*read, "feature", F.greatest("start", "r_start").alias("a"), F.least("stop", "r_stop").alias("b")).repartition(*key)
+    before = lambda *by: F.max("b").over(Window.partitionBy(*by).orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
+    gain = lambda reach: F.greatest(F.col("b") - F.greatest("a", F.coalesce(reach, F.col("a"))), F.lit(0))
+    parts = parts.withColumn("own", gain(before(*read, "feature"))).withColumn("any", gain(before(*read)))
+    covered = parts.groupBy(*read, "feature").agg(F.sum("own").alias("own"), F.sum("any").alias("any"))
+    covered = covered.withColumn("all", F.sum("any").over(Window.partitionBy(*read)))
+    return covered.where(F.col("own") == F.col("all")).select(*key, "feature")
 
 
 def view(alignments: DataFrame, regions: DataFrame, levels: Sequence[int] | None = None) -> DataFrame:
