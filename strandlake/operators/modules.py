@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions import References
 from ..sources.sam import samfile
 from ..sources.tables import countfile
-from ..sources.text import expand, scratch
+from ..sources.text import expand, local_path, scratch
 from ..sources.write import write
 from .count import choice
 from .external import ToolError
@@ -98,7 +98,7 @@ class ExternalFunction:
         unknown = set(options) - {a.name for a in self.others}
         if unknown:
             raise ValueError(f"{self.name} has no arguments {sorted(unknown)}")
-        folder = scratch(spark)
+        folder = local_path(scratch(spark))
         line = [*self.command, *self.files(spark, value, self.first.file, head, folder)]
         for argument in self.others:
             given = options.get(argument.name)

@@ -18,7 +18,7 @@ from .registered import query
 
 
 def _folder(spark: SparkSession) -> str:
-    return text.scratch(spark)
+    return text.local_path(text.scratch(spark))
 
 
 def _quality(qual: str | Column = "qual") -> Column:

@@ -5,14 +5,14 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
-from .text import expand, is_local
+from .text import expand, is_local, local_path
 
 
 def check_output(path: str) -> str:
     """The folder of an output must exist and be writable."""
     if path in ("/dev/stdout", "-") or not is_local(path):
         return path
-    folder = os.path.dirname(os.path.abspath(path.removeprefix("file://")))
+    folder = os.path.dirname(os.path.abspath(local_path(path)))
     if not os.path.isdir(folder):
         raise FileNotFoundError(f"cannot write {path}: there is no folder {folder}")
     if not os.access(folder, os.W_OK):
@@ -24,7 +24,7 @@ def check_input(path: str, search_path: Sequence[str] = ()) -> str:
     """An input, its search path filled in, must exist and be readable."""
     found = expand(path, list(search_path))
     if is_local(found):
-        plain = found.removeprefix("file://")
+        plain = local_path(found)
         if not os.path.exists(plain):
             raise FileNotFoundError(f"there is no file {found}" + (f" (for {path})" if found != path else ""))
         if not os.access(plain, os.R_OK):

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .text import failing, numbered_lines, scratch, write_single
+from .text import failing, local_path, numbered_lines, scratch, write_single
 
 FIELDS = ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual", "extra")
 _LONGS = frozenset({"flag", "pos", "mapq", "pnext", "tlen"})
@@ -129,6 +129,6 @@ def _samtools(*args: str) -> None:
 
 
 def _from_bam(spark: SparkSession, path: str) -> str:
-    target = f"{scratch(spark)}/alignments.sam"
+    target = f"{local_path(scratch(spark))}/alignments.sam"
     _samtools("view", "-h", "-o", target, path)
     return target

@@ -131,7 +131,14 @@ def scratch(spark: SparkSession) -> str:
     system = target.getFileSystem(spark._jsc.hadoopConfiguration())
     system.mkdirs(target)
     system.deleteOnExit(target)
-    return path.removeprefix("file://")
+    return path
+
+
+def local_path(path: str) -> str:
+    """A path of the local file system as Python and other programs take it."""
+    if not is_local(path):
+        raise ValueError(f"{path} is not in a file system that programs can read")
+    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -163,7 +170,7 @@ def write_single(lines: DataFrame, path: str, header: Sequence[str] = (), column
         return path
     if not is_local(path):
         return _write_remote(lines, path, header, column)
-    path = path.removeprefix("file://")
+    path = local_path(path)
     folder, name = os.path.split(os.path.abspath(path))
     extension = os.path.splitext(name)[1]
     parts, temporary = f"{folder}/.{uuid.uuid4().hex}.parts", f"{folder}/.{uuid.uuid4().hex}{extension}"
