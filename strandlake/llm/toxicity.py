@@ -119,7 +119,9 @@ def threat(state: tuple[str, int, str], symbol: str) -> Arc:
 
 
 class Grammar:
-    """The composition, in series, of transducers (rule, first state). Product states and their arcs are made when first reached."""
+    """The composition, in series, of transducers (rule, first state). Product arcs are made when first reached, and kept up to a number."""
+
+    KEPT = 50_000  # some 30 MB
 
     def __init__(self, *parts: tuple[Callable[[object, str], Arc], object]) -> None:
         self.rules = [rule for rule, _ in parts]
@@ -134,6 +136,8 @@ class Grammar:
                 own, symbol, more = rule(own, symbol)
                 after.append(own)
                 weight += more
+            if len(self.arcs) >= self.KEPT:
+                self.arcs.clear()
             self.arcs[key] = tuple(after), symbol, weight
         return self.arcs[key]
 

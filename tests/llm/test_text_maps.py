@@ -266,6 +266,13 @@ def test_machine_equals_the_definitions(kinds):
     assert sorted(toxicity.GRAMMAR.clauses(symbols)) == clauses_by_definition(symbols)
 
 
+def test_kept_arcs_are_bounded(monkeypatch):
+    monkeypatch.setattr(toxicity.Grammar, "KEPT", 50)
+    r = random.Random(3)
+    symbols = [(r.choice("IHWYPDCNRQKEBO"), 1.0) for _ in range(5000)]
+    assert sorted(toxicity.GRAMMAR.clauses(symbols)) == clauses_by_definition(symbols) and len(toxicity.GRAMMAR.arcs) <= 50
+
+
 def test_machine_equals_the_definitions_on_documents(spark, sf_dir):
     """Over whole tables, with the words that the labels teach."""
     docs = table(spark, sf_dir, "documents")
