@@ -185,3 +185,34 @@ def test_uninterleave_is_the_sequential_pairing(spark):
         for f in (ordered.neighbour, ordered.running):
             f.__defaults__ = (*f.__defaults__[:-1], old)
     assert sorted(got) == sorted(want)
+
+
+def test_members_of_a_gz_file_are_split_between_tasks(spark, tmp_path, monkeypatch):
+    """Lines may lie in several members; numbers are those of one pass over the file."""
+    monkeypatch.setattr(text, "_gz_ranges", lambda size: [(lo, min(lo + 1000, size)) for lo in range(0, size, 1000)])
+    lines = [f"{k} {k * 7919 % 10007}" * (1 + k % 3) for k in range(3000)]
+    whole = "\n".join(lines).encode()
+    for size, tail in ((700, b""), (1000, b"\n"), (len(whole) + 1, b"")):
+        content, path = whole + tail, str(tmp_path / f"x{size}.gz")
+        with open(path, "wb") as file:
+            file.writelines(gzip.compress(content[k : k + size]) for k in range(0, len(content), size))
+        found = text.numbered_lines(spark, path)
+        assert [(r["line_no"], r["value"]) for r in found.orderBy("line_no").collect()] == list(enumerate(lines))
+        assert (found.rdd.getNumPartitions() > 5) == (size < len(whole))
+        assert found.select("file").distinct().first()[0] == spark.read.text(path).select("_metadata.file_path").first()[0]
+    single = str(tmp_path / "r.gz")
+    with gzip.open(single, "wb") as file:
+        file.write(b"a\rb\r\nc")
+    assert [r["value"] for r in text.numbered_lines(spark, single).orderBy("line_no").collect()] == ["a", "b", "c"]
+
+
+def test_lines_are_numbered_without_a_shuffle_of_lines(spark, tmp_path):
+    found = text.numbered_lines(spark, write(tmp_path / "x.txt", "a\nb\n"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_groups_over_slices_of_lines(spark):
+    rows = spark.range(50_000).select(F.col("id").alias("line_no"), F.lit("s").alias("sample"), F.lit(64).alias("flag"), F.when(F.col("id") < 45_000, "a").otherwise(F.col("id").cast("string")).alias("qname"))
+    got = sam.group_ids(rows).groupBy("group_id").count()
+    assert got.where("group_id = 0").first()["count"] == 45_000 and got.count() == 5_001
