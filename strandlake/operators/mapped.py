@@ -300,11 +300,24 @@ def stats_table(stats: Sequence[tuple[str, str, int, DataFrame]]) -> DataFrame:
     return out
 
 
+def name_key(name: str = "qname") -> Column:
+    """Runs of digits padded to 20 digits, and all runs joined by NUL: bytewise order is that of names, numbers in them as numbers.
+
+    Names with one number at most, at their end, need no regular expression.
+    """
+    digits, name = F.lit("0123456789"), F.col(name)
+    parts = F.transform(F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), 1), lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p))
+    text = F.rtrim(name, digits)
+    number = F.lpad(F.substring(name, F.length(text) + 1, F.length(name)), 20, "0")
+    plain = F.when(text == name, name).when(text == "", number).otherwise(F.concat(text, F.lit("\x00"), number))
+    return F.when(F.translate(text, "0123456789", "") == text, plain).otherwise(F.array_join(parts, "\x00"))
+
+
 def sort(rows: DataFrame, by: str = "coordinate", order: DataFrame | None = None) -> DataFrame:
     """By position, sequences in the header's order (hdr_no, sn) and unplaced rows last; or by read name, numbers in it as numbers."""
     if choice("by", by, ("coordinate", "name")) == "name":
-        parts = F.transform(F.regexp_extract_all("qname", F.lit(r"(\d+|\D+)"), 1), lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p))
-        out = rows.orderBy(F.array_join(parts, "\x00"), F.when(bit(FIRST), 0).when(bit(SECOND), 1).otherwise(2), "line_no")
+        # columns: a sort key that is an expression is computed anew in every comparison
+        out = rows.withColumns({"_name": name_key(), "_mate": bucket()}).orderBy("_name", "_mate", "line_no").drop("_name", "_mate")
     elif order is not None:
         ranks = order.where(F.col("sn").isNotNull()).select(F.col("sn").alias("rname"), F.col("hdr_no").alias("_rank"))
         out = rows.join(ranks, "rname", "left").orderBy(F.col("_rank").asc_nulls_last(), "pos", bit(REVERSE), "line_no").drop("_rank").select(*rows.columns)

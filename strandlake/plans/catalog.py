@@ -13,6 +13,7 @@ from ..operators import reads as r
 from ..sources.fastq import subsampled, uninterleave
 from ..sources.ordered import places
 from ..sources.tables import feature_order
+from ..sources.text import settled
 from . import views as v
 from .registered import ORACLES, QUERIES, query
 
@@ -245,7 +246,7 @@ query("sort_header_order", f"WITH {v.ALIGNMENTS_SQL} SELECT row_number() OVER (O
     lambda s, d: places(m.sort(v.alignments(s, d), order=v.sequences(s, d).select((-F.col("feature").cast("long")).alias("hdr_no"), F.col("feature").alias("sn"))).select("rname", "pos", "line_no"))
 )
 query("sort_name", f"WITH {v.ALIGNMENTS_SQL} SELECT row_number() OVER (ORDER BY group_id, mate, line_no) - 1 AS place, 'q' || group_id AS qname, line_no FROM aln")(
-    lambda s, d: places(m.sort(v.alignments(s, d), "name").select("qname", "line_no"))
+    lambda s, d: places(m.sort(settled(v.alignments(s, d).select("qname", "flag", "line_no")), "name").select("qname", "line_no"))  # ranges are sampled first: a sort reads its input twice
 )
 
 

@@ -256,3 +256,15 @@ def test_stats_table_and_comments(spark):
     assert one == two and tables.auto_comments(["script"], "a\nb")[1:] == ["    a", "    b"]
     with pytest.raises(ValueError):
         tables.auto_comments(["time"])
+
+
+def test_name_keys_are_computed_once_a_row(spark):
+    names = ["q10", "q9", "q", "q09", "7", "10", "a1b2", "a1b10", "!x", "r2.3/1", "r2.10/1", ""]
+    rows = spark.createDataFrame([(n, 64, k) for k, n in enumerate(names)], "qname string, flag long, line_no long")
+    got = m.sort(rows, "name")
+    import re
+
+    key = lambda n: "\0".join(p.rjust(20, "0") if p.isdigit() else p for p in re.findall(r"\d+|\D+", n)).encode()
+    assert [x["qname"] for x in got.collect()] == sorted(names, key=lambda n: (key(n), names.index(n)))
+    order = next(line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Sort [" in line)
+    assert "(" not in order  # columns only: an expression would be computed in every comparison
