@@ -96,13 +96,13 @@ def interval_hits(alignments: DataFrame, intervals: DataFrame, mode: str = "unio
     choice("sense", sense, SENSES)
     by = list(by)
     pairs = overlaps(read_span(alignments, [*by, "group_id", "line_no"]), intervals, levels).where(strand_fits(sense))
-    key = [*by, "annotator", "group_id"]
+    key = ["group_id", *by, "annotator"]  # ids come first, since sorts compare the first key most
     if mode == "union":
         return pairs.select(*key, "feature")
     if mode == "intersection_strict":
         return pairs.where((F.col("start") >= F.col("r_start")) & (F.col("stop") <= F.col("r_stop"))).select(*key, "feature")
-    read = [*key, "line_no"]
-    parts = pairs.select(*read, "feature", F.greatest("start", "r_start").alias("a"), F.least("stop", "r_stop").alias("b")).repartition(*key)
+    read = ["line_no", *key]
+    parts = pairs.select(*read, "feature", F.greatest("start", "r_start").alias("a"), F.least("stop", "r_stop").alias("b")).repartition("group_id")
     before = lambda *by: F.max("b").over(Window.partitionBy(*by).orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
     gain = lambda reach: F.greatest(F.col("b") - F.greatest("a", F.coalesce(reach, F.col("a"))), F.lit(0))
     parts = parts.withColumn("own", gain(before(*read, "feature"))).withColumn("any", gain(before(*read)))

@@ -132,7 +132,7 @@ full_ AS (SELECT feature, coalesce(value, 0) AS value, size FROM sz LEFT JOIN va
 
 
 def _gff(spark: SparkSession, sf_dir: str, mode: str, sense: str = "both", **options) -> DataFrame:
-    aln, regions = v.alignments(spark, sf_dir, ordered=mode == "intersection_non_empty"), v.intervals(spark, sf_dir)
+    aln, regions = v.alignments(spark, sf_dir, ordered=False).withColumn("line_no", F.monotonically_increasing_id()), v.intervals(spark, sf_dir)  # lines need be told apart only
     hits = iv.interval_hits(aln, regions, mode, sense)
     return c.count(aln, hits, iv.interval_features(regions), **options).select("feature", F.round("value", 6).alias("value"))
 

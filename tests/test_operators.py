@@ -284,3 +284,11 @@ def test_hits_are_gone_through_once(spark, multiple):
     assert {x["feature"]: x["value"] for x in got.collect()} == {"a": expected[0], "b": expected[1], "c": 1.0, "d": 0.0, "-1": 1.0}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "LocalRelation [group_id" not in plan  # what is joined and summed up are rows of features
+
+
+def test_reads_of_one_group_are_shuffled_once(spark):
+    aln = spark.createDataFrame([(1, 1, 0, "s", 5, "ACGT")], "group_id long, line_no long, flag long, rname string, pos long, seq string")
+    regions = spark.createDataFrame([("f", "s", 1, 9, "+")], "feature string, seq_id string, r_start long, r_stop long, r_strand string").withColumn("annotator", F.lit("x"))
+    got = iv.interval_hits(aln, regions, "intersection_non_empty")
+    assert [x["feature"] for x in got.collect()] == ["f"]
+    assert "REPARTITION_BY_COL" in exchanges(got)[0]  # nothing is shuffled after that, though the annotator is a constant
