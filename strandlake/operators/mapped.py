@@ -246,12 +246,16 @@ def merge_best(parts: Sequence[DataFrame]) -> DataFrame:
     for k, p in enumerate(parts):
         p = p.withColumn("part", F.lit(k))
         out = p if out is None else out.unionByName(p)
-    mate = Window.partitionBy(*(["sample"] if "sample" in out.columns else []), "group_no", bucket())
+    sample = ["sample"] if "sample" in out.columns else []
     score = F.when(aligned(), F.coalesce(match_size(inserted=True), F.lit(0)) - F.coalesce(int_tag("NM"), F.lit(0)))
-    group = Window.partitionBy(*(["sample"] if "sample" in out.columns else []), "group_no")
-    whole = failing(F.size(F.collect_set("part").over(group)) == len(parts), F.lit("the alignments to merge have different numbers of groups"))
-    out = out.withColumns({"_score": score, "_best": F.max(score).over(mate), "_rn": F.row_number().over(mate.orderBy(F.desc("part"), F.desc("line_no"))), "part": F.coalesce(whole.cast("int"), F.col("part"))})
-    return out.where(F.when(F.col("_best").isNull(), F.col("_rn") == 1).otherwise(F.col("_score") == F.col("_best"))).drop("_score", "_best", "_rn")
+    # scores are made before the shuffle, so that only what is asked for goes through it; one order by group, mate and place serves all windows
+    out = out.withColumns({"_score": score, "_mate": bucket()}).repartition("group_no")
+    group, mate = Window.partitionBy("group_no", *sample), Window.partitionBy("group_no", *sample, "_mate")
+    out = out.withColumn("_rn", F.row_number().over(mate.orderBy(F.desc("part"), F.desc("line_no")))).withColumn("_best", F.max("_score").over(mate))
+    parted = F.bit_count(F.bit_or(F.expr("shiftleft(1L, part)")).over(group)) if len(parts) < 64 else F.size(F.collect_set("part").over(group))
+    whole = failing(parted == len(parts), F.lit("the alignments to merge have different numbers of groups"))
+    out = out.withColumn("part", F.coalesce(whole.cast("int"), F.col("part")))
+    return out.where(F.when(F.col("_best").isNull(), F.col("_rn") == 1).otherwise(F.col("_score") == F.col("_best"))).drop("_score", "_best", "_rn", "_mate")
 
 
 def with_group_no(rows: DataFrame) -> DataFrame:

@@ -292,3 +292,12 @@ def test_reads_of_one_group_are_shuffled_once(spark):
     got = iv.interval_hits(aln, regions, "intersection_non_empty")
     assert [x["feature"] for x in got.collect()] == ["f"]
     assert "REPARTITION_BY_COL" in exchanges(got)[0]  # nothing is shuffled after that, though the annotator is a constant
+
+
+def test_best_rows_are_sorted_once(spark):
+    rows = spark.createDataFrame([(0, 1, 64, "4M", "NM:i:1"), (0, 2, 64, "4M", "NM:i:0")], "group_no long, line_no long, flag long, cigar string, extra string")
+    got = m.merge_best([rows, rows.withColumn("extra", F.lit("NM:i:2"))]).select("group_no", "line_no", "part")
+    assert [tuple(x) for x in got.collect()] == [(0, 2, 0)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    assert final.count("Sort [") == 1 and len([x for x in exchanges(got) if x in final]) == 1
