@@ -11,6 +11,7 @@ from ..sources.checks import check_input
 from ..sources.sam import sequences
 from ..sources.tables import functional_map as read_map
 from ..sources.tables import gff
+from ..sources.text import settled
 from . import count as c
 from . import intervals as iv
 
@@ -58,9 +59,9 @@ def count_alignments(
         sized = names.selectExpr("'seqname' AS annotator", "feature", "size")
         out = c.count(rows, c.seqname_hits(rows, names, by), sized, **options)
     elif kind == "map":
-        genes = read_map(spark, check_input(path, search_path), list(features))
+        genes = settled(read_map(spark, check_input(path, search_path), list(features)))
         out = c.labelled(c.count(rows, c.map_hits(rows, genes, by), c.map_features(genes, sequences(head) if head is not None else None, normalization), **options), len(features))
     else:
-        regions = iv.gff_features(gff(spark, check_input(path, search_path)), features, subfeatures)
+        regions = settled(iv.gff_features(gff(spark, check_input(path, search_path)), features, subfeatures))  # lines are parsed once, for bins, sizes and hits
         out = c.count(rows, iv.interval_hits(rows, regions, mode, sense, by), iv.interval_features(regions), **options)
     return out.select(*by, "feature", "value")

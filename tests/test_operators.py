@@ -301,3 +301,15 @@ def test_best_rows_are_sorted_once(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     final = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
     assert final.count("Sort [") == 1 and len([x for x in exchanges(got) if x in final]) == 1
+
+
+def test_annotation_files_are_parsed_once(spark, tmp_path):
+    from strandlake.operators import annotate
+
+    (tmp_path / "x.gff").write_text("s\tx\tgene\t1\t8\t.\t+\t.\tgene_id=f\n")
+    (tmp_path / "x.map").write_text("#gene\tk\ns\tf\n")
+    aln = spark.createDataFrame([(1, 1, 0, "s", 5, "ACGT")], "group_id long, line_no long, flag long, rname string, pos long, seq string")
+    for options in ({"features": ["gene"], "subfeatures": ["gene_id"], "gff_file": str(tmp_path / "x.gff")}, {"features": ["k"], "functional_map": str(tmp_path / "x.map")}):
+        got = annotate.count_alignments(spark, aln, **options, multiple="all1")
+        assert {x["feature"]: x["value"] for x in got.collect()} == {"f": 1.0, "-1": 0.0}
+        assert not [x for x in got.inputFiles() if x.endswith((".gff", ".map"))]
